@@ -110,7 +110,7 @@ def _(spark, sf):
 @query("assessment_rejects", sql("f2", """
 SELECT source_row, 'not_metal_loss' AS reason FROM f2 WHERE feature_identification IN ('DENT', 'CRAC')"""))
 def _(spark, sf):
-    return A.rejects(A.assess(T.features(spark, sf), T.lines(spark, sf))).select("source_row", "reason")
+    return A.rejects(A.screen(T.features(spark, sf), T.lines(spark, sf))).select("source_row", "reason")
 
 
 @query("assessment_findings", sql("ffp", """

@@ -108,9 +108,12 @@ def _notes(method: str) -> Column:
     return empty
 
 
-def with_strength(df: DataFrame, methods: dict[str, str]) -> DataFrame:
+def with_strength(df: DataFrame, methods: dict[str, str], rival: str | None, rival_runs: Column) -> DataFrame:
     """Adds one assessment struct per entry of ``methods`` (output column -> method), flags included.
 
+    The first entry controls, unless the ``rival`` entry runs and has the lower safe pressure; ``_beats`` says
+    which.
+
     Needs ``depth_pct_wt, wt_mm, length_mm, width_mm, diameter_mm, smys_mpa, uts_mpa, design_factor,
     maop_kgcm2``. RSTRENG without a measured depth profile is the modified form under its own name.
     """
@@ -132,6 +135,10 @@ def with_strength(df: DataFrame, methods: dict[str, str]) -> DataFrame:
     df = df.withColumns({f"_sop_{c}": mpa_to_kgcm2(F.col(f"_pf_{c}") * F.col("design_factor")) for c in methods})
     df = df.withColumns({f"_erf_{c}": erf(F.col("maop_kgcm2"), F.col(f"_sop_{c}")) for c in methods})
 
+    first = next(iter(methods))
+    lower = F.lit(False) if rival is None else F.col(f"_sop_{rival}") < F.col(f"_sop_{first}")
+    df = df.withColumn("_beats", F.coalesce(rival_runs & lower, F.lit(False)))
+
     def flags(c: str, method: str) -> Column:
         found = [F.when(F.col(f"_erf_{c}") >= 1.0, "ERF_EXCEEDS_1"), F.when(F.col("_pct") >= 80.0, "DEPTH_EXCEEDS_80")]
         if method == "B31G_Original":
@@ -163,6 +170,7 @@ def with_strength(df: DataFrame, methods: dict[str, str]) -> DataFrame:
             F.lit(method == "RSTRENG").alias("using_approximate_profile"),
             _notes(method).alias("notes"),
             flags(c, method).alias("flags"),
+            (~F.col("_beats") if c == first else F.col("_beats") if c == rival else F.lit(False)).alias("is_controlling"),
         )
 
     df = df.withColumns({c: result(i, c, m) for i, (c, m) in enumerate(methods.items())})

@@ -144,7 +144,7 @@ def repair_years(predictions: DataFrame) -> DataFrame:
 def current_state(assessed: DataFrame, lines: DataFrame) -> DataFrame:
     """The controlling assessment with what a projection needs, from ``assess``."""
     dims = lines.select("line_id", "run2_date")
-    kept = assessed.where(F.col("controlling").isNotNull()).select(
+    kept = assessed.select(
         "line_id", "source_row", "anomaly_id", "diameter_mm", "smys_mpa", "uts_mpa", "zone_fallback",
         "design_factor", "controlling.*",
     )
