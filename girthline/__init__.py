@@ -1 +1,8 @@
 """Fleet-wide analysis of in-line inspection runs, as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Grouped functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

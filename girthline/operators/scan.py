@@ -18,59 +18,57 @@ def chunk_of(order: Column, width: float) -> Column:
     return F.floor(order / F.lit(float(width))).cast("long")
 
 
-def _windows(keys: Sequence[str], order: Sequence[Column], include_current: bool, backwards: bool):
-    ordering = [c.desc() if backwards else c.asc() for c in order]
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*ordering).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1
-    )
-    across = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if backwards else F.col(CHUNK).asc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return inside, across
+_AGGREGATES = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, tuple[str, Column]],
-    include_current: bool = True, backwards: bool = False,
+    include_current: bool = True,
 ) -> DataFrame:
     """Running value of each output column along ``order`` within ``keys``.
 
-    ``values`` maps an output name to (kind, input) with kind ``last`` (last non-null), ``max``, ``min`` or
-    ``sum``. ``chunk`` must not decrease along ``order``. The stage is shuffled once: the carried rows are
-    aggregated from the same partitioning.
+    ``values`` maps an output name to (kind, input). Kinds ``last`` (last non-null), ``max``, ``min`` and
+    ``sum`` look at the rows before; ``min_after`` and ``max_after`` at the rows after. ``chunk`` must not
+    decrease along ``order``. ``df`` is read twice, so a caller that stacks several of these cuts the lineage
+    in between.
     """
-    inside, across = _windows(keys, [F.col(c) for c in order], include_current, backwards)
-    staged = df.withColumn(CHUNK, chunk)
-    window_of = {
-        "last": lambda c, w: F.last(c, ignorenulls=True).over(w),
-        "max": lambda c, w: F.max(c).over(w),
-        "min": lambda c, w: F.min(c).over(w),
-        "sum": lambda c, w: F.sum(c).over(w),
-    }
-    staged = staged.withColumns({f"_in_{n}": c for n, (_, c) in values.items()})
-    within = staged.withColumns({f"_w_{n}": window_of[k](F.col(f"_in_{n}"), inside) for n, (k, _) in values.items()})
-
-    position = F.struct(*[F.col(c) for c in order])
-
-    def tail(kind: str, name: str) -> Column:
-        c = F.col(f"_in_{name}")
+    last_row = 0 if include_current else -1
+
+    def window(kind: str, partition: Sequence[str], columns: Sequence[str], until: int):
+        after = kind.endswith("_after")
+        ordering = [F.col(c).desc() if after else F.col(c).asc() for c in columns]
+        return Window.partitionBy(*partition).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, until)
+
+    def reach(kind: str, c: Column, w) -> Column:
         if kind == "last":
-            at = F.when(c.isNotNull(), position)
-            return F.min_by(c, at) if backwards else F.max_by(c, at)
-        return {"max": F.max, "min": F.min, "sum": F.sum}[kind](c)
+            return F.last(c, ignorenulls=True).over(w)
+        return _AGGREGATES[kind.removesuffix("_after")](c).over(w)
 
-    tails = within.groupBy(*keys, CHUNK).agg(*[tail(k, n).alias(f"_t_{n}") for n, (k, _) in values.items()])
+    def tail(kind: str, c: Column) -> Column:
+        if kind == "last":
+            return F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))
+        return _AGGREGATES[kind.removesuffix("_after")](c)
+
+    staged = df.withColumns({CHUNK: chunk, **{f"_in_{n}": c for n, (_, c) in values.items()}})
+    tails = staged.groupBy(*keys, CHUNK).agg(*[tail(k, F.col(f"_in_{n}")).alias(f"_t_{n}") for n, (k, _) in values.items()])
     carried = tails.select(
-        *keys, CHUNK, *[window_of[k](F.col(f"_t_{n}"), across).alias(f"_c_{n}") for n, (k, _) in values.items()]
+        *keys, CHUNK,
+        *[reach(k, F.col(f"_t_{n}"), window(k, keys, [CHUNK], -1)).alias(f"_c_{n}") for n, (k, _) in values.items()],
     )
+    within = staged.withColumns({
+        f"_w_{n}": reach(k, F.col(f"_in_{n}"), window(k, [*keys, CHUNK], order, last_row)) for n, (k, _) in values.items()
+    })
     joined = within.join(carried, [*keys, CHUNK], "left")
-    combine = {
-        "last": lambda w, c: F.coalesce(w, c),
-        "max": lambda w, c: F.greatest(w, c),
-        "min": lambda w, c: F.least(w, c),
-        "sum": lambda w, c: F.coalesce(w, F.lit(0)) + F.coalesce(c, F.lit(0)),
-    }
-    outputs = [combine[k](F.col(f"_w_{n}"), F.col(f"_c_{n}")).alias(n) for n, (k, _) in values.items()]
+
+    def combined(kind: str, name: str) -> Column:
+        w, c = F.col(f"_w_{name}"), F.col(f"_c_{name}")
+        if kind == "last":
+            return F.coalesce(w, c)
+        if kind == "sum":
+            return F.coalesce(w, F.lit(0)) + F.coalesce(c, F.lit(0))
+        return F.greatest(w, c) if kind.startswith("max") else F.least(w, c)
+
+    outputs = [combined(k, n).alias(n) for n, (k, _) in values.items()]
     return joined.select(*[c for c in df.columns if c not in values], *outputs)
 
 
