@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import engine
+from checks import engine, reading
 
-MODULES = (engine,)
+MODULES = (engine, reading)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 from girthline import vocab
 
 _SEPARATORS = r"""[\s_\-/.,()\[\]{}'"`²°*:%]+"""
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 
 def norm(c: Column) -> Column:
@@ -34,21 +34,18 @@ def is_na(c: Column) -> Column:
 
 def strict_number(c: Column) -> Column:
     """A plain decimal literal, or null."""
-    text = strip(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
 
 
 def to_float(c: Column) -> Column:
     """Reader number: a comma is the decimal sign only where there is no point; typographic minus allowed."""
-    text = strip(c)
-    decimal = F.when(text.contains(",") & ~text.contains("."), F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
-    return F.when(~is_na(c), strict_number(F.translate(decimal, "−–", "--")))
+    # A comma next to a point gives two points, which is no number.
+    return strict_number(F.translate(c, "−–,", "--."))
 
 
 def to_int(c: Column) -> Column:
     """Reader integer: the nearest whole number, halves to even."""
-    value = to_float(c)
-    return F.when(F.abs(value) < 2147483647, F.bround(value, 0).cast("int"))
+    return F.bround(to_float(c), 0).try_cast("int")
 
 
 def to_str(c: Column) -> Column:
@@ -57,13 +54,10 @@ def to_str(c: Column) -> Column:
 
 def lenient_number(c: Column) -> Column:
     """Converter number: trailing percent, thousands separators and a lone decimal comma are accepted."""
-    text = strip(F.regexp_replace(strip(c), "%+$", ""))
-    plain = (
-        F.when(text.contains(",") & text.contains("."), F.replace(text, F.lit(","), F.lit("")))
-        .when(text.rlike(r"^-?\d+,\d+$"), F.replace(text, F.lit(","), F.lit(".")))
-        .otherwise(text)
-    )
-    return strict_number(plain)
+    text = F.regexp_replace(c, r"[%\s]+$", "")
+    text = F.regexp_replace(text, r"^(\s*-?\d+),(\d+)$", "$1.$2")
+    # Commas left beside a point separate thousands.
+    return strict_number(F.when(text.contains("."), F.replace(text, F.lit(","), F.lit(""))).otherwise(text))
 
 
 def lookup(table: Mapping[str, str], key: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from girthline import vocab
 from girthline.functions.text import invert, lenient_number, lookup, norm, strict_number, strip
@@ -40,18 +40,22 @@ def kgcm2_to_mpa(p: Column) -> Column:
     return p / MPA_TO_KGCM2
 
 
-def parse_depth(c: Column, is_dent: Column) -> Column:
-    """Depth text to ``struct(pct, bad)``.
+def with_depth(df: DataFrame, source: str, is_dent: Column, pct: str, bad: str) -> DataFrame:
+    """Adds depth in percent and whether the text was unreadable or outside 0 to 100.
 
     A bare number between 0 and 1 is a fraction, except on dents, whose depth is percent of diameter.
     """
-    text = strip(c)
-    marked = text.endswith("%")
-    value = strict_number(F.when(marked, strip(F.regexp_replace(text, "%$", ""))).otherwise(text))
-    pct = F.when(~marked & ~is_dent & (value > 0) & (value < 1), value * 100.0).otherwise(value)
-    empty = text.isNull() | F.lower(text).isin(*_EMPTY)
-    pct = F.when(~empty & (pct >= 0) & (pct <= 100), pct)
-    return F.struct(pct.alias("pct"), (~empty & pct.isNull()).alias("bad"))
+    c, value = F.col(source), F.col("_value")
+    df = df.withColumns({
+        "_value": strict_number(F.regexp_replace(c, r"%\s*$", "")),
+        "_bare": ~c.rlike(r"%\s*$") & ~is_dent,
+        "_empty": c.isNull() | F.lower(strip(c)).isin(*_EMPTY),
+    })
+    scaled_value = F.when(F.col("_bare") & (value > 0) & (value < 1), value * 100.0).otherwise(value)
+    df = df.withColumn("_pct", scaled_value).withColumn(
+        pct, F.when(~F.col("_empty") & F.col("_pct").between(0, 100), F.col("_pct"))
+    )
+    return df.withColumn(bad, ~F.col("_empty") & F.col(pct).isNull()).drop("_value", "_bare", "_empty", "_pct")
 
 
 def depth_mm(pct: Column, wt_mm: Column) -> Column:

@@ -28,8 +28,8 @@ def running(
     """Running value of each output column along ``order`` within ``keys``.
 
     ``values`` maps an output name to (kind, input). Kinds ``last`` (last non-null), ``max``, ``min`` and
-    ``sum`` look at the rows before; ``min_after`` and ``max_after`` at the rows after. ``chunk`` must not
-    decrease along ``order``. ``df`` is read twice, so a caller that stacks several of these cuts the lineage
+    ``sum`` look at the rows up to the current one, ``last_before`` leaves the current one out; ``min_after``
+    and ``max_after`` look at the rows after. ``chunk`` must not decrease along ``order``. ``df`` is read twice, so a caller that stacks several of these cuts the lineage
     in between.
     """
     last_row = 0 if include_current else -1
@@ -40,12 +40,12 @@ def running(
         return Window.partitionBy(*partition).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, until)
 
     def reach(kind: str, c: Column, w) -> Column:
-        if kind == "last":
+        if kind.startswith("last"):
             return F.last(c, ignorenulls=True).over(w)
         return _AGGREGATES[kind.removesuffix("_after")](c).over(w)
 
     def tail(kind: str, c: Column) -> Column:
-        if kind == "last":
+        if kind.startswith("last"):
             return F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))
         return _AGGREGATES[kind.removesuffix("_after")](c)
 
@@ -56,13 +56,13 @@ def running(
         *[reach(k, F.col(f"_t_{n}"), window(k, keys, [CHUNK], -1)).alias(f"_c_{n}") for n, (k, _) in values.items()],
     )
     within = staged.withColumns({
-        f"_w_{n}": reach(k, F.col(f"_in_{n}"), window(k, [*keys, CHUNK], order, last_row)) for n, (k, _) in values.items()
+        f"_w_{n}": reach(k, F.col(f"_in_{n}"), window(k, [*keys, CHUNK], order, -1 if k == "last_before" else last_row)) for n, (k, _) in values.items()
     })
     joined = within.join(carried, [*keys, CHUNK], "left")
 
     def combined(kind: str, name: str) -> Column:
         w, c = F.col(f"_w_{name}"), F.col(f"_c_{name}")
-        if kind == "last":
+        if kind.startswith("last"):
             return F.coalesce(w, c)
         if kind == "sum":
             return F.coalesce(w, F.lit(0)) + F.coalesce(c, F.lit(0))
