@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import engine, reading
+from checks import engine, reading, reports
 
-MODULES = (engine, reading)
+MODULES = (engine, reading, reports)
 
 
 def queries() -> dict:
