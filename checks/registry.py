@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import engine, reading, reports
+from checks import engine, layouts, reading, reports
 
-MODULES = (engine, reading, reports)
+MODULES = (engine, reading, layouts, reports)
 
 
 def queries() -> dict:

@@ -7,42 +7,43 @@ not rows: no explode, no shuffle, and the first trigger is a plain conditional.
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from girthline.functions.dates import add_years
-from girthline.functions.strength import FLOW_FACTOR, FLOW_OFFSET_MPA, UTS_OFFSET_MPA, erf
-from girthline.functions.units import mpa_to_kgcm2
+from girthline.functions.dates import DAYS_PER_YEAR
+from girthline.functions.strength import FLOW_FACTOR, FLOW_OFFSET_MPA, UTS_OFFSET_MPA
+from girthline.functions.units import MPA_TO_KGCM2
 
 DEPTH_TRIGGER = "DEPTH_80"
 ERF_TRIGGER = "ERF_1.0"
 NO_TRIGGER = "NONE_WITHIN_HORIZON"
 
 
-def _constants() -> dict[str, Column]:
-    """A (MPa), k and 1/M of the feature's controlling method; 1/M is zero where there is no denominator."""
-    method = F.col("method")
-    t, D, smys = F.col("wt_mm"), F.col("diameter_mm"), F.col("smys_mpa")
-    z = F.col("z_value")
-    folias = F.col("folias_factor_m")
-    original = method == "B31G_Original"
-    modified = method.isin("B31G_Modified", "RSTRENG")
-    dnv = method == "DNV_RP_F101"
-    uts = F.coalesce(F.col("uts_mpa"), smys + UTS_OFFSET_MPA)
-    a = (
-        F.when(original, 2.0 * (FLOW_FACTOR * smys) * t / D)
-        .when(modified, 2.0 * (smys + FLOW_OFFSET_MPA) * t / D)
-        .when(dnv, 2.0 * uts * t / (D - t))
-        .otherwise(4.0 * (FLOW_FACTOR * smys) * t / D)
-    )
-    k = (
-        F.when(original, F.when(z <= 20.0, 2.0 / 3.0).otherwise(1.0))
-        .when(modified, 0.85)
-        .when(dnv, 1.0)
-        .otherwise(F.col("width_mm") / (math.pi * D))
-    )
-    return {"_a": a, "_k": k, "_m": F.coalesce(1.0 / folias, F.lit(0.0)), "_floored": ~dnv}
+# A (MPa), k and 1/M of the controlling method; 1/M is zero where there is no denominator.
+_CONSTANTS = (
+    f"""CASE method WHEN 'B31G_Original' THEN 2D * ({FLOW_FACTOR}D * smys_mpa) * wt_mm / diameter_mm
+        WHEN 'Kastner' THEN 4D * ({FLOW_FACTOR}D * smys_mpa) * wt_mm / diameter_mm
+        WHEN 'DNV_RP_F101' THEN 2D * coalesce(uts_mpa, smys_mpa + {UTS_OFFSET_MPA}D) * wt_mm / (diameter_mm - wt_mm)
+        ELSE 2D * (smys_mpa + {FLOW_OFFSET_MPA}D) * wt_mm / diameter_mm END AS _a""",
+    """CASE method WHEN 'B31G_Original' THEN if(z_value <= 20D, 2D / 3D, 1D) WHEN 'Kastner' THEN width_mm / (pi() * diameter_mm)
+        WHEN 'DNV_RP_F101' THEN 1D ELSE 0.85D END AS _k""",
+    "coalesce(1D / folias_factor_m, 0D) AS _m",
+    "coalesce(design_factor, 0.72D) AS _fd",
+    "depth_mm AS _d0", "sop_kgcm2 AS _s0", "erf AS _e0",
+)
+
+
+def _year(n: int) -> list[str]:
+    """Depth, loss ratio, failure pressure, safe pressure and repair factor after ``n`` years."""
+    return [
+        # Added year by year, not multiplied, to keep the same last bits.
+        f"_d{n - 1} + cgr_mm_yr AS _d{n}",
+        f"_k * (least(_d{n}, wt_mm * 0.999D) / wt_mm) AS _x{n}",
+        f"if(method = 'Kastner', greatest(0D, least(1D, _x{n})), _x{n}) AS _q{n}",
+        f"1D - _q{n} * _m AS _n{n}",
+        f"if(_n{n} <= 0D, 0D, _a * ((1D - _q{n}) / nullif(_n{n}, 0D))) AS _f{n}",
+        f"if(method = 'DNV_RP_F101', _f{n}, greatest(0D, _f{n})) * _fd * {MPA_TO_KGCM2!r}D AS _s{n}",
+        f"CASE WHEN _s{n} > 0D THEN maop_kgcm2 / nullif(_s{n}, 0D) WHEN _s{n} IS NOT NULL THEN double('Infinity') END AS _e{n}",
+    ]
 
 
 def project(
@@ -66,72 +67,43 @@ def project_rows(
 ) -> DataFrame:
     """``project`` for rows that already carry rate and assessment."""
     years = range(horizon_years + 1)
-    fd = F.coalesce(F.col("design_factor"), F.lit(0.72))
-    rows = rows.withColumns({**_constants(), "_fd": fd, "_d0": F.col("depth_mm")})
-    # The rate is added year by year, as repeated addition and not as a product, to keep the same last bits.
-    for n in years[1:]:
-        rows = rows.withColumn(f"_d{n}", F.col(f"_d{n - 1}") + F.col("cgr_mm_yr"))
-    outputs: dict[str, Column] = {}
-    for n in years[1:]:
-        x = F.least(F.col(f"_d{n}"), F.col("wt_mm") * 0.999) / F.col("wt_mm")
-        loss = F.least(F.col("_k") * x, F.lit(1.0))
-        loss = F.when(F.col("method") == "Kastner", F.greatest(F.lit(0.0), loss)).otherwise(F.col("_k") * x)
-        denom = 1.0 - loss * F.col("_m")
-        pf = F.when(denom <= 0, 0.0).otherwise(F.col("_a") * ((1.0 - loss) / F.nullif(denom, F.lit(0.0))))
-        pf = F.when(F.col("_floored"), F.greatest(F.lit(0.0), pf)).otherwise(pf)
-        outputs[f"_s{n}"] = mpa_to_kgcm2(pf * F.col("_fd"))
-    rows = rows.withColumns({**outputs, "_s0": F.col("sop_kgcm2")})
-    rows = rows.withColumns({
-        **{f"_e{n}": erf(F.col("maop_kgcm2"), F.col(f"_s{n}")) for n in years[1:]},
-        **{f"_p{n}": 100.0 * F.col(f"_d{n}") / F.col("wt_mm") for n in years},
-        "_e0": F.col("erf"),
-    })
-    # First year that fires, and how: twice the year, plus one for the repair factor.
-    first = F.lit(None).cast("int")
-    for n in reversed(years):
-        first = (
-            F.when(F.col(f"_p{n}") >= depth_trigger_pct, 2 * n)
-            .when(F.col(f"_e{n}") >= erf_trigger, 2 * n + 1)
-            .otherwise(first)
-        )
-    rows = rows.withColumn("_first", first)
-    year = F.floor(F.col("_first") / 2).cast("int")
-    by_depth = F.col("_first") % 2 == 0
-    final_year = F.coalesce(year, F.lit(horizon_years))
-    last_assessed = F.when(F.coalesce(by_depth, F.lit(False)) & (year > 0), year - 1).otherwise(final_year)
-    rows = rows.withColumns({
-        "repair_year_offset": year,
-        "repair_trigger": F.when(F.col("_first").isNull(), NO_TRIGGER).when(by_depth, DEPTH_TRIGGER).otherwise(ERF_TRIGGER),
-        "_final": final_year,
-        "last_assessed_year": last_assessed,
-    })
-
-    def at(prefix: str, index: Column) -> Column:
-        return F.array(*[F.col(f"{prefix}{n}") for n in years])[index]
+    steps = [step for n in years[1:] for step in _year(n)]
+    percent = [f"100D * _d{n} / wt_mm AS _p{n}" for n in years]
+    # The first year that fires, and how: twice the year, plus one for the repair factor.
+    fires = " ".join(
+        f"WHEN _p{n} >= {depth_trigger_pct}D THEN {2 * n} WHEN _e{n} >= {erf_trigger}D THEN {2 * n + 1}" for n in years
+    )
+
+    def listed(prefix: str) -> str:
+        return "array(" + ", ".join(f"{prefix}{n}" for n in years) + ")"
 
     # An assessed depth is capped just below the wall; the reported depth is not.
-    capped = [F.least(F.col(f"_d{n}"), F.col("wt_mm") * 0.999) if n else F.col("_d0") for n in years]
-    entries = F.array(*[
-        F.struct(
-            F.lit(n).alias("year"),
-            (100.0 * (capped[n] / F.col("wt_mm"))).alias("depth_pct_wt"),
-            F.col(f"_s{n}").alias("sop_kgcm2"),
-            F.col(f"_e{n}").alias("erf"),
-        )
+    entries = ", ".join(
+        f"named_struct('year', {n}, 'depth_pct_wt', 100D * ({f'least(_d{n}, wt_mm * 0.999D)' if n else '_d0'} / wt_mm),"
+        f" 'sop_kgcm2', _s{n}, 'erf', _e{n})"
         for n in years
-    ])
-    rows = rows.withColumns({
-        "predicted_repair_date": F.when(
-            F.col("repair_year_offset").isNotNull(), add_years(F.col("run2_date"), F.col("repair_year_offset"))
-        ),
-        "final_depth_mm": at("_d", F.col("_final")),
-        "final_depth_pct_wt": at("_p", F.col("_final")),
-        "final_erf": at("_e", F.col("last_assessed_year")),
-        "final_psafe_kgcm2": at("_s", F.col("last_assessed_year")),
-        "years": F.slice(entries, F.lit(1), F.col("last_assessed_year") + 1),
-        "horizon_years": F.lit(horizon_years),
-    })
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    )
+    kept = rows.columns
+    rows = rows.selectExpr("*", *_CONSTANTS).selectExpr("*", *steps).selectExpr("*", *percent)
+    rows = rows.selectExpr("*", f"CASE {fires} END AS _first").selectExpr(
+        "*",
+        "_first div 2 AS _year", "_first % 2 = 0 AS _by_depth",
+        f"coalesce(_year, {horizon_years}) AS _final",
+        "if(coalesce(_by_depth, false) AND _year > 0, _year - 1, _final) AS _last",
+    )
+    return rows.selectExpr(
+        *kept,
+        "CAST(_year AS INT) AS repair_year_offset",
+        f"CASE WHEN _first IS NULL THEN '{NO_TRIGGER}' WHEN _by_depth THEN '{DEPTH_TRIGGER}' ELSE '{ERF_TRIGGER}' END AS repair_trigger",
+        "CAST(_last AS INT) AS last_assessed_year",
+        f"date_add(run2_date, CAST(floor(_year * {DAYS_PER_YEAR}D) AS INT)) AS predicted_repair_date",
+        f"{listed('_d')}[_final] AS final_depth_mm",
+        f"{listed('_p')}[_final] AS final_depth_pct_wt",
+        f"{listed('_e')}[_last] AS final_erf",
+        f"{listed('_s')}[_last] AS final_psafe_kgcm2",
+        f"slice(array({entries}), 1, CAST(_last AS INT) + 1) AS years",
+        f"{horizon_years} AS horizon_years",
+    )
 
 
 def repair_years(predictions: DataFrame) -> DataFrame:
