@@ -193,7 +193,7 @@ def _(spark, sf):
 @query("line_findings", sql("flags", "SELECT line_id, code FROM flags WHERE source_row IS NULL"))
 def _(spark, sf):
     rows = cut(grown(spark, sf))
-    return Q.line_findings(rows, P.project(rows, current(spark, sf)))
+    return Q.line_findings(rows, cut(P.project(rows, current(spark, sf))))
 
 
 @query("issue_listing", sql("severed", """
@@ -271,9 +271,13 @@ def _(spark, sf):
     return _now_end(R.assessment_now_and_end(rows, now, P.project(rows, now)))
 
 
-@query("circumferential_controlling", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf") + " JOIN ctl c USING (source_row) WHERE c.cmethod = 'Kastner'"))
+@query("circumferential_controlling", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf")
+       + " JOIN ctl c USING (source_row) WHERE c.cmethod = 'Kastner'").replace("711.0", "114.3"))
 def _(spark, sf):
-    rows, now = cut(grown(spark, sf)), cut(current(spark, sf))
+    # Narrow pipe, on which wide defects are weaker along the circumference than along the axis.
+    dims = lines(spark, sf).withColumn("diameter_mm", F.lit(114.3))
+    rows = cut(grown(spark, sf))
+    now = cut(P.current_state(A.assess(I.assessable(T.features(spark, sf)), dims), dims))
     return _now_end(R.circumferential_controlling(rows, now, P.project(rows, now)))
 
 
