@@ -30,6 +30,7 @@ TARGET_RATE = 0.90
 ANCHOR_JOINTS = 5
 CHUNK_JOINTS = 50_000
 BATCH_JOINTS = 2_000
+SMALL_SEGMENT = 200_000
 
 PAIR_SCHEMA = (
     "line_id int, old_joint int, new_joint int, old_length_m double, new_length_m double, old_start_m double,"
@@ -137,16 +138,17 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JO
     return rows.withColumn("seg", F.coalesce("seg", F.lit(0).cast("long"))).drop("_seg")
 
 
-def _scores(a: dict, b: dict, i: int, lo: int, hi: int) -> np.ndarray:
-    """Scores of old joint i against new joints lo..hi-1, single precision."""
-    la, lb = a["length"][i], b["length"][lo:hi]
+def _scores(a: dict, b: dict, rows: slice, columns: slice) -> np.ndarray:
+    """Scores of old joints against new joints, single precision."""
+    la, lb = a["length"][rows, None], b["length"][None, columns]
+    wa, wb = a["wall"][rows, None], b["wall"][None, columns]
     longest = np.maximum(la, lb)
-    sim = np.where(longest > 0, np.float32(1.0) - np.abs(la - lb) / np.where(longest > 0, longest, np.float32(1.0)), np.float32(0.0))
-    alike = sim >= MIN_SIMILARITY
-    walls = (a["wall"][i] > 0) & (b["wall"][lo:hi] > 0) & (np.abs(a["wall"][i] - b["wall"][lo:hi]) <= WT_TOLERANCE_MM)
-    near = np.abs(a["start"][i] - b["start"][lo:hi]) <= DISTANCE_TOLERANCE_M
-    bonus = np.where(walls, np.float32(WT_BONUS), np.float32(0.0)) + np.where(near, np.float32(DISTANCE_BONUS), np.float32(0.0))
-    return np.where(alike, sim + bonus, np.float32(MISMATCH)).astype(np.float64)
+    sim = np.float32(1.0) - np.abs(la - lb) / np.where(longest > 0, longest, np.float32(1.0))
+    alike = (sim >= MIN_SIMILARITY) & (longest > 0)
+    walls = (wa > 0) & (wb > 0) & (np.abs(wa - wb) <= WT_TOLERANCE_MM)
+    near = np.abs(a["start"][rows, None] - b["start"][None, columns]) <= DISTANCE_TOLERANCE_M
+    score = sim + np.float32(WT_BONUS) * walls + np.float32(DISTANCE_BONUS) * near
+    return np.where(alike, score, np.float32(MISMATCH)).astype(np.float64)
 
 
 def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, int]]:
@@ -161,6 +163,8 @@ def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, in
     columns = np.arange(m + 1)
     stride = max(64, math.isqrt(n) + 1)
 
+    whole = _scores(a, b, slice(0, n), slice(0, m)) if n * m <= SMALL_SEGMENT else None
+
     def limits(i: int) -> tuple[int, int]:
         return max(0, i + shift - band), min(m, i + shift + band)
 
@@ -173,7 +177,8 @@ def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, in
         diag = np.full(hi - lo + 1, -np.inf)
         start = max(lo, 1)
         if start <= hi:
-            diag[start - lo:] = before[start - 1:hi] + _scores(a, b, i - 1, start - 1, hi)
+            scores = whole[i - 1, start - 1:hi] if whole is not None else _scores(a, b, slice(i - 1, i), slice(start - 1, hi))[0]
+            diag[start - lo:] = before[start - 1:hi] + scores
         best = np.maximum(diag, up)
         climb = GAP * columns[lo:hi + 1]
         row[lo:hi + 1] = np.maximum.accumulate(best - climb) + climb
@@ -188,18 +193,20 @@ def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, in
     lo, hi = limits(0)
     first[max(lo, 0):hi + 1] = GAP * columns[max(lo, 0):hi + 1] if lo <= 0 else -np.inf
     kept = {0: first}
-    row = first
+    row, choices = first, {}
     for i in range(1, n + 1):
-        row, _ = sweep(i, row, False)
+        # A segment of a single block keeps its choices on the way.
+        row, choices[i] = sweep(i, row, n <= stride)
         if i % stride == 0:
             kept[i] = row
     pairs: list[tuple[int, int]] = []
     i, j = n, m
     while i > 0 and j > 0:
         block = (i - 1) // stride * stride
-        row, choices = kept[block], {}
-        for k in range(block + 1, i + 1):
-            row, choices[k] = sweep(k, row, True)
+        if n > stride:
+            row, choices = kept[block], {}
+            for k in range(block + 1, i + 1):
+                row, choices[k] = sweep(k, row, True)
         while i > block and j > 0:
             lo, choice = choices[i]
             step = choice[j - lo] if 0 <= j - lo < len(choice) else 0
@@ -215,44 +222,47 @@ def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, in
     return pairs[::-1]
 
 
-def _arrays(part: pd.DataFrame) -> dict:
-    exact = part["length_m"].fillna(0.0).to_numpy(float)
-    return {
+def _batch_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Aligns every segment of a batch; the rows are put in order once and sliced as arrays."""
+    seg, side, pos = (pdf[c].to_numpy() for c in ("seg", "side", "pos"))
+    order = np.lexsort((pos, side, seg))
+    seg, side, pos = seg[order], side[order], pos[order]
+    exact = pdf["length_m"].fillna(0.0).to_numpy(float)[order]
+    arrays = {
         "exact": exact,
         "length": exact.astype(np.float32),
-        "wall": part["wt_mm"].fillna(0.0).to_numpy(np.float32),
-        "start": part["abs_distance_start_m"].to_numpy(np.float32),
+        "wall": pdf["wt_mm"].fillna(0.0).to_numpy(np.float32)[order],
+        "start": pdf["abs_distance_start_m"].to_numpy(np.float32)[order],
     }
-
-
-def _pair_rows(line, old: pd.DataFrame, new: pd.DataFrame, confidence) -> pd.DataFrame:
+    band = int(pdf["band"].iloc[0])
+    cuts = np.flatnonzero((np.diff(seg) != 0) | (np.diff(side) != 0)) + 1
+    edges = np.concatenate(([0], cuts, [len(seg)]))
+    old_at: list[int] = []
+    new_at: list[int] = []
+    # Runs alternate between the old and the new joints of a segment; both sides are present.
+    for k in range(0, len(edges) - 2, 2):
+        i, j, end = int(edges[k]), int(edges[k + 1]), int(edges[k + 2])
+        a = {name: v[i:j] for name, v in arrays.items()}
+        b = {name: v[j:end] for name, v in arrays.items()}
+        # Positions are line-wide, so the band means the same as in an unsegmented alignment.
+        for x, y in align_segment(a, b, band, int(pos[i] - pos[j])):
+            old_at.append(i + x)
+            new_at.append(j + y)
+    joint, start = pdf["joint_number"].to_numpy()[order], pdf["abs_distance_start_m"].to_numpy(float)[order]
+    la, lb = exact[old_at], exact[new_at]
+    length = pdf["length_m"].to_numpy(float)[order]
     return pd.DataFrame({
-        "line_id": np.full(len(old), line, dtype=np.int32),
-        "old_joint": old["joint_number"].to_numpy(np.int32),
-        "new_joint": new["joint_number"].to_numpy(np.int32),
-        "old_length_m": old["length_m"].to_numpy(float),
-        "new_length_m": new["length_m"].to_numpy(float),
-        "old_start_m": old["abs_distance_start_m"].to_numpy(float),
-        "new_start_m": new["abs_distance_start_m"].to_numpy(float),
-        "confidence": np.asarray(confidence, dtype=float),
+        "line_id": np.full(len(old_at), pdf["line_id"].iloc[0], dtype=np.int32),
+        "old_joint": joint[old_at].astype(np.int32),
+        "new_joint": joint[new_at].astype(np.int32),
+        "old_length_m": length[old_at],
+        "new_length_m": length[new_at],
+        "old_start_m": start[old_at],
+        "new_start_m": start[new_at],
+        "confidence": 1.0 - np.abs(la - lb) / np.maximum(la, lb),
     })
 
 
-def _batch_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.concat([_align_rows(part) for _, part in pdf.sort_values("pos", kind="stable").groupby("seg")])
-
-
-def _align_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    old, new = pdf[pdf["side"] == 1], pdf[pdf["side"] == 2]
-    a, b = _arrays(old), _arrays(new)
-    # Positions are line-wide, so the band means the same as in an unsegmented alignment.
-    shift = int(old["pos"].iloc[0] - new["pos"].iloc[0])
-    pairs = align_segment(a, b, int(pdf["band"].iloc[0]), shift)
-    o, n = [p[0] for p in pairs], [p[1] for p in pairs]
-    la, lb = a["exact"][o], b["exact"][n]
-    return _pair_rows(pdf["line_id"].iloc[0], old.iloc[o], new.iloc[n], 1.0 - np.abs(la - lb) / np.maximum(la, lb) if pairs else [])
-
-
 def align_by_length(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
     """Pairs of lines aligned by joint length."""
     by_length = modes.where(F.col("method") == "needleman_wunsch").select("line_id", "band")
