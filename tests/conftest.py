@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from girthline.session import local_session
 
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+    session = local_session(4, shuffle_partitions=2, memory="4g")
     yield session
     session.stop()
