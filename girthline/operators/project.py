@@ -108,8 +108,9 @@ def project_rows(
 
 def repair_years(predictions: DataFrame) -> DataFrame:
     """One row per feature and assessed year."""
+    # Every prediction has a year 0, so the outer form adds nothing and keeps a filter on the array out of the plan.
     return predictions.select(
-        "line_id", "source_row", "anomaly_id", "method", F.explode("years").alias("y")
+        "line_id", "source_row", "anomaly_id", "method", F.explode_outer("years").alias("y")
     ).select("line_id", "source_row", "anomaly_id", "method", "y.*")
 
 
