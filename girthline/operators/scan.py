@@ -104,7 +104,7 @@ def exact_quantiles(
         brackets.append(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), low.alias("low"), high.alias("high")))
     wanted = sketch.select(*keys, "n", F.explode(F.array(*brackets)).alias("_w")).select(*keys, "n", "_w.*")
     # Below the bracket only a count is needed, above it nothing.
-    near = rows.join(wanted, list(keys)) if keys else rows.crossJoin(F.broadcast(wanted))
+    near = rows.join(wanted, list(keys))
     counted = (
         near.where(F.col("_v") <= F.col("high"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("low"), F.col("_v")))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 JOINTS_PER_LINE = 750
-NULL_D = "CAST(NULL AS DOUBLE)"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -137,12 +136,19 @@ def line_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def zones(spark: SparkSession, folder: str, mode: str = "wt") -> DataFrame:
     """Two zones per line, bounded by wall thickness or by chainage."""
-    ids = line_ids(spark, folder)
     if mode == "chainage":
-        bounds = f"(0, {NULL_D}, {NULL_D}, 0.0D, 3000.0D, 0.72D, 40.0D), (1, {NULL_D}, {NULL_D}, 3000.0D, 6000.0D, 0.72D, 48.0D)"
+        bounds = ((0, None, None, 0.0, 3000.0, 40.0), (1, None, None, 3000.0, 6000.0, 48.0))
     else:
-        bounds = f"(0, 6.0D, 6.8D, {NULL_D}, {NULL_D}, 0.72D, 40.0D), (1, 6.8D, 7.5D, {NULL_D}, {NULL_D}, 0.72D, 48.0D)"
-    values = ids.sparkSession.sql(
-        f"SELECT * FROM VALUES {bounds} AS t(zone_idx, wt_mm_min, wt_mm_max, chainage_m_min, chainage_m_max, design_factor, maop_kgcm2)"
-    )
-    return ids.crossJoin(F.broadcast(values))  # two rows
+        bounds = ((0, 6.0, 6.8, None, None, 40.0), (1, 6.8, 7.5, None, None, 48.0))
+
+    def number(x: float | None, name: str) -> Column:
+        return F.lit(x).cast("double").alias(name)
+
+    entries = F.array(*[
+        F.struct(
+            F.lit(i).alias("zone_idx"), number(w0, "wt_mm_min"), number(w1, "wt_mm_max"), number(c0, "chainage_m_min"),
+            number(c1, "chainage_m_max"), number(0.72, "design_factor"), number(maop, "maop_kgcm2"),
+        )
+        for i, w0, w1, c0, c1, maop in bounds
+    ])
+    return line_ids(spark, folder).select("line_id", F.explode(entries).alias("z")).select("line_id", "z.*")
