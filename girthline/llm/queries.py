@@ -3,18 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from girthline.llm import neardup
+from girthline.llm import containment, neardup, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_byte_plane_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokenfiles.token_files(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("row_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op5_toxicity_severity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.severities(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return containment.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_byte_plane_files, op5_toxicity_severity, op6_benchmark_containment, op9_minhash_near_dedup)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SET = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+ORACLE = {
+    "op6_benchmark_containment": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        ds AS (SELECT doc_id, unnest({_SET}) AS g FROM d),
+        bs AS (SELECT item_id, {_SET} AS s FROM b),
+        be AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM bs)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+        FROM ds JOIN be USING (g) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80""",
+    "op9_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, {_SET} AS s FROM d),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pair AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id
+                 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 85),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT pair.v, reach.r FROM reach JOIN pair ON reach.doc_id = pair.u),
+        c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+}
