@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girthline.llm import containment, neardup, tokenfiles, toxicity
+from girthline.llm import containment, neardup, quality, tokenfiles, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_byte_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_toxicity_severity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.severities(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -27,17 +32,56 @@ def op6_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return urls.judged(pages, urls.rule_table(pages))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_plane_files, op5_toxicity_severity, op6_benchmark_containment, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_plane_files, op3_quality_cascade, op5_toxicity_severity, op6_benchmark_containment, op8_url_filter, op9_minhash_near_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SET = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+
 ORACLE = {
+    "op3_quality_cascade": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+        h AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM g),
+        r AS (SELECT doc_id, i FROM h JOIN (SELECT doc_id, g FROM h GROUP BY doc_id, g HAVING count(*) > 1) USING (doc_id, g)),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+        m AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+                     len(list_distinct(string_split_regex(text, '{_SPACE}+'))) AS n_distinct,
+                     length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS n_letters
+              FROM d LEFT JOIN c USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                    OR 5 * n_symbols > n_words OR 20 * n_dup_lines > n_words OR 2 * n_letters < word_chars OR n_distinct < 10) AS kept
+        FROM m""",
+    "op8_url_filter": f"""
+        WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+        p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u)
+        SELECT page_id, host, path,
+               CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+               CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'allow'
+                    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'block'
+                    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
+        FROM p""",
     "op6_benchmark_containment": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
