@@ -36,8 +36,8 @@ from girthline.session import cut
 
 BINS, ROWS, CENTRES, BROADCAST_ROWS = 240, 6, 32, 500_000
 BANDS = BINS // ROWS
-#: A smaller set has no partner at 0.85 but its equal: 6 of 7 is the first ratio above.
-LEAST = 6
+#: A smaller set has no partner at 0.8 or more but its equal: 4 of 5 is the first such ratio.
+LEAST = 4
 
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)
 _EDGES = np.array([int(x) for x in _EDGES[:-1]], np.uint64)

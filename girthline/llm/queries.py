@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girthline.llm import containment, neardup, quality, tokenfiles, toxicity, urls
+from girthline.llm import containment, licenses, mixing, neardup, preference, quality, sharding, tokenfiles, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(_table(spark, folder, "documents"))
+
+
 def op2_byte_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +28,11 @@ def op3_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    copies = mixing.mixed(_table(spark, folder, "documents"))
+    return copies.select("doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "mix_key", F.md5("text").alias("text_md5"))
+
+
 def op5_toxicity_severity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.severities(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -32,6 +41,11 @@ def op6_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    shards = sharding.sharded(_table(spark, folder, "documents"), 40)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return urls.judged(pages, urls.rule_table(pages))
@@ -42,7 +56,17 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_plane_files, op3_quality_cascade, op5_toxicity_severity, op6_benchmark_containment, op8_url_filter, op9_minhash_near_dedup)}
+def op10_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.preferences(*preference.swapped_last_replies(_table(spark, folder, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_byte_plane_files, op3_quality_cascade, op4_poisson_mix, op5_toxicity_severity,
+        op6_benchmark_containment, op7_sampled_splitters, op8_url_filter, op9_minhash_near_dedup, op10_preference_pairs,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SET = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
@@ -69,6 +93,16 @@ ORACLE = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                     OR 5 * n_symbols > n_words OR 20 * n_dup_lines > n_words OR 2 * n_letters < word_chars OR n_distinct < 10) AS kept
         FROM m""",
+    "op10_preference_pairs": """
+        WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+        p AS (SELECT a.conv_id AS pair_id, a.turn AS last, b.text AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+        c AS (SELECT pair_id, turn, role, text, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END AS bad
+              FROM conversations JOIN p ON pair_id = conv_id),
+        f AS (SELECT pair_id, min(turn) AS first FROM c WHERE text <> bad GROUP BY pair_id),
+        a AS (SELECT pair_id, CASE WHEN turn >= first THEN 'chosen' ELSE 'prompt' END AS part, turn, role, text FROM c LEFT JOIN f USING (pair_id)
+              UNION ALL SELECT pair_id, 'rejected', turn, role, bad FROM c JOIN f USING (pair_id) WHERE turn >= first)
+        SELECT pair_id, part, turn, 1 AS place, role, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS segment,
+               part <> 'prompt' AND role = 'assistant' AS train FROM a""",
     "op8_url_filter": f"""
         WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h,
                           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
@@ -82,6 +116,23 @@ ORACLE = {
                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'block'
                     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
         FROM p""",
+    "op4_poisson_mix": """
+        WITH s AS (SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS DOUBLE) AS b FROM documents GROUP BY source),
+        w AS (SELECT source, b, CASE WHEN b > 0 THEN pow(b, 0.7) ELSE 0 END AS w FROM s),
+        r AS (SELECT source, CASE WHEN w > 0 THEN w / (SELECT sum(w) FROM w) * (SELECT sum(b) FROM s) / b ELSE 0 END AS rate FROM w),
+        p AS (SELECT source, rate, CAST(greatest(ceil(rate / 64), 1) AS INT) AS parts FROM r),
+        m AS (SELECT *, rate / parts AS mu FROM p),
+        k AS (SELECT source, k, CASE WHEN mu > 0 THEN exp(k * ln(mu) - mu - lgamma(k + 1)) WHEN k = 0 THEN 1.0 ELSE 0.0 END AS q
+              FROM (SELECT source, mu, unnest(range(0, 171)) AS k FROM m)),
+        f AS (SELECT source, sum(q) OVER (PARTITION BY source ORDER BY k) AS c FROM k),
+        d AS (SELECT d.doc_id, d.source, md5(d.text) AS text_md5, m.rate, i,
+                     CAST('0x' || substr(md5('mix-1|' || i || '|' || d.doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+              FROM documents d JOIN m USING (source), LATERAL (SELECT unnest(range(1, m.parts + 1)) AS i)),
+        n AS (SELECT doc_id, d.source, text_md5, rate, count(f.c) AS n FROM d LEFT JOIN f ON f.source = d.source AND f.c < d.u
+              GROUP BY doc_id, d.source, text_md5, rate),
+        e AS (SELECT doc_id, source, text_md5, rate, n, unnest(range(1, n + 1)) AS c FROM n)
+        SELECT doc_id, source, CAST(c AS INT) AS copy, CAST(n AS INT) AS n_copies, round(rate, 9) AS rate,
+               CAST('0x' || substr(md5('mix-1|order|' || doc_id || '|' || c), 1, 15) AS BIGINT) AS mix_key, text_md5 FROM e""",
     "op6_benchmark_containment": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
