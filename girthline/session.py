@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("girthline")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,19 +18,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a scratch folder only where none is named."""
+    """Use the shared folder that the session names. Only a session on one machine may go without: its warehouse serves."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="girthline-checkpoint-"))
+    if shared is None:
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
