@@ -137,41 +137,40 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, root being the smallest node it reaches; ``links`` has (u, v)."""
-    def mark(edges):
-        return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-
-    edges = cut(links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct())
-    last = None
-    while (now := mark(edges)) != last:
-        last = now
+    """(node, root) of every node with a link but the roots, root being the smallest node it reaches; ``links`` has (u, v)."""
+    edges = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct()
+    while True:
         both = edges.union(edges.select("lo", "hi")).toDF("x", "y")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pulled = large.join(least, "hi")
         edges = cut(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+        # Done when all are stars: no node has two edges upwards or is above one node and below another.
+        ends = edges.select("hi").union(edges.select("lo").distinct())
+        if ends.groupBy("hi").count().where("count > 1").isEmpty():
+            return edges.toDF("node", "root")
 
 
-def _all_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of every node with a link but the roots."""
     buckets = nodes.where("sketch IS NOT NULL").select("node", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("k")).where("k > 1").drop("k")
     shared = cut(buckets.join(centres, "key"))
     rays = shared.where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct()
-    links = cut(_links(rays, nodes, texts, percent))
+    label = components(cut(_links(rays, nodes, texts, percent)))
     rest = shared.where("node > c").select("key", "node")
     while True:
-        label = components(links)
         rest = rest.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
         rest = cut(rest.join(several, "key"))
         if rest.isEmpty():
-            return links
+            return label
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         centre = cut(rest.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("key", F.col("node").alias("v"), F.col("root").alias("other")))
         rays = rest.join(centre, "key").where("node > v AND root != other").select(F.col("node").alias("u"), "v").distinct()
-        links = cut(links.union(_links(rays, nodes, texts, percent)).distinct())
+        # The stars found so far stand for their links.
+        label = components(cut(_links(rays, nodes, texts, percent).union(label)))
         done = centre.groupBy("key").agg(F.max("v").alias("c"))
         rest = rest.join(done, "key").where("node > c").select("key", "node")
 
@@ -186,7 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id",
             F.min("row_id").alias("name"), F.min(F.struct("row_id", "text_key")).alias("first"),
         )
     )
-    label = cut(components(_all_links(nodes, texts, percent)))
+    label = _labels(nodes, texts, percent)
+    label = label.union(label.select("root", "root").distinct())
     named = label.join(nodes.select("node", "name"), "node").groupBy("root").agg(F.min("name").alias("component"))
     linked = label.join(named, "root").select("node", "component")
     of = nodes.select("node", "name").join(linked, "node", "left").select("node", F.coalesce("component", "name").alias("component_id"))
