@@ -113,10 +113,10 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     return sized.where(alike("su", "sv") >= least)
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shingle hashes of the nodes in the pairs, from one text each."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    one = cut(nodes.join(wanted, "node").select("node", F.col("first.row_id").alias("at_id"), F.col("first.text_key").alias("at_text")))
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(f"f{x}.row_id").alias("at_id"), F.col(f"f{x}.text_key").alias("at_text")) for x in "uv"))).alias("e"))
+    one = cut(ends.select("e.*").distinct())
     one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
     found = texts.join(one, F.col("row_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")))
     return cut(found.select("node", shingles("text").alias("s")))
@@ -124,12 +124,13 @@ def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) of nodes that hold on the full sets."""
-    for side in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-    likely = cut(_plausible(pairs, percent).select("u", "v", "nu", "nv"))
-    sets = _sets(texts, nodes, likely)
+    for x in "uv":
+        side = (F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("first").alias(f"f{x}"))
+        pairs = pairs.join(nodes.select(*side), x)
+    likely = cut(_plausible(pairs, percent).select("u", "v", "nu", "nv", "fu", "fv"))
+    sets = _sets(texts, likely)
     checked = (
-        likely.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
+        likely.drop("fu", "fv").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
         .select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("common"))
     )
@@ -142,13 +143,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("x", "y")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pulled = large.join(least, "hi")
         edges = cut(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
         # Done when all are stars: no node has two edges upwards or is above one node and below another.
-        ends = edges.select("hi").union(edges.select("lo").distinct())
-        if ends.groupBy("hi").count().where("count > 1").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        if ends.groupBy("e.x").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("least")).where("n > 1 OR n = 1 AND least = 0").isEmpty():
             return edges.toDF("node", "root")
 
 
@@ -160,7 +161,7 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rays = shared.where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct()
     label = components(cut(_links(rays, nodes, texts, percent)))
     rest = shared.where("node > c").select("key", "node")
-    while True:
+    while not rest.isEmpty():
         rest = rest.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
         rest = cut(rest.join(several, "key"))
@@ -172,7 +173,8 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         # The stars found so far stand for their links.
         label = components(cut(_links(rays, nodes, texts, percent).union(label)))
         done = centre.groupBy("key").agg(F.max("v").alias("c"))
-        rest = rest.join(done, "key").where("node > c").select("key", "node")
+        rest = cut(rest.join(done, "key").where("node > c").select("key", "node"))
+    return label
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id", text: str = "text") -> DataFrame:
