@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,16 +139,20 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link but the roots, root being the smallest node it reaches; ``links`` has (u, v)."""
-    edges = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct()
+    def turned(a: str, b: str, names: tuple[str, str], flag: bool = False) -> Column:
+        ends = ((a, b, 1), (b, a, 0))
+        return F.explode(F.array(*(F.struct(F.col(x).alias(names[0]), (F.lit(up) if flag else F.col(y)).alias(names[1])) for x, y, up in ends)))
+
+    edges = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo")
     while True:
-        both = edges.union(edges.select("lo", "hi")).toDF("x", "y")
+        both = edges.select(turned("hi", "lo", ("x", "y")).alias("e")).select("e.*")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pulled = large.join(least, "hi")
         edges = cut(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
         # Done when all are stars: no node has two edges upwards or is above one node and below another.
-        ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        ends = edges.select(turned("hi", "lo", ("x", "up"), flag=True).alias("e"))
         if ends.groupBy("e.x").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("least")).where("n > 1 OR n = 1 AND least = 0").isEmpty():
             return edges.toDF("node", "root")
 
@@ -190,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id",
     label = _labels(nodes, texts, percent)
     label = label.union(label.select("root", "root").distinct())
     named = label.join(nodes.select("node", "name"), "node").groupBy("root").agg(F.min("name").alias("component"))
-    linked = label.join(named, "root").select("node", "component")
+    linked = cut(label.join(named, "root").select("node", "component"))
     of = nodes.select("node", "name").join(linked, "node", "left").select("node", F.coalesce("component", "name").alias("component_id"))
     out = (F.col("row_id").alias(row_id), "text_key", F.col("n").alias("n_shingles"))
     full = rows.where("node IS NOT NULL").select("row_id", "text_key", "n", "node").join(of, "node").select(*out, "component_id")
