@@ -40,7 +40,7 @@ from girthline.session import shared_folder
 
 BLOCK, MAGIC, LEVEL = 1 << 16, b"IDPLANE1", 3
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED, TOGETHER = 1 << 21, 256
+REMEMBERED, TOGETHER = 1 << 20, 256
 
 
 class BlockWriter:
