@@ -20,6 +20,7 @@ order of their texts' hashes. Other columns are not looked at.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -117,6 +118,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores; threads of its own would each hold memory
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
