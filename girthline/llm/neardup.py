@@ -163,22 +163,27 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     centres = buckets.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("k")).where("k > 1").drop("k")
     shared = cut(buckets.join(centres, "key"))
     rays = shared.where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct()
-    label = components(cut(_links(rays, nodes, texts, percent)))
+    links = cut(_links(rays, nodes, texts, percent))
+    # Two steps up along links: not yet the components, but nearly, and enough to see most buckets settled.
+    up = cut(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("above")))
+    top = up.select(F.col("node").alias("above"), F.col("above").alias("top"))
+    label = cut(up.join(top, "above", "left").select("node", F.coalesce("top", "above").alias("root")))
     rest = shared.where("node > c").select("key", "node")
-    while not rest.isEmpty():
+    while True:
         rest = rest.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
         rest = cut(rest.join(several, "key"))
         if rest.isEmpty():
-            return label
+            return components(links)
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         centre = cut(rest.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("key", F.col("node").alias("v"), F.col("root").alias("other")))
         rays = rest.join(centre, "key").where("node > v AND root != other").select(F.col("node").alias("u"), "v").distinct()
-        # The stars found so far stand for their links.
-        label = components(cut(_links(rays, nodes, texts, percent).union(label)))
+        links = cut(links.union(_links(rays, nodes, texts, percent)))
         done = centre.groupBy("key").agg(F.max("v").alias("c"))
         rest = cut(rest.join(done, "key").where("node > c").select("key", "node"))
-    return label
+        if rest.isEmpty():
+            return components(links)
+        label = components(links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id", text: str = "text") -> DataFrame:
