@@ -200,7 +200,7 @@ def _(spark, sf):
 
 @query("unit_hints", sql("heads files hd rowsof", """
 , firsts AS (SELECT file, ok, row_number() OVER (PARTITION BY file ORDER BY row_idx) AS rn, k FROM rowsof),
-rng AS (SELECT file, count(*) AS n, max(CASE WHEN k % 2 = 0 THEN 0 ELSE 600 END + ok % 150) AS mx FROM firsts WHERE rn <= 20 GROUP BY 1)
+rng AS (SELECT file, count(*) AS n, max(CASE WHEN k % 2 = 0 THEN 0 ELSE 600 END + ok % 150) AS mx FROM firsts GROUP BY 1)
 SELECT file, sheet, CAST(col_idx AS INTEGER) AS col_idx, hint FROM heads
 UNION ALL SELECT f.file, 'Pipe Tally', CAST(h.col_idx AS INTEGER), CASE WHEN h.hint <> '?' THEN h.hint WHEN g.n >= 3 AND g.mx < 200 THEN 'likely km'
   WHEN g.n >= 3 AND g.mx > 500 THEN 'likely m' ELSE '' END FROM files f JOIN hd h ON h.vendor = 9 LEFT JOIN rng g ON g.file = f.file""").replace("f.k = b.sk)\n\n, firsts", "f.k = b.sk),\nfirsts"))

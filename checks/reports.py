@@ -157,8 +157,9 @@ SELECT *, CASE WHEN code IN ('ERF_EXCEEDS_1', 'DEPTH_EXCEEDS_80') THEN 'error' W
 
 def findings(spark, sf):
     rows = cut(grown(spark, sf))
-    predictions = cut(P.project(rows, current(spark, sf)))
-    ffp = predictions.select("line_id", "source_row", "anomaly_id", F.explode("flags").alias("code"))
+    now = cut(current(spark, sf))
+    predictions = cut(P.project(rows, now))
+    ffp = now.select("line_id", "source_row", "anomaly_id", F.explode("flags").alias("code"))
     return Q.collect_findings([
         Q.staged(growth_flags(rows), 4), Q.staged(ffp, 5), Q.staged(ffp, 6), Q.staged(Q.line_findings(rows, predictions), 7),
     ])

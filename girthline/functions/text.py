@@ -98,7 +98,7 @@ def project_slug(name: Column, diameter_mm: Column) -> Column:
     def word(w: Column) -> Column:
         letters = F.regexp_replace(w, "[^A-Za-z]", "")
         shouted = (F.length(letters) > 2) & (letters == F.upper(letters))
-        cased = F.when(shouted, F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))).otherwise(w)
+        cased = F.when(shouted, F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))).otherwise(w)
         return F.regexp_replace(cased, "[-_]+$", "")
 
     words = F.filter(F.transform(F.split(text, r"\s+"), word), lambda w: w != "")

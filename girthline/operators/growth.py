@@ -101,6 +101,12 @@ def growth_flags(growth: DataFrame, **settings) -> DataFrame:
     return growth.select("line_id", "source_row", "anomaly_id", F.explode(growth_codes(**settings)).alias("code"))
 
 
+def interval_findings(lines: DataFrame) -> DataFrame:
+    """Lines without a positive interval between their runs: none of their features gets a rate or a repair year."""
+    bad = ~F.coalesce(F.col("years_between") > 0, F.lit(False))
+    return lines.where(bad).select("line_id", F.lit("INTERVAL_NOT_POSITIVE").alias("code")).distinct()
+
+
 def growth(
     new_features: DataFrame, matches: DataFrame, lines: DataFrame, mode: str = "hybrid",
     split_by_surface: bool = True, quantile: float = 0.95, floor_negative_at_zero: bool = True,

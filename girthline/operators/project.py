@@ -58,7 +58,7 @@ def project(
     one entry per assessed year.
     """
     rate = growth.select("line_id", "source_row", "cgr_mm_yr")
-    rows = rate.join(current, ["line_id", "source_row"]).where(F.col("cgr_mm_yr").isNotNull())
+    rows = rate.join(current.drop("cgr_mm_yr"), ["line_id", "source_row"]).where(F.col("cgr_mm_yr").isNotNull())
     return project_rows(rows, horizon_years, depth_trigger_pct, erf_trigger)
 
 
@@ -115,10 +115,11 @@ def repair_years(predictions: DataFrame) -> DataFrame:
 
 
 def current_state(assessed: DataFrame, lines: DataFrame) -> DataFrame:
-    """The controlling assessment with what a projection needs, from ``assess``."""
+    """The controlling assessment with what a projection needs, from ``assess``; with the rate if the rows carry it."""
     dims = lines.select("line_id", "run2_date")
+    rate = ["cgr_mm_yr"] if "cgr_mm_yr" in assessed.columns else []
     kept = assessed.select(
-        "line_id", "source_row", "anomaly_id", "diameter_mm", "smys_mpa", "uts_mpa", "zone_fallback",
+        *rate, "line_id", "source_row", "anomaly_id", "diameter_mm", "smys_mpa", "uts_mpa", "zone_fallback",
         "design_factor", "controlling.*",
     )
     return kept.join(dims, "line_id", "left")

@@ -65,15 +65,18 @@ def assess_lines(
         pool, matches, lines, settings.growth_mode, settings.split_by_surface, settings.population_quantile,
         settings.floor_negative_at_zero, settings.unmatched_depth_pct, keep=cut,
     ))
-    # The assessment is row-local, so it runs on the growth rows and the projection needs no join.
+    # The assessment is row-local, so it runs on the growth rows and the projection needs no join. Findings come from it and not
+    # from the predictions, which a feature without a rate doesn't reach.
     assessed = assess.assess(grown, lines, settings.primary_method)
-    current = project.current_state(assessed.withColumn("_cgr", F.col("cgr_mm_yr")), lines)
-    predictions = cut(project.project(grown, current, settings.horizon_years, settings.depth_trigger_pct, settings.erf_trigger))
+    current = cut(project.current_state(assessed, lines))
+    rated = current.where(F.col("cgr_mm_yr").isNotNull())
+    predictions = cut(project.project_rows(rated, settings.horizon_years, settings.depth_trigger_pct, settings.erf_trigger))
     stages = [
         flags.staged(alignment.alignment_codes(aligned), 2),
         flags.staged(matching.match_codes(summary), 3),
         flags.staged(growth.growth_flags(grown, floor_negative_at_zero=settings.floor_negative_at_zero), 4),
-        flags.staged(predictions.select("line_id", "source_row", "anomaly_id", F.explode("flags").alias("code")), 5),
+        flags.staged(growth.interval_findings(lines), 4),
+        flags.staged(current.select("line_id", "source_row", "anomaly_id", F.explode("flags").alias("code")), 5),
         flags.staged(flags.line_findings(grown, predictions), 7),
     ]
     if reader_codes is not None:

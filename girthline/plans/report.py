@@ -288,15 +288,16 @@ def orientation_rose(growth: DataFrame, lines: DataFrame) -> DataFrame:
     return _filled(counted, spine, ["line_id", "sector"])
 
 
-def erf_scatter(current: DataFrame, walls: int = 3) -> DataFrame:
-    """Length, depth and repair factor of the features on each line's first wall thicknesses."""
+def erf_scatter(current: DataFrame, walls: int | None = None) -> DataFrame:
+    """Length, depth and repair factor of the features by wall thickness; ``walls`` keeps each line's first ones, for a drawing."""
     rounded = F.bround("wt_mm", 1)
+    rows = current.withColumn("wall_mm", rounded).where((F.col("wt_mm") > 0) & (F.abs(F.col("wt_mm") - F.col("wall_mm")) < 0.05))
+    kept = (*ROW, "wall_mm", "length_mm", "depth_pct_wt", "erf")
+    if walls is None:
+        return rows.select(*kept)
     first = current.where(F.col("wt_mm") > 0).select("line_id", rounded.alias("wall_mm")).distinct()
     first = first.withColumn("_k", F.row_number().over(Window.partitionBy("line_id").orderBy("wall_mm"))).where(F.col("_k") <= walls)
-    rows = current.withColumn("wall_mm", rounded).where(F.abs(F.col("wt_mm") - F.col("wall_mm")) < 0.05)
-    return rows.join(first.drop("_k"), ["line_id", "wall_mm"], "left_semi").select(
-        *ROW, "wall_mm", "length_mm", "depth_pct_wt", "erf"
-    )
+    return rows.join(first.drop("_k"), ["line_id", "wall_mm"], "left_semi").select(*kept)
 
 
 def repair_timeline(predictions: DataFrame) -> DataFrame:

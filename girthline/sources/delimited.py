@@ -64,5 +64,6 @@ def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_canonical(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Canonical tables, one folder per line and run so that later reads prune."""
-    df.write.mode("errorifexists").partitionBy("line_id", "run_id").format(form).option("header", True).save(path)
+    """Canonical tables, one folder per line and run so that later reads prune; each folder's rows come from one task or, where a
+    line is large, from the few that adaptive execution splits it into."""
+    df.hint("rebalance", "line_id", "run_id").write.mode("errorifexists").partitionBy("line_id", "run_id").format(form).option("header", True).save(path)
