@@ -54,14 +54,14 @@ def _counts(text: pa.Array):
             yield np.unique(here[here >= 0], return_counts=True)
 
 
-FEATURES = T.StructType([T.StructField("bins", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+FEATURES = T.StructType([T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
 @F.arrow_udf(FEATURES)
 def features(text: pa.Array) -> pa.Array:
     found = list(_counts(text))
     return pa.StructArray.from_arrays(
-        [B.lists([x for x, _ in found], pa.int64()), B.lists([x.astype(np.int64) for _, x in found], pa.int64())], names=["bins", "counts"]
+        [B.lists([x.astype(np.int32) for x, _ in found], pa.int32()), B.lists([x.astype(np.int32) for _, x in found], pa.int32())], names=["bins", "counts"]
     )
 
 
@@ -97,9 +97,10 @@ def fit_arrays(bins: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarr
     """Fits on sparse rows of bins and counts."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return NOTHING
-    row = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    row = np.repeat(np.arange(len(bins), dtype=np.int32), [len(b) for b in bins])
     col, value = np.concatenate(bins), np.log1p(np.concatenate(counts))
     used, col = np.unique(col, return_inverse=True)
+    col = col.astype(np.int32)
     of_toxic = toxic[row]
     a, b = np.bincount(col, of_toxic, len(used)), np.bincount(col, ~of_toxic, len(used))
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
@@ -137,7 +138,7 @@ def fit_arrays(bins: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarr
                 w[:] = np.sign(w) * np.maximum(np.abs(w) - rate * L1 / scale, 0)
         theta = np.maximum.accumulate(theta + np.array([0, 1e-6, 2e-6]))
     full = np.flatnonzero(w)
-    return Model(used[full], w[full] * idf[full], theta)
+    return Model(used[full].astype(np.int64), w[full] * idf[full], theta)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k_id")).select("doc_id", "y", features("text").alias("f"))
     rows = found.select("doc_id", "y", "f.bins", "f.counts").toArrow().sort_by("doc_id")
     y = np.array(rows["y"].to_pylist(), np.int64) > 0
-    split = lambda c: [np.asarray(x.values.to_numpy(), np.int64) for x in rows[c].combine_chunks()] if len(rows) else []
+    split = lambda c: [x.values.to_numpy() for x in rows[c].combine_chunks()] if len(rows) else []
     return fit_arrays(split("bins"), split("counts"), y)
 
 
