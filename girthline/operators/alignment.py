@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from girthline.operators.scan import chunk_of, numbered, running
@@ -222,8 +221,10 @@ def align_segment(a: dict, b: dict, band: int, shift: int) -> list[tuple[int, in
     return pairs[::-1]
 
 
-def _batch_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Aligns every segment of a batch; the rows are put in order once and sliced as arrays."""
+def _batch_kernel(pdf):
+    """Aligns every segment of a batch, a pandas frame; the rows are put in order once and sliced as arrays."""
+    import pandas as pd
+
     seg, side, pos = (pdf[c].to_numpy() for c in ("seg", "side", "pos"))
     order = np.lexsort((pos, side, seg))
     seg, side, pos = seg[order], side[order], pos[order]
@@ -290,7 +291,7 @@ def align_by_length(joints: DataFrame, modes: DataFrame, anchor_joints: int = AN
     return sure.select(*solved.columns).unionByName(solved).withColumn("matched_via", F.lit("needleman_wunsch"))
 
 
-def _merge(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merge(rows: Iterator) -> Iterator:
     """Greedy pairing of joints in chainage order; batches arrive sorted by line and chainage.
 
     Two queues hold the joints still waiting for the other run. They never reach further than the tolerance,
@@ -298,6 +299,8 @@ def _merge(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     from collections import deque
 
+    import pandas as pd
+
     line, queues = None, {1: deque(), 2: deque()}
 
     def drain(out: list, final: bool) -> None:

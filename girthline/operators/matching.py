@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from girthline.functions import clock
@@ -199,7 +198,7 @@ def _candidates(o: dict, n: dict, limits: Sequence[float]) -> tuple[np.ndarray,
     return i, j, np.where(o["parent"][i] != n["parent"][j], cost + CLUSTER_PENALTY, cost)
 
 
-def solve_island(pdf: pd.DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[int, int, float, int]]:
+def solve_island(pdf, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[int, int, float, int]]:
     """(old index, new index, cost, pass) over the rows of one island.
 
     In each pass as many pairs as possible are assigned at least total cost; a pair above the pass's ceiling
@@ -250,7 +249,9 @@ def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASS
     """Islands with a choice: exact assignment, one island per group."""
     limits = tuple(tuple(float(x) for x in p) for p in passes)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(pdf):
+        import pandas as pd
+
         pdf = pdf.reset_index(drop=True)
         rows = solve_island(pdf, limits)
         o, n = [r[0] for r in rows], [r[1] for r in rows]
