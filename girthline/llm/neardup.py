@@ -11,7 +11,7 @@ Jaccard similarity of their sets is at least ``percent`` / 100, checked on the f
 * A bucket (nodes with one band key) gives a star: an edge from each member to the smallest one, so its pairs are as many as
   its members. Edges whose set sizes or signatures rule the similarity out go; the others are checked on the full sets.
 * A star may miss the link between two of its rays. So buckets that still hold several components get further stars around
-  their next ``CENTRES`` members, again and again until no pair of different components in any bucket is left untested. Groups
+  their next ``CENTRES`` members, then twice as many each round, until no pair of different components in any bucket is left untested. Groups
   of true copies close after the first star, whatever their size.
 * Shingles are not stored for all documents: those of the candidates are taken anew from their texts. The list of candidates
   goes to the executors as a broadcast if a count shows at most ``BROADCAST_ROWS`` of them, else the texts are joined by shuffle.
@@ -119,7 +119,7 @@ def _sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     one = cut(ends.select("e.*").distinct())
     one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
     found = texts.join(one, F.col("row_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")))
-    return cut(found.select("node", shingles("text").alias("s")))
+    return _round(found.select("node", shingles("text").alias("s")))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
     for x in "uv":
         side = (F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("first").alias(f"f{x}"))
         pairs = pairs.join(nodes.select(*side), x)
-    likely = cut(_plausible(pairs, percent).select("u", "v", "nu", "nv", "fu", "fv"))
+    likely = _round(_plausible(pairs, percent).select("u", "v", "nu", "nv", "fu", "fv"))
     sets = _sets(texts, likely)
     checked = (
         likely.drop("fu", "fv").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
@@ -137,6 +137,14 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
     return checked.where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v").distinct()
 
 
+def _round(df: DataFrame) -> DataFrame:
+    """Cuts the lineage at the end of a round. Spark drops shuffles, broadcasts and checkpoints of earlier rounds only once the
+    driver's JVM has collected their handles, which a large heap puts off for long; so ask for it."""
+    kept = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link but the roots, root being the smallest node it reaches; ``links`` has (u, v)."""
     def turned(a: str, b: str, names: tuple[str, str], flag: bool = False) -> Column:
@@ -150,7 +158,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pulled = large.join(least, "hi")
-        edges = cut(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
+        edges = _round(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
         # Done when all are stars: no node has two edges upwards or is above one node and below another.
         ends = edges.select(turned("hi", "lo", ("x", "up"), flag=True).alias("e"))
         if ends.groupBy("e.x").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("least")).where("n > 1 OR n = 1 AND least = 0").isEmpty():
@@ -165,22 +173,24 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rays = shared.where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct()
     links = cut(_links(rays, nodes, texts, percent))
     # Two steps up along links: not yet the components, but nearly, and enough to see most buckets settled.
-    up = cut(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("above")))
+    up = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("above"))
     top = up.select(F.col("node").alias("above"), F.col("above").alias("top"))
     label = cut(up.join(top, "above", "left").select("node", F.coalesce("top", "above").alias("root")))
     rest = shared.where("node > c").select("key", "node")
+    centres = CENTRES
     while True:
         rest = rest.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-        rest = cut(rest.join(several, "key"))
+        rest = _round(rest.join(several, "key"))
         if rest.isEmpty():
             return components(links)
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        centre = cut(rest.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("key", F.col("node").alias("v"), F.col("root").alias("other")))
+        centre = cut(rest.withColumn("rank", rank).where(F.col("rank") <= centres).select("key", F.col("node").alias("v"), F.col("root").alias("other")))
         rays = rest.join(centre, "key").where("node > v AND root != other").select(F.col("node").alias("u"), "v").distinct()
         links = cut(links.union(_links(rays, nodes, texts, percent)))
+        centres *= 2
         done = centre.groupBy("key").agg(F.max("v").alias("c"))
-        rest = cut(rest.join(done, "key").where("node > c").select("key", "node"))
+        rest = _round(rest.join(done, "key").where("node > c").select("key", "node"))
         if rest.isEmpty():
             return components(links)
         label = components(links)
@@ -197,10 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id",
         )
     )
     label = _labels(nodes, texts, percent)
-    label = label.union(label.select("root", "root").distinct())
-    named = label.join(nodes.select("node", "name"), "node").groupBy("root").agg(F.min("name").alias("component"))
-    linked = cut(label.join(named, "root").select("node", "component"))
-    of = nodes.select("node", "name").join(linked, "node", "left").select("node", F.coalesce("component", "name").alias("component_id"))
+    rooted = nodes.select("node", "name").join(label, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
+    of = rooted.join(rooted.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id")
     out = (F.col("row_id").alias(row_id), "text_key", F.col("n").alias("n_shingles"))
     full = rows.where("node IS NOT NULL").select("row_id", "text_key", "n", "node").join(of, "node").select(*out, "component_id")
     empty = rows.where("node IS NULL").select(*out, F.col("row_id").alias("component_id"))
