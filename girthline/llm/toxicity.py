@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from girthline.llm import bytewords as B
+from girthline.session import cut
 
 BINS, GRADES, SAMPLE = 1 << 18, 4, 6000
 STEPS, RATE, L1, SIGNIFICANT = 1500, 0.1, 4e-5, 25.0
+#: Documents that must have a feature before it counts.
+LEAST = 3
 #: Beginnings of words that are features besides the words, in bytes: they hold for forms that no label has shown.
 STEMS = (4, 5, 6)
 
@@ -93,28 +96,41 @@ class Model:
 NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 500.0))
 
 
-def fit_arrays(bins: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Fits on sparse rows of bins and counts."""
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return NOTHING
-    row = np.repeat(np.arange(len(bins), dtype=np.int32), [len(b) for b in bins])
-    col, value = np.concatenate(bins), np.log1p(np.concatenate(counts))
-    used, col = np.unique(col, return_inverse=True)
-    col = col.astype(np.int32)
-    of_toxic = toxic[row]
-    a, b = np.bincount(col, of_toxic, len(used)), np.bincount(col, ~of_toxic, len(used))
-    odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
-    strong = (odds >= 2) & (a >= 3)
-    burden = np.bincount(row, value * strong[col], len(bins))
-    cuts = np.quantile(burden[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (burden[:, None] > cuts[None, :]).sum(axis=1), 0)
+@dataclass
+class Telling:
+    """Sorted feature bins that speak for a kind or carry a weight, and how many toxic and clean documents have them."""
 
-    idf = np.log(len(bins) / (a + b))
+    bins: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+    strong: np.ndarray
+    weighted: np.ndarray
+
+
+def telling(bins: np.ndarray, a: np.ndarray, b: np.ndarray, y: int, n: int) -> Telling:
+    """Of bins in ``a`` toxic and ``b`` clean documents those that matter, with ``y`` of ``n`` documents toxic."""
+    odds = np.log((a + 0.5) / (y + 1)) - np.log((b + 0.5) / (n - y + 1))
+    strong = (odds >= 2) & (a >= LEAST)
     # Words whose presence tells the kinds apart beyond chance (chi-square of the two-by-two table); the others would only learn
     # the noise in the labels by heart.
-    n, with_word, y = len(bins), a + b, int(toxic.sum())
+    with_word = a + b
     chi = n * (a * (n - y - b) - b * (y - a)) ** 2 / np.maximum(with_word * (n - with_word) * y * (n - y), 1e-9)
-    keep = ((chi >= SIGNIFICANT) & (with_word >= 3))[col]
+    weighted = (chi >= SIGNIFICANT) & (with_word >= LEAST)
+    at = strong | weighted
+    return Telling(bins[at], a[at], b[at], strong[at], weighted[at])
+
+
+def fit_arrays(bins: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, told: Telling) -> Model:
+    """Fits on sparse rows of told bins and their counts, with documents of both kinds."""
+    used = told.bins
+    row = np.repeat(np.arange(len(bins), dtype=np.int32), [len(b) for b in bins])
+    col, value = np.searchsorted(used, np.concatenate(bins)), np.log1p(np.concatenate(counts))
+    burden = np.bincount(row, value * told.strong[col], len(bins))
+    cuts = np.quantile(burden[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + (burden[:, None] > cuts[None, :]).sum(axis=1), 0)
+
+    idf = np.log(len(bins) / (told.toxic + told.clean))
+    keep = told.weighted[col]
     row, col, value = row[keep], col[keep], value[keep] * idf[col[keep]]
     w, theta = np.zeros(len(used)), np.array([1.0, 2.0, 3.0])
     moments = [np.zeros(len(used)), np.zeros(len(used)), np.zeros(3), np.zeros(3)]
@@ -141,15 +157,40 @@ def fit_arrays(bins: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarr
     return Model(used[full].astype(np.int64), w[full] * idf[full], theta)
 
 
+def _narrowed(wanted: np.ndarray):
+    """A column function that keeps of a row's features those with a wanted bin."""
+
+    @F.arrow_udf(FEATURES)
+    def narrow(f: pa.Array) -> pa.Array:
+        kept = []
+        for x in f:
+            bins, counts = (x[k].values.to_numpy() for k in ("bins", "counts"))
+            here = np.isin(bins, wanted)
+            kept.append((bins[here], counts[here]))
+        return pa.StructArray.from_arrays([B.lists([x[k] for x in kept], pa.int32()) for k in (0, 1)], names=["bins", "counts"])
+
+    return narrow
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the labelled documents whose hashed ids are smallest."""
+    """Fits on the labelled documents whose hashed ids are smallest.
+
+    Spark counts the documents with each feature; the driver gets those counts, ``BINS`` at most, and of the sample's rows only
+    the features that matter.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("k_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("k_id"), "k_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k_id")).select("doc_id", "y", features("text").alias("f"))
-    rows = found.select("doc_id", "y", "f.bins", "f.counts").toArrow().sort_by("doc_id")
-    y = np.array(rows["y"].to_pylist(), np.int64) > 0
-    split = lambda c: [x.values.to_numpy() for x in rows[c].combine_chunks()] if len(rows) else []
-    return fit_arrays(split("bins"), split("counts"), y)
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k_id"))
+    found = cut(joined.select("doc_id", (F.col("y") > 0).alias("toxic"), features("text").alias("f")))
+    n, y = found.agg(F.count("*"), F.count_if("toxic")).first()
+    if y in (0, n):
+        return NOTHING
+    seen = found.select("toxic", F.explode("f.bins").alias("bin")).groupBy("bin").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    seen = seen.where(F.col("a") + F.col("b") >= LEAST).toArrow().sort_by("bin")
+    told = telling(seen["bin"].to_numpy(), *(seen[c].to_numpy().astype(float) for c in "ab"), y, n)
+    rows = found.select("doc_id", "toxic", _narrowed(told.bins)("f").alias("f")).select("doc_id", "toxic", "f.bins", "f.counts").toArrow().sort_by("doc_id")
+    bins, counts = ([x.values.to_numpy() for x in rows[c].combine_chunks()] for c in ("bins", "counts"))
+    return fit_arrays(bins, counts, np.array(rows["toxic"].to_pylist(), bool), told)
 
 
 SCORED = T.StructType([*(T.StructField(f"p{k}", T.DoubleType()) for k in range(GRADES)), T.StructField("severity", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
