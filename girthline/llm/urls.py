@@ -24,13 +24,19 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``, null without one. Found once for host and path, so a later ``://`` can't count."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3))
+
+
 def host_of(url: Column) -> Column:
-    after = F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)
+    after = F.regexp_extract(_after_scheme(url), r"\A([^/?#]*)", 1)
     return F.coalesce(F.translate(after, CAPITALS, SMALL), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*+(/[^?#]*)", 1), F.lit(""))
 
 
 def _digest(host: Column, path: Column) -> Column:

@@ -243,6 +243,22 @@ def test_urls(spark):
     assert [r.verdict for r in urls.judged(page, tied.limit(0)).collect()] == ["allow"]
 
 
+def test_urls_with_a_second_scheme(spark):
+    cases = {
+        "http://example.net?u=http://x/en/": ("example.net", "", None, "allow"),
+        "http://example.net#http://x/en/": ("example.net", "", None, "allow"),
+        "http://a.net?u=http://b/en/": ("a.net", "", None, "allow"),
+        "http://a.net://b/en/": ("a.net:", "//b/en/", None, "allow"),
+        "http://a.net/x?u=http://b/en/": ("a.net", "/x", "net/", "block"),
+        "://example.net/en/\n?q": ("example.net", "/en/\n", "example.net/en/", "allow"),
+        "a\nb://EXAMPLE.net/en/": ("example.net", "/en/", "example.net/en/", "allow"),
+        "http://": ("", "", None, "allow"), "http:/a/en/": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages, urls.rule_table(pages)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng, rows, labels = random.Random(5), [], []
     for i in range(900):
