@@ -132,7 +132,7 @@ def _(spark, sf):
 SELECT file, sheet, CAST(header_row AS INTEGER) AS header_row, CASE vendor WHEN 0 THEN 11 WHEN 1 THEN 9 ELSE 7 END AS hits FROM files"""))
 def _(spark, sf):
     synonyms = L.synonym_rows(spark, vocab.PROFILE_FIELDS)
-    return L.pick_profile_sheet(L.header_rows(cells(spark, sf), synonyms, text.norm_plain(F.col("value")), 12)).select("file", "sheet", "header_row", "hits")
+    return L.pick_profile_sheet(L.header_rows(cells(spark, sf), synonyms, text.norm_plain(F.col("value")))).select("file", "sheet", "header_row", "hits")
 
 
 @query("defect_sheet_by_name", sql("files", "SELECT file, sheet FROM files"))
@@ -153,7 +153,7 @@ def _(spark, sf):
 ) + ") AS t(key, canonical) WHERE EXISTS (SELECT 1 FROM supplier)")
 def _(spark, sf):
     # The vocabulary as used on the headers of the files: every key is looked up among their cells' keys.
-    used = cells(spark, sf).where("row_idx < 10").select(text.norm(F.col("value")).alias("key")).distinct()
+    used = cells(spark, sf).select(text.norm(F.col("value")).alias("key")).distinct()
     index = L.synonym_index(L.synonym_rows(spark))
     return index.join(used, "key", "left").select("key", "canonical")
 
@@ -175,7 +175,7 @@ def _(spark, sf):
 def proposed(spark, sf):
     synonyms = L.synonym_rows(spark, vocab.PROFILE_FIELDS)
     found = cells(spark, sf)
-    chosen = L.pick_profile_sheet(L.header_rows(found, synonyms, text.norm_plain(F.col("value")), 12))
+    chosen = L.pick_profile_sheet(L.header_rows(found, synonyms, text.norm_plain(F.col("value"))))
     return found, chosen, L.propose_mapping(found, chosen, synonyms)
 
 
@@ -208,7 +208,8 @@ def _(spark, sf):
     found = cells(spark, sf)
     chosen = L.header_rows(found, L.synonym_index(L.synonym_rows(spark))).where("hits >= 4")
     columns = L._header_cells(found, chosen).select("file", "sheet", "col_idx", F.col("value").alias("header"))
-    return L.unit_hints(columns, found.where("row_idx >= 10")).drop("header")
+    below = found.join(chosen.select("file", "sheet", "header_row"), ["file", "sheet"]).where("row_idx > header_row")
+    return L.unit_hints(columns, below.drop("header_row")).drop("header")
 
 
 @query("unique_column_names", sql("heads", """
