@@ -266,13 +266,9 @@ def matches(spark, sf):
 @query("match_costs", sql("costed", f"""
 SELECT old_source_row, new_source_row, {r('axial')} AS axial_m, {r('turn')} AS clock_h, {r('match_score')} AS match_score FROM costed"""))
 def _(spark, sf):
-    rows = M.with_islands(M.sided(T.features(spark, sf, 1), T.features(spark, sf, 2), T.true_joint_pairs(spark, sf)), 1.0)
-    pair = rows.where((F.col("n_old") == 1) & (F.col("n_new") == 1)).groupBy(*M.ISLAND).agg(
-        F.max(F.when(F.col("side") == 1, F.struct(*M._SIDE))).alias("o"),
-        F.max(F.when(F.col("side") == 2, F.struct(*M._SIDE))).alias("n"),
-    )
+    pair = M.candidates(M.sided(T.features(spark, sf, 1), T.features(spark, sf, 2), T.true_joint_pairs(spark, sf)), 1.0)
     axial, turn, cost = M.pair_cost(F.col("o"), F.col("n"))
-    return pair.where(axial <= 1.0).select(
+    return pair.select(
         F.col("o.source_row").alias("old_source_row"), F.col("n.source_row").alias("new_source_row"),
         rx(axial, "axial_m"), rx(turn, "clock_h"), rx(cost, "match_score"),
     )

@@ -155,14 +155,15 @@ SELECT *, CASE WHEN code IN ('ERF_EXCEEDS_1', 'DEPTH_EXCEEDS_80') THEN 'error' W
   'POPULATION_FLOOR_APPLIED') THEN 'info' ELSE 'warn' END AS severity FROM flags""")
 
 
+def assessed_lines(spark, sf):
+    return C.assess_lines(
+        T.features(spark, sf, 1), T.features(spark, sf, 2), T.joints(spark, sf, 1), T.joints(spark, sf, 2), T.lines(spark, sf)
+    )
+
+
 def findings(spark, sf):
-    rows = cut(grown(spark, sf))
-    now = cut(current(spark, sf))
-    predictions = cut(P.project(rows, now))
-    ffp = now.select("line_id", "source_row", "anomaly_id", F.explode("flags").alias("code"))
-    return Q.collect_findings([
-        Q.staged(growth_flags(rows), 4), Q.staged(ffp, 5), Q.staged(ffp, 6), Q.staged(Q.line_findings(rows, predictions), 7),
-    ])
+    """Findings of all stages of the chain. The features are derived from tables and not read, so stage 1 has none."""
+    return assessed_lines(spark, sf).findings
 
 
 @query("findings_collected", sql("severed", "SELECT line_id, source_row, code, CAST(stage AS INTEGER) AS stage, severity FROM severed"))
@@ -450,12 +451,6 @@ def _(spark, sf):
 
 # --- chain -----------------------------------------------------------------------------------------------------
 
-def assessed_lines(spark, sf):
-    return C.assess_lines(
-        T.features(spark, sf, 1), T.features(spark, sf, 2), T.joints(spark, sf, 1), T.joints(spark, sf, 2), T.lines(spark, sf)
-    )
-
-
 @query("line_verdicts")
 def _(spark, sf):
     return C.verdicts(assessed_lines(spark, sf))

@@ -98,6 +98,20 @@ def with_islands(features: DataFrame, tolerance: float) -> DataFrame:
     ).drop("_cell")
 
 
+def candidates(features: DataFrame, tolerance: float) -> DataFrame:
+    """Structs ``o`` and ``n`` of all pairs of an old and a new feature on one joint that are no farther apart than the tolerance.
+
+    Old features meet the new ones of their own and the two neighbouring cells, two tolerances wide so that rounding can't part a pair.
+    """
+    def side(number: int, name: str, cell: Column) -> DataFrame:
+        return features.where(F.col("side") == number).select("line_id", "old_joint", F.struct(*_SIDE).alias(name), cell.alias("_cell"))
+
+    cell = F.floor(F.col("pos") / (2 * tolerance)).cast("long")
+    near = F.explode(F.array(cell - 1, cell, cell + 1))
+    pairs = side(1, "o", cell).join(side(2, "n", near), ["line_id", "old_joint", "_cell"])
+    return pairs.where(F.abs(F.col("o.pos") - F.col("n.pos")) <= tolerance).drop("_cell")
+
+
 def match_single(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> DataFrame:
     """Islands with one feature per run: the first pass whose tolerances and ceiling the pair meets."""
     def one(side: int, *columns: str) -> Column:
