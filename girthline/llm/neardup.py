@@ -196,8 +196,8 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         label = components(links)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: ``row_id``, ``text_key`` (hash of the text), ``n_shingles``, ``component_id``, ``kept``."""
+def _grouped(docs: DataFrame, percent: int, row_id: str, text: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with the ``root`` node of their component, null without words."""
     texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     rows = cut(texts.select("row_id", "text_key", sketched("text").alias("k")).select("row_id", "text_key", "k.*"))
     nodes = cut(
@@ -208,17 +208,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id",
     )
     label = _labels(nodes, texts, percent)
     rooted = nodes.select("node", "name").join(label, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
-    of = rooted.join(rooted.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id")
+    of = rooted.join(rooted.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id", "root")
     out = (F.col("row_id").alias(row_id), "text_key", F.col("n").alias("n_shingles"))
-    full = rows.where("node IS NOT NULL").select("row_id", "text_key", "n", "node").join(of, "node").select(*out, "component_id")
-    empty = rows.where("node IS NULL").select(*out, F.col("row_id").alias("component_id"))
+    full = rows.where("node IS NOT NULL").select("row_id", "text_key", "n", "node").join(of, "node").select(*out, "component_id", "root")
+    empty = rows.where("node IS NULL").select(*out, F.col("row_id").alias("component_id"), F.lit(None).cast(full.schema["root"].dataType).alias("root"))
     return full.unionByName(empty).withColumn("kept", F.col(row_id).eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: ``row_id``, ``text_key`` (hash of the text), ``n_shingles``, ``component_id``, ``kept``."""
+    return _grouped(docs, percent, row_id, text).drop("root")
+
+
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents without all but one of each group; documents without words and rows without an id stay."""
-    stay = near_duplicates(docs, percent).where("kept")
-    one = stay.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    """The documents without all but one of each group; documents without words and rows without an id stay.
+
+    Groups are told apart by their root and not by the id that names them, so unlike texts under one id all stay.
+    """
+    stay = _grouped(docs, percent, "doc_id", "text").where("kept")
+    one = stay.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key")).drop("root")
     always = stay.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "text_key").distinct()
     names = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))

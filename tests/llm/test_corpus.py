@@ -100,6 +100,14 @@ def test_deduplicate_keeps_one_of_each_group(docs, rows):
     assert ids[4] == ids[5] == ids[6] == 1 and ids[None] == 2
 
 
+def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
+    one, other, third = prose(21, 120), prose(22, 120), prose(23, 120)
+    rows = [(7, one), (7, other), (7, other), (7, changed(other, 1)), (8, changed(one, 1)), (9, third), (7, ""), (9, changed(third, 1))]
+    got = [tuple(r) for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()]
+    assert Counter(i for i, _ in got) == {7: 3, 9: 1}
+    assert {(7, one), (7, "")} < set(got) and len({(7, other), (7, changed(other, 1))} & set(got)) == 1
+
+
 def test_bands_miss_little_at_the_threshold():
     import numpy as np
 
