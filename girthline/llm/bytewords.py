@@ -19,9 +19,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWERED_VALUES = _BYTE_VALUES[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_LOWERED_VALUES = _BYTE_VALUES[LOWER]
 
 #: Bytes of a word: everything but white space, or letters and digits and all beyond ASCII (capitals count as their small form).
 NOT_SPACE = np.ones(256, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girthline.llm import containment, licenses, mixing, neardup, preference, quality, sharding, tokenfiles, toxicity, urls
+from girthline.llm import blocknames, clusters, containment, divergence, licenses, mixing, neardup, preference, quality, sharding, tokenfiles, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,17 +60,52 @@ def op10_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return preference.preferences(*preference.swapped_last_replies(_table(spark, folder, "conversations")))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(_table(spark, folder, "documents"))
+
+
+def op12_block_names(spark: SparkSession, folder: str) -> DataFrame:
+    found = blocknames.exact_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_rotated_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.clustered(_table(spark, folder, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_byte_plane_files, op3_quality_cascade, op4_poisson_mix, op5_toxicity_severity,
         op6_benchmark_containment, op7_sampled_splitters, op8_url_filter, op9_minhash_near_dedup, op10_preference_pairs,
+        op11_source_divergence, op12_block_names, op13_rotated_clusters,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SET = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Every round is a pair of CTEs: all distances to the centroids before, then their exact floored means."""
+    nearest = "SELECT vec_id, min(struct_pack(d := d, k := k)) AS b FROM (SELECT vec_id, k, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN {c} c USING (i) GROUP BY vec_id, k) GROUP BY vec_id"
+    steps = [f"a{r} AS MATERIALIZED ({nearest.format(c=f'c{r}')})" if r == rounds else f"""a{r} AS MATERIALIZED ({nearest.format(c=f'c{r}')}),
+        m{r} AS MATERIALIZED (SELECT b.k AS k, i, sum(x) AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id) GROUP BY b.k, i),
+        c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, CASE WHEN s IS NULL THEN c.x WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS x
+              FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k AND c.i = m.i)""" for r in range(rounds + 1)]
+    return f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        e AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(x) AS x FROM v),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v),
+        c0 AS MATERIALIZED (SELECT k, i, x FROM e JOIN f USING (vec_id) WHERE k < 8),
+        {', '.join(steps)},
+        h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+        SELECT vec_id, CAST(b.k AS INT) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(b.d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h ON h.k = b.k"""
+
+
 _SPACE = "[\\x20\\x09-\\x0D]"
 
 ORACLE = {
@@ -150,4 +185,28 @@ ORACLE = {
         reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT pair.v, reach.r FROM reach JOIN pair ON reach.doc_id = pair.u),
         c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+        w AS (SELECT r, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM t),
+        k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, lang_n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM x),
+        p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (total + 2 * v) AS p,
+                     1 + CAST(1000000000 AS HUGEINT) * (lang_n + 2) // (lang_total + 2 * v) AS q FROM y JOIN l USING (lang)),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER z AS INT) AS rank
+        FROM o WINDOW z AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER z <= 10""",
+    "op12_block_names": """
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS chars FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER best = 1 AS kept,
+               sha256(t) AS text_sha256 FROM n WINDOW best AS (PARTITION BY t ORDER BY chars DESC, doc_id)""",
+    "op13_rotated_clusters": _clusters_sql(),
 }
