@@ -2,7 +2,7 @@
 
 A text without the characters of ``[\\x20\\x09-\\x0D]`` is cut into blocks of ``block`` bytes (an empty one is one empty block). The distinct
 blocks are sorted and numbered; each document becomes a sequence of numbers. Then the distinct pairs of neighbours are sorted and
-numbered, which halves every sequence (the last number of an odd one is paired with -1), until each document has one
+numbered, which halves every sequence (the last number of an odd one is paired with a number that no block has), until each document has one
 number. Two documents are equal if and only if they have the same count of blocks and the same number: nothing is decided by a hash.
 
 * Blocks are moved once, to be told apart, after each task has dropped its own repetitions; so a text that fills a third of the
@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girthline.llm.spread import spread_join
-from girthline.session import cut
+from girthline.llm.store import Store
 
 BLOCK = 4096
+#: The second name of a pair whose first is the last of an odd sequence; no name is as small.
+ALONE = -1 << 62
 
 
 def normalised(text: Column) -> Column:
@@ -45,25 +47,26 @@ def _pieces(docs: DataFrame, row_id: str, text: str, block: int) -> DataFrame:
     )
     blocks = F.expr(f"transform(sequence(0, greatest(1, (octet_length(body) + {block - 1}L) div {block}) - 1), i -> substring(body, cast(i * {block} + 1 as int), {block}))")
     cut_up = rows.select("uid", F.struct("row_id", "n_chars", F.sha2("body", 256).alias("sha256")).alias("fact"), blocks.alias("blocks"))
-    out = cut_up.select("uid", "fact", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
+    # Never empty; but the plain form would have Spark infer a filter that works the body out again for each of its blocks.
+    out = cut_up.select("uid", "fact", F.size("blocks").alias("n"), F.posexplode_outer("blocks").alias("pos", "block"))
     return out.select("uid", "n", "pos", "block", block_key(F.col("block")).alias("key"), F.when(F.col("pos") == 0, F.col("fact")).alias("fact"))
 
 
-def _named(found: DataFrame, keys: list[str], keep: list[str], n_rows: Column) -> DataFrame:
+def _named(found: DataFrame, keys: list[str], keep: list[str], store: Store) -> DataFrame:
     """The distinct ``keys`` sorted and numbered; ``keep`` are the columns to be stored with the number and the count of rows."""
-    distinct = found.groupBy(*keys).agg(n_rows.alias("n_rows"))
-    return cut(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()).select(*keep, "name", "n_rows"))
+    distinct = found.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return store.keep(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()).select(*keep, "name", "n_rows"))
 
 
-def _first_names(pieces: DataFrame) -> DataFrame:
+def _first_names(pieces: DataFrame, store: Store) -> DataFrame:
     """``uid, pos, n, fact, name`` of all blocks."""
-    names = _named(pieces, ["key", "block"], ["key"], F.count("*"))
-    shared = cut(names.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    names = _named(pieces, ["key", "block"], ["key"], store)
+    shared = store.keep(names.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
     whole = F.lit(b"").cast("binary")
     if not shared.isEmpty():
-        own = _named(pieces.join(shared, "key", "left_semi"), ["key", "block"], ["key", "block"], F.count("*"))
+        own = _named(pieces.join(shared, "key", "left_semi"), ["key", "block"], ["key", "block"], store)
         marked = F.concat(F.lit(b"=").cast("binary"), F.col("block"))
-        names = cut(
+        names = store.keep(
             names.join(shared, "key", "left_anti").select("key", whole.alias("whole"), "name", "n_rows")
             .union(own.select("key", marked, -1 - F.col("name"), "n_rows"))
         )
@@ -72,35 +75,39 @@ def _first_names(pieces: DataFrame) -> DataFrame:
     else:
         names = names.withColumn("whole", whole)
     found = pieces.select("uid", "pos", "n", "fact", "key", whole.alias("whole"))
-    return cut(spread_join(found, names, ["key", "whole"], "uid").select("uid", "pos", "n", "fact", "name"))
+    return store.keep(spread_join(found, names, ["key", "whole"], "uid").select("uid", "pos", "n", "fact", "name"))
 
 
 def identities(docs: DataFrame, row_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``uid, row_id, n_chars, sha256, n_blocks, name``: equal texts, and only those, have equal ``n_blocks`` and ``name``."""
-    level = _first_names(_pieces(docs, row_id, text, block))
+    store = Store(docs.sparkSession)
+    level = _first_names(_pieces(docs, row_id, text, block), store)
     facts = level.where("pos = 0").select("uid", "fact.*", F.col("n").alias("n_blocks"))
     done = level.where("n = 1").select("uid", "name")
     left = level.where("n > 1").select("uid", "pos", "n", "name")
     longest = left.agg(F.max("n")).first()[0] or 1
     while longest > 1:
         side = [F.min(F.when(F.col("pos") % 2 == i, F.col("name"))) for i in (0, 1)]
-        pairs = cut(
+        pairs = store.keep(
             left.groupBy("uid", F.floor(F.col("pos") / 2).cast("int").alias("at"), F.ceil(F.col("n") / 2).cast("int").alias("half"))
-            .agg(side[0].alias("a"), F.coalesce(side[1], F.lit(-1 << 62)).alias("b"))
+            .agg(side[0].alias("a"), F.coalesce(side[1], F.lit(ALONE)).alias("b"))
         )
-        names = _named(pairs, ["a", "b"], ["a", "b"], F.count("*"))
-        level = cut(spread_join(pairs, names, ["a", "b"], "uid").select("uid", F.col("at").alias("pos"), F.col("half").alias("n"), "name"))
+        names = _named(pairs, ["a", "b"], ["a", "b"], store)
+        level = store.keep(spread_join(pairs, names, ["a", "b"], "uid").select("uid", F.col("at").alias("pos"), F.col("half").alias("n"), "name"))
+        store.drop(pairs, names)
         done, left = done.union(level.where("n = 1").select("uid", "name")), level.where("n > 1")
         longest = -(-longest // 2)
-    return cut(facts.join(done, "uid"))
+    found = store.keep(facts.join(done, "uid"))
+    store.drop_all(found)
+    return found
 
 
 def exact_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each row: ``row_id``, ``keep_id`` (id of the row that stays), ``group_size``, ``kept``, ``text_sha256`` (of the
     normalised text) and the identity ``n_blocks, name``."""
-    rows = identities(docs, row_id, text, block)
+    rows, store = identities(docs, row_id, text, block), Store(docs.sparkSession)
     first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("row_id").isNull().alias("none"), "row_id", "uid"))
-    groups = cut(
+    groups = store.keep(
         rows.groupBy("n_blocks", "name").agg(F.count("*").alias("n_rows"), first.alias("first"))
         .select("n_blocks", "name", "n_rows", F.col("n_rows").alias("group_size"), F.col("first.row_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"))
     )
