@@ -98,7 +98,7 @@ def identities(docs: DataFrame, row_id: str = "doc_id", text: str = "text", bloc
         done, left = done.union(level.where("n = 1").select("uid", "name")), level.where("n > 1")
         longest = -(-longest // 2)
     found = store.keep(facts.join(done, "uid"))
-    store.drop_all(found)
+    store.drop_all(but=(found,))
     return found
 
 

@@ -6,6 +6,7 @@ by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,12 @@ SLICE_BYTES = 1 << 19
 SHINGLE = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: A span beyond this many bytes is hashed by itself.
+LONG = 256
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWERED_VALUES = _BYTE_VALUES[LOWER]
 
 #: Bytes of a word: everything but white space, or letters and digits and all beyond ASCII (capitals count as their small form).
 NOT_SPACE = np.ones(256, bool)
@@ -29,9 +30,6 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64 bits evenly."""
     x = (x ^ (x >> np.uint64(33))) * _M1
@@ -39,21 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        def table(base):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            return np.cumprod(steps, dtype=np.uint64)
-
-        made = table(_BASE), table(_UNBASE)
-        if n > 4 * SLICE_BYTES:
-            return made  # one very long text: not kept
-        _powers = made
-    return _powers
-
-
 def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column one after the other, and where each text begins; null counts as empty."""
     if isinstance(strings, pa.ChunkedArray):
@@ -77,17 +60,25 @@ def slices(strings: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool) -> np.ndarray:
-    """A 64-bit hash of each byte span: differences of one running polynomial sum."""
-    values, out, first = (_LOWERED_VALUES if lowered else _BYTE_VALUES), np.zeros(len(starts), np.uint64), 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 2 * SLICE_BYTES, "right")))
-        here, s, e = data[starts[first]:ends[last - 1]], starts[first:last] - starts[first], ends[first:last] - starts[first]
-        power, unpower = _power_tables(len(here) + 1)
-        total = np.zeros(len(here) + 1, np.uint64)
-        np.cumsum(values[here] * power[:len(here)], out=total[1:])
-        out[first:last] = mix((total[e] - total[s]) * unpower[s] + (e - s).astype(np.uint64))
-        first = last
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: its 64-bit words are mixed in one after the other, in steps over all spans.
+
+    For one length a step is a bijection of the word, so spans of up to 8 bytes and equal length never collide, and longer ones only by
+    chance (2^-64 for two spans). Spans beyond ``LONG`` bytes are hashed by BLAKE2b. Another ``seed`` gives an independent hash.
+    """
+    data = np.append(LOWER[data] if lowered else data, np.zeros(8, np.uint8))
+    loads = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * _BASE + np.uint64(seed * 2 + 1))
+    live, step = np.flatnonzero((length > 0) & (length <= LONG)), 0
+    while len(live):
+        word = loads[starts[live] + step] & _LOW[np.minimum(length[live] - step, 8)]
+        step += 8
+        out[live] = mix((out[live] ^ word) * _BASE)
+        live = live[length[live] > step]
+    for i in np.flatnonzero(length > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 

@@ -2,23 +2,30 @@
 
 A document's set holds its distinct five-word shingles (words are runs without white space, A-Z lowered; fewer than five
 words make one shingle; no words or a null text make an empty set, linked with nothing). Two documents are linked if the
-Jaccard similarity of their sets is at least ``percent`` / 100, checked on the full sets of 64-bit shingle hashes.
+Jaccard similarity of their sets is at least ``percent`` / 100, checked on the full sets of 64-bit shingle hashes (two unlike
+shingles of a pair are taken for equal with a probability of 2^-64 for each two).
 
-* Documents with equal sets are one node. Each node's shingle hashes are thrown once into ``BINS`` bins by their value; the
-  smallest of each bin is the signature, and an empty bin takes the value of a bin that a hash sequence of its own number
+* Documents with equal sets, told by 128 bits, are one node. Each node's shingle hashes are thrown once into ``BINS`` bins by their
+  value; the smallest of each bin is the signature, and an empty bin takes the value of a bin that a hash sequence of its own number
   reaches first (optimal densification). ``ROWS`` bins make a band key: a pair at 0.85 shares none of the 40 bands with a
   probability of about 6e-9.
-* A bucket (nodes with one band key) gives a star: an edge from each member to the smallest one, so its pairs are as many as
+* A bucket (nodes with one band key) gives a star: an edge from each member, a ray, to the smallest one, its centre; so its pairs are as many as
   its members. Edges whose set sizes or signatures rule the similarity out go; the others are checked on the full sets.
-* A star may miss the link between two of its rays. So buckets that still hold several components get further stars around
-  their next ``CENTRES`` members, then twice as many each round, until no pair of different components in any bucket is left untested. Groups
-  of true copies close after the first star, whatever their size.
-* Shingles are not stored for all documents: those of the candidates are taken anew from their texts. The list of candidates
-  goes to the executors as a broadcast if a count shows at most ``BROADCAST_ROWS`` of them, else the texts are joined by shuffle.
-* Components grow by alternating large and small stars over the links only; nothing is collected to the driver.
+* A star may miss a link between two of its rays. All rays of one centre c make a group; a group in one component is settled. In any other, each
+  member x keeps its difference D(x) from c. Two members linked with each other but not both with c must share elements of their differences,
+  as |x ^ y| = |D(x) ^ D(y)| <= a (|x| + |y|) with a = (100 - percent) / (100 + percent): at least
+  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, and at least one. So they share one within the first |D| - least + 1 elements of each, the rarest of the group
+  first. The members with such an element in common make the next groups, again with a star around their smallest, and again their
+  differences from it, until all groups are settled. Near copies of one text differ from each other in places of their own, which are the rarest
+  elements and hardly ever shared; so a group of n of them gives a few stars, and never its n^2 pairs. Nothing is capped or sampled.
+* Differences are exact, so links found in groups are too; no link within a bucket is lost.
+* A ray and its centre, which may have very many, meet by a join that deals such a centre to many tasks (``spread_join``).
+* Components grow by alternating large and small stars over the links, and over roots alone when later rounds add some. Nothing is collected to the
+  driver. Each round's tables are dropped when the next has been stored.
 
 Ties and repeated rows: equal rows share node, component and verdict. A row without an id takes part, but never gives a
-component its name; where no row of a component has an id, ``component_id`` is null. Other columns are not looked at.
+component its name; where no row of a component has an id, ``component_id`` is null. Other columns are not looked at. A text of any
+length is worked on whole; memory is bounded by a slice of half a megabyte or the longest text.
 """
 
 from __future__ import annotations
@@ -32,9 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from girthline.llm import bytewords as B
-from girthline.session import cut
+from girthline.llm.spread import spread_join
+from girthline.llm.store import Store
 
-BINS, ROWS, CENTRES, BROADCAST_ROWS = 240, 6, 32, 500_000
+BINS, ROWS, BROADCAST_ROWS = 240, 6, 500_000
 BANDS = BINS // ROWS
 #: A smaller set has no partner at 0.8 or more but its equal: 4 of 5 is the first such ratio.
 LEAST = 4
@@ -68,18 +76,18 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 SKETCH = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()),
 ])
 
 
 @F.arrow_udf(SKETCH)
 def sketched(text: pa.Array) -> pa.Array:
-    """Set size, node (a hash of the set), band keys, and the lowest byte of each signature value."""
-    sizes, nodes, bands, sketches = [], [], [], []
+    """Set size, a 128-bit digest of the set (zeros for an empty one), band keys, and the lowest byte of each signature value."""
+    sizes, digests, bands, sketches = [], [], [], []
     for found in B.shingle_sets(text, B.NOT_SPACE):
         sizes.append(len(found))
-        nodes.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None)
+        digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else bytes(16))
         if len(found) >= LEAST:
             sig = signature(found)
             bands.append(_band_keys(sig).view(np.int64))
@@ -87,9 +95,10 @@ def sketched(text: pa.Array) -> pa.Array:
         else:
             bands.append(np.zeros(0, np.int64))
             sketches.append(None)
+    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return pa.StructArray.from_arrays(
-        [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), B.lists(bands, pa.int64()), pa.array(sketches, pa.binary())],
-        names=["n", "node", "bands", "sketch"],
+        [pa.array(sizes, pa.int64()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), B.lists(bands, pa.int64()), pa.array(sketches, pa.binary())],
+        names=["n", "d1", "d2", "bands", "sketch"],
     )
 
 
@@ -113,106 +122,174 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     return sized.where(alike("su", "sv") >= least)
 
 
-def _sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Shingle hashes of the nodes in the pairs, from one text each."""
-    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(f"f{x}.row_id").alias("at_id"), F.col(f"f{x}.text_key").alias("at_text")) for x in "uv"))).alias("e"))
-    one = cut(ends.select("e.*").distinct())
-    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
-    found = texts.join(one, F.col("row_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")))
-    return _round(found.select("node", shingles("text").alias("s")))
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of nodes that hold on the full sets."""
-    for x in "uv":
-        side = (F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("first").alias(f"f{x}"))
-        pairs = pairs.join(nodes.select(*side), x)
-    likely = _round(_plausible(pairs, percent).select("u", "v", "nu", "nv", "fu", "fv"))
-    sets = _sets(texts, likely)
-    checked = (
-        likely.drop("fu", "fv").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        .select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("common"))
-    )
-    return checked.where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v").distinct()
+@F.arrow_udf(T.LongType())
+def n_common(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many elements two sorted lists share."""
+    return pa.array([len(np.intersect1d(x.values, y.values, True)) for x, y in zip(a, b)], pa.int64())
 
 
-def _round(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at the end of a round. Spark drops shuffles, broadcasts and checkpoints of earlier rounds only once the
-    driver's JVM has collected their handles, which a large heap puts off for long; so ask for it."""
-    kept = cut(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def difference(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The elements in one of two sorted lists only, sorted."""
+    return B.lists([np.setxor1d(x.values, y.values, True) for x, y in zip(a, b)], pa.int64())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, store: Store) -> DataFrame:
     """(node, root) of every node with a link but the roots, root being the smallest node it reaches; ``links`` has (u, v)."""
     def turned(a: str, b: str, names: tuple[str, str], flag: bool = False) -> Column:
         ends = ((a, b, 1), (b, a, 0))
         return F.explode(F.array(*(F.struct(F.col(x).alias(names[0]), (F.lit(up) if flag else F.col(y)).alias(names[1])) for x, y, up in ends)))
 
-    edges = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo")
+    edges, stored = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo"), None
     while True:
         both = edges.select(turned("hi", "lo", ("x", "y")).alias("e")).select("e.*")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pulled = large.join(least, "hi")
-        edges = _round(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
+        edges = store.keep(pulled.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo")).distinct())
+        if stored is not None:
+            store.drop(stored)
+        stored = edges
         # Done when all are stars: no node has two edges upwards or is above one node and below another.
         ends = edges.select(turned("hi", "lo", ("x", "up"), flag=True).alias("e"))
         if ends.groupBy("e.x").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("least")).where("n > 1 OR n = 1 AND least = 0").isEmpty():
             return edges.toDF("node", "root")
 
 
-def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rooted(rows: DataFrame, label: DataFrame, node: str, root: str) -> DataFrame:
+    """Adds the column ``root`` of the column ``node``."""
+    known = label.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return rows.join(known, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
+
+
+def _grown(label: DataFrame, links: DataFrame, store: Store) -> DataFrame:
+    """The labels with further links, by components of the roots that these connect."""
+    ends = _rooted(_rooted(links, label, "u", "ru"), label, "v", "rv").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
+    merged = components(store.keep(ends), store)
+    moved = label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return store.keep(moved.select("node", F.coalesce("_to", "root").alias("root")).union(merged))
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, store: Store) -> DataFrame:
+    """``node, n, s``: the sorted shingle hashes of the wanted nodes, taken anew from one text each."""
+    one = store.keep(nodes.join(wanted, "node").select("node", "n", "at.*"))
+    n = one.count()
+    found = texts.join(F.broadcast(one) if n <= BROADCAST_ROWS else one, F.col("row_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")))
+    sets = store.keep(found.select("node", "n", shingles("text").alias("s")))
+    # A row that stands there several times gives its set as often.
+    sets = sets if sets.count() == n else store.keep(sets.dropDuplicates(["node"]))
+    store.drop(one)
+    return sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
+def _with_centre(pairs: DataFrame, facts: DataFrame, key: str, store: Store) -> DataFrame:
+    """``pairs`` with the facts of their centre ``key``, of which a single one may have most pairs."""
+    return spread_join(pairs, store.keep(facts.join(pairs.groupBy(key).agg(F.count("*").alias("n_rows")), key)), [key], "u")
+
+
+def _open(rows: DataFrame, label: DataFrame, store: Store) -> DataFrame:
+    """Of groups ``g`` with a ``centre`` and members ``u``, the members of those not in one component: ``g, centre, u, root, inside``, the last
+    true in the centre's component."""
+    groups = store.keep(_rooted(rows.groupBy("g", "centre").agg(F.count("*").alias("n_rows")), label, "centre", "home"))
+    rooted = store.keep(spread_join(_rooted(rows, label, "u", "root"), groups, ["g", "centre"], "u").withColumn("inside", F.col("root") == F.col("home")))
+    several = rooted.where("NOT inside").groupBy("g").agg(F.lit(1).alias("_several"))
+    sized = store.keep(groups.select("g", "n_rows").join(several, "g"))
+    kept = store.keep(spread_join(rooted.drop("home"), sized, ["g"], "u").drop("_several"))
+    store.drop(groups, rooted, sized)
+    return kept
+
+
+def _next_members(apart: DataFrame, percent: int, store: Store) -> DataFrame:
+    """The next groups: ``g, centre, u, n, s`` with the centres among the members, from differences ``d`` of members of open groups."""
+    hundred = 100 + percent
+    weighed = apart.withColumn("w", (F.size("d") * hundred - (100 - percent) * F.col("n")).cast("long"))
+    least = weighed.groupBy("g").agg(F.min("w").alias("w_any"), F.min(F.when(~F.col("inside"), F.col("w"))).alias("w_out"), F.count("*").alias("n_rows"))
+    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "d"), store.keep(least), ["g"], "u")
+    # Two members inside are linked already, so one inside looks for others only.
+    other = F.when(F.col("inside"), F.col("w_out")).otherwise(F.col("w_any"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(2 * hundred)))
+    held = held.select("g", "u", "root", F.size("d").alias("size"), (F.size("d") - shared + 1).alias("first"), "d").where("first > 0")
+    elements = held.select("g", "u", "root", "size", "first", F.explode("d").alias("e"))
+    # Every difference counts for an element's rarity, whether it looks for others or not.
+    counts = apart.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    met = spread_join(elements, store.keep(counts.withColumn("rarity", F.col("n_rows"))), ["g", "e"], "u")
+    of = Window.partitionBy("g", "u")
+    # Elements of one member alone come first; they meet nobody and only take their places.
+    place = F.row_number().over(of.orderBy("rarity", "e")) + F.col("size") - F.count("*").over(of)
+    chosen = store.keep(met.withColumn("place", place).where("place <= first").select("g", "e", "u", "root"))
+    groups = chosen.groupBy("g", "e").agg(F.min("u").alias("centre"), F.count("*").alias("n_rows"), F.min("root").alias("a"), F.max("root").alias("b"))
+    groups = store.keep(groups.where("a < b").select("g", "e", "centre", "n_rows", F.monotonically_increasing_id().alias("h")))
+    joined = spread_join(chosen.select("g", "e", "u"), groups, ["g", "e"], "u").select("h", "centre", "g", "u")
+    return joined.join(apart.select("g", "u", "n", F.col("d").alias("s")), ["g", "u"]).select(F.col("h").alias("g"), "centre", "u", "n", "s")
+
+
+def _labels(nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> DataFrame:
     """(node, root) of every node with a link but the roots."""
     buckets = nodes.where("sketch IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("k")).where("k > 1").drop("k")
-    shared = cut(buckets.join(centres, "key"))
-    rays = shared.where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct()
-    links = cut(_links(rays, nodes, texts, percent))
-    # Two steps up along links: not yet the components, but nearly, and enough to see most buckets settled.
-    up = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("above"))
-    top = up.select(F.col("node").alias("above"), F.col("above").alias("top"))
-    label = cut(up.join(top, "above", "left").select("node", F.coalesce("top", "above").alias("root")))
-    rest = shared.where("node > c").select("key", "node")
-    centres = CENTRES
+    centres = store.keep(buckets.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("n_rows")).where("n_rows > 1"))
+    rays = store.keep(spread_join(buckets, centres, ["key"], "node").where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct())
+    store.drop(centres)
+
+    facts = {x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv"}
+    likely = store.keep(_plausible(_with_centre(rays.join(facts["u"], "u"), facts["v"], "v", store), percent).select("u", "v", "nu", "nv"))
+    sets = _sets(texts, nodes, _ends(likely), store)
+    sides = {x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "uv"}
+    checked = _with_centre(likely.join(sides["u"], "u"), sides["v"], "v", store)
+    same = n_common("su", "sv")
+    links = store.keep(checked.where(same * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v"))
+    store.drop(sets, likely)
+    label = components(links, store)
+
+    members = _open(rays.select(F.col("v").alias("g"), F.col("v").alias("centre"), "u"), label, store)
+    if members.isEmpty():
+        return label
+    sets = _sets(texts, nodes, members.select(F.explode(F.array("u", "centre")).alias("node")).distinct(), store)
+    filled = members.join(sets.select(F.col("node").alias("u"), "n", "s"), "u")
+    centre = sets.select(F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("s").alias("c"))
+    apart = store.keep(_with_centre(filled, centre, "centre", store).select("g", "u", "root", "inside", "n", difference("s", "c").alias("d")))
+    store.drop(rays, sets)
     while True:
-        rest = rest.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        several = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-        rest = _round(rest.join(several, "key"))
-        if rest.isEmpty():
-            return components(links)
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        centre = cut(rest.withColumn("rank", rank).where(F.col("rank") <= centres).select("key", F.col("node").alias("v"), F.col("root").alias("other")))
-        rays = rest.join(centre, "key").where("node > v AND root != other").select(F.col("node").alias("u"), "v").distinct()
-        links = cut(links.union(_links(rays, nodes, texts, percent)))
-        centres *= 2
-        done = centre.groupBy("key").agg(F.max("v").alias("c"))
-        rest = _round(rest.join(done, "key").where("node > c").select("key", "node"))
-        if rest.isEmpty():
-            return components(links)
-        label = components(links)
+        more = store.keep(_next_members(apart, percent, store))
+        if more.isEmpty():
+            return label
+        store.drop_all(but=(label, more))
+        centre = more.where("u = centre").select("g", F.col("n").alias("nc"), F.col("s").alias("c"))
+        apart = store.keep(_with_centre(more.where("u != centre"), centre, "g", store).select("g", "centre", "u", "n", "nc", difference("s", "c").alias("d")))
+        near = apart.where(F.size("d") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nc")))
+        label = _grown(label, store.keep(near.select("u", F.col("centre").alias("v")).distinct()), store)
+        still = _open(apart.select("g", "centre", "u"), label, store)
+        apart = store.keep(apart.select("g", "u", "n", "d").join(still.select("g", "u", "root", "inside"), ["g", "u"]))
 
 
 def _grouped(docs: DataFrame, percent: int, row_id: str, text: str) -> DataFrame:
     """The rows of ``near_duplicates`` with the ``root`` node of their component, null without words."""
+    store = Store(docs.sparkSession)
     texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
-    rows = cut(texts.select("row_id", "text_key", sketched("text").alias("k")).select("row_id", "text_key", "k.*"))
-    nodes = cut(
-        rows.where("node IS NOT NULL").groupBy("node").agg(
+    rows = store.keep(texts.select("row_id", "text_key", sketched("text").alias("k")).select("row_id", "text_key", "k.*"))
+    first = F.min(F.struct(F.col("row_id").alias("at_id"), F.col("text_key").alias("at_text")))
+    nodes = store.keep(
+        rows.where("n > 0").groupBy("d1", "d2").agg(
             F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-            F.min("row_id").alias("name"), F.min(F.struct("row_id", "text_key")).alias("first"),
-        )
+            F.min("row_id").alias("name"), first.alias("at"), F.count("*").alias("n_rows"),
+        ).withColumn("node", F.monotonically_increasing_id())
     )
-    label = _labels(nodes, texts, percent)
-    rooted = nodes.select("node", "name").join(label, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
-    of = rooted.join(rooted.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id", "root")
+    work = Store(docs.sparkSession)
+    label = _labels(nodes, texts, percent, work)
+    rooted = store.keep(_rooted(nodes.select("node", "name", "d1", "d2", "n_rows"), label, "node", "root"))
+    names = store.keep(rooted.groupBy("root").agg(F.min("name").alias("component_id"), F.count("*").alias("n_rows")))
+    of = store.keep(spread_join(rooted.withColumnRenamed("n_rows", "n_copies"), names, ["root"], "node").select("d1", "d2", F.col("n_copies").alias("n_rows"), "component_id", "root"))
     out = (F.col("row_id").alias(row_id), "text_key", F.col("n").alias("n_shingles"))
-    full = rows.where("node IS NOT NULL").select("row_id", "text_key", "n", "node").join(of, "node").select(*out, "component_id", "root")
-    empty = rows.where("node IS NULL").select(*out, F.col("row_id").alias("component_id"), F.lit(None).cast(full.schema["root"].dataType).alias("root"))
-    return full.unionByName(empty).withColumn("kept", F.col(row_id).eqNullSafe(F.col("component_id")))
+    full = spread_join(rows.where("n > 0").select("row_id", "text_key", "n", "d1", "d2"), of, ["d1", "d2"], "row_id").select(*out, "component_id", "root")
+    empty = rows.where("n = 0").select(*out, F.col("row_id").alias("component_id"), F.lit(None).cast(full.schema["root"].dataType).alias("root"))
+    found = store.keep(full.unionByName(empty).withColumn("kept", F.col(row_id).eqNullSafe(F.col("component_id"))))
+    work.drop_all()
+    store.drop_all(but=(found,))
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, row_id: str = "doc_id", text: str = "text") -> DataFrame:

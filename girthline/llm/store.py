@@ -27,5 +27,7 @@ class Store:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def drop_all(self, but: DataFrame | None = None) -> None:
-        self.drop(*(t for t in list(self.paths) if t is not but))
+    def drop_all(self, but: tuple[DataFrame, ...] = ()) -> None:
+        """Deletes all tables but these and those that these read."""
+        needed = {file.rsplit("/", 1)[0] for t in but for file in t.inputFiles()}
+        self.drop(*(t for t, path in list(self.paths.items()) if not any(f.endswith(path.split(":", 1)[-1]) for f in needed)))

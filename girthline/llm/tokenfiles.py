@@ -114,7 +114,8 @@ class PieceEncoder:
 
     Byte-level pre-tokens never go on over a space that a visible character follows, nor from an ASCII letter or digit to a
     punctuation mark, so a text's ids are those of its pieces cut at these places, one after the other. A slice that holds one of
-    the tokenizer's added tokens is cut at spaces only. Ids of pieces met before come from a bounded memory.
+    the tokenizer's added tokens is cut at spaces only. Ids of pieces met before come from a bounded memory, found by one hash and
+    confirmed by a second one of its own: 128 bits, of which pieces of up to 8 bytes need only 64 and their length to be exact.
     """
 
     def __init__(self, path: str) -> None:
@@ -134,10 +135,21 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.length, self.ids = [], [], []
+        self.first, self.length, self.ids, self.second = [], [], [], []
         self.n_pieces = self.n_ids = 0
 
-    def _learn(self, raw: bytes, new: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _unlike(self, raw: bytes, at: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pieces whose first hash is that of another piece, told by the second, are encoded by themselves."""
+        for i in at.tolist():
+            ids = np.array(self.encode([raw[starts[i]:ends[i]].decode()], add_special_tokens=False)[0].ids, np.uint32)
+            for held, more in ((self.first, [self.n_ids]), (self.length, [len(ids)]), (self.ids, ids), (self.second, np.zeros(1, np.uint64))):
+                held[:] = [np.concatenate((*held, np.asarray(more, held[0].dtype)))]
+            slot[i] = self.n_pieces
+            self.n_pieces += 1
+            self.n_ids += len(ids)
+        return slot
+
+    def _learn(self, raw: bytes, new: np.ndarray, second: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         pieces = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
         # One call of the tokenizer for many pieces: a line end is a pre-token of its own between pieces without white space
         # but a leading space, so its id parts them. Other pieces go one by one.
@@ -154,7 +166,7 @@ class PieceEncoder:
         from_stream = np.repeat(plain, length)
         ids[from_stream] = stream[stream != self.line_end]
         ids[~from_stream] = np.fromiter(chain.from_iterable(single), np.uint32)
-        for held, more in ((self.first, self.n_ids + np.cumsum(length) - length), (self.length, length), (self.ids, ids)):
+        for held, more in ((self.first, self.n_ids + np.cumsum(length) - length), (self.length, length), (self.ids, ids), (self.second, second)):
             held[:] = [np.concatenate((*held, more))]
         at = np.searchsorted(self.known, new)
         self.known, self.slot = np.insert(self.known, at, new), np.insert(self.slot, at, self.n_pieces + np.arange(len(new)))
@@ -180,15 +192,17 @@ class PieceEncoder:
                 yield from (np.zeros(0, np.uint32) for _ in at[:-1])
                 continue
             ends = np.append(starts[1:], len(data))
-            hashes, place, which = np.unique(B.span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+            hashed, second = (B.span_hashes(data, starts, ends, False, seed) for seed in (0, 1))
+            hashes, place, which = np.unique(hashed, return_index=True, return_inverse=True)
             new = self._new(hashes)
             if len(self.known) + int(new.sum()) > REMEMBERED:
                 self._forget()
                 new = self._new(hashes)
             if new.any():
-                self._learn(raw, hashes[new], starts[place[new]], ends[place[new]])
-            slot = self.slot[np.searchsorted(self.known, hashes)]
-            first, length = self.first[0][slot][which], self.length[0][slot][which]
+                self._learn(raw, hashes[new], second[place[new]], starts[place[new]], ends[place[new]])
+            slot = self.slot[np.searchsorted(self.known, hashes)][which]
+            slot = self._unlike(raw, np.flatnonzero(self.second[0][slot] != second), slot, starts, ends)
+            first, length = self.first[0][slot], self.length[0][slot]
             total = np.concatenate(([0], np.cumsum(length)))
             ids = self.ids[0][np.repeat(first - total[:-1], length) + np.arange(total[-1])]
             bounds = total[np.searchsorted(starts, at)]
