@@ -14,7 +14,7 @@ shingles of a pair are taken for equal with a probability of 2^-64 for each two)
 * A star may miss a link between two of its rays. All rays of one centre c make a group; a group in one component is settled. In any other, each
   member x keeps its difference D(x) from c. Two members linked with each other but not both with c must share elements of their differences,
   as |x ^ y| = |D(x) ^ D(y)| <= a (|x| + |y|) with a = (100 - percent) / (100 + percent): at least
-  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, and at least one. So they share one within the first |D| - least + 1 elements of each, the rarest of the group
+  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, at least |D(x)| - |x| (100 - percent) / percent, and at least one. So they share one within the first |D| - least + 1 elements of each, the rarest of the group
   first. The members with such an element in common make the next groups, again with a star around their smallest, and again their
   differences from it, until all groups are settled. Near copies of one text differ from each other in places of their own, which are the rarest
   elements and hardly ever shared; so a group of n of them gives a few stars, and never its n^2 pairs. Nothing is capped or sampled.
@@ -193,11 +193,11 @@ def _with_centre(pairs: DataFrame, facts: DataFrame, key: str, store: Store) ->
 
 
 def _open(rows: DataFrame, label: DataFrame, store: Store) -> DataFrame:
-    """Of groups ``g`` with a ``centre`` and members ``u``, the members of those not in one component: ``g, centre, u, root, inside``, the last
-    true in the centre's component."""
+    """Of groups ``g`` with a ``centre`` and other members ``u``, those whose other members are in several components: ``g, centre, u, root, inside``,
+    the last true in the centre's component. Pairs with the centre itself have all been checked."""
     groups = store.keep(_rooted(rows.groupBy("g", "centre").agg(F.count("*").alias("n_rows")), label, "centre", "home"))
     rooted = store.keep(spread_join(_rooted(rows, label, "u", "root"), groups, ["g", "centre"], "u").withColumn("inside", F.col("root") == F.col("home")))
-    several = rooted.where("NOT inside").groupBy("g").agg(F.lit(1).alias("_several"))
+    several = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("g", F.lit(1).alias("_several"))
     sized = store.keep(groups.select("g", "n_rows").join(several, "g"))
     kept = store.keep(spread_join(rooted.drop("home"), sized, ["g"], "u").drop("_several"))
     store.drop(groups, rooted, sized)
@@ -209,10 +209,11 @@ def _next_members(apart: DataFrame, percent: int, store: Store) -> DataFrame:
     hundred = 100 + percent
     weighed = apart.withColumn("w", (F.size("d") * hundred - (100 - percent) * F.col("n")).cast("long"))
     least = weighed.groupBy("g").agg(F.min("w").alias("w_any"), F.min(F.when(~F.col("inside"), F.col("w"))).alias("w_out"), F.count("*").alias("n_rows"))
-    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "d"), store.keep(least), ["g"], "u")
+    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "n", "d"), store.keep(least), ["g"], "u")
     # Two members inside are linked already, so one inside looks for others only.
     other = F.when(F.col("inside"), F.col("w_out")).otherwise(F.col("w_any"))
-    shared = F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(2 * hundred)))
+    # Linked sets differ in at most n (100 - percent) / percent elements, so all but that many of a difference are shared.
+    shared = F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(2 * hundred)), F.size("d") - F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)))
     held = held.select("g", "u", "root", F.size("d").alias("size"), (F.size("d") - shared + 1).alias("first"), "d").where("first > 0")
     elements = held.select("g", "u", "root", "size", "first", F.explode("d").alias("e"))
     # Every difference counts for an element's rarity, whether it looks for others or not.
