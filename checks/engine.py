@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.ctes import r, sql
+from checks.ctes import CTES, cte, r, sql
 from girthline.functions import clock, dates, strength, units
 from girthline.operators import assess as A, growth as G, inventory as I, matching as M, project as P, zones as Z
 from girthline.session import cut
@@ -283,6 +283,52 @@ def _(spark, sf):
     )
 
 
+_TWIN = """SELECT f.* REPLACE (source_row * 2 + k AS source_row, upstream_weld_dist_m + k * ({} + {} * (source_row % {})) AS upstream_weld_dist_m,
+  fmod(clock_decimal_hours + k * {}, 12.0) AS clock_decimal_hours) FROM {} f, (VALUES (0), (1)) AS x(k)"""
+cte("dense_1", "a1", _TWIN.format(0.3, 0.0013, 89, 0.21, "a1"))
+cte("dense_2", "a2", _TWIN.format(0.22, 0.0017, 83, 0.13, "a2"))
+cte("dense_cand", "dense_1 dense_2", CTES["cand"][1].replace("a1 o", "dense_1 o").replace("a2 n", "dense_2 n"))
+cte("dense_costed", "dense_cand", CTES["costed"][1].replace("FROM cand", "FROM dense_cand"))
+
+
+def _dense_sql() -> str:
+    """Every feature has a twin a little further on. Candidates fall into components; each pass tries all matchings of every component, takes one with the
+    most pairs at the least cost, and puts back what is above the ceiling."""
+    head = """, feas AS MATERIALIZED (SELECT line_id, old_joint, old_source_row AS o, new_source_row AS n, axial, turn, match_score AS c FROM dense_costed WHERE axial <= 1.0 AND turn <= 1.5),
+    reach AS (SELECT DISTINCT o, o AS r FROM feas UNION SELECT b.o, reach.r FROM reach JOIN feas a ON a.o = reach.o JOIN feas b ON b.n = a.n),
+    comp AS (SELECT o, min(r) AS comp FROM reach GROUP BY o),"""
+    steps, used = [], "SELECT NULL::BIGINT AS o, NULL::BIGINT AS n WHERE false"
+    for k, (axial, turn, ceiling) in enumerate(M.PASSES, start=1):
+        steps.append(f"""
+    p{k} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY o, n) AS e FROM feas JOIN comp USING (o)
+      WHERE axial <= {axial} AND turn <= {turn} AND o NOT IN (SELECT o FROM ({used})) AND n NOT IN (SELECT n FROM ({used}))),
+    m{k} AS (SELECT DISTINCT comp, CAST(-1 AS BIGINT) AS last, CAST([] AS BIGINT[]) AS ns, CAST([] AS BIGINT[]) AS es, 0 AS size, CAST(0 AS HUGEINT) AS cost, CAST(0 AS HUGEINT) AS square FROM p{k}
+      UNION ALL SELECT m.comp, p.o, list_append(ns, p.n), list_append(es, p.e), size + 1, cost + CAST(round(p.c * 1e9) AS BIGINT), square + CAST(round(p.c * 1e4) ** 2 AS BIGINT) FROM m{k} m JOIN p{k} p ON p.comp = m.comp AND p.o > m.last AND NOT list_contains(ns, p.n)),
+    b{k} AS (SELECT unnest(es) AS e FROM (SELECT * FROM m{k} QUALIFY row_number() OVER (PARTITION BY comp ORDER BY size DESC, cost, square) = 1)),
+    x{k} AS MATERIALIZED (SELECT line_id, old_joint, o, n, c, {k} AS relaxation_level FROM p{k} JOIN b{k} USING (e) WHERE c <= {ceiling})""")
+        used = " UNION ALL ".join(f"SELECT o, n FROM x{i}" for i in range(1, k + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(1, len(M.PASSES) + 1))
+    body = f"SELECT line_id, old_joint, o AS old_source_row, n AS new_source_row, {r('c')} AS match_score, relaxation_level FROM ({every})"
+    return sql("dense_costed", head + ",".join(steps) + body).replace("\n,", ",", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def dense_features(spark, sf, run: int):
+    """Features with a twin each, so that most islands leave a choice."""
+    a, b, c, d = ((0.3, 0.0013, 89, 0.21), (0.22, 0.0017, 83, 0.13))[run - 1]
+    rows = T.features(spark, sf, run).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.withColumns({
+        "upstream_weld_dist_m": F.col("upstream_weld_dist_m") + F.col("_k") * (F.lit(a) + F.lit(b) * (F.col("source_row") % c)),
+        "clock_decimal_hours": (F.col("clock_decimal_hours") + F.col("_k") * F.lit(d)) % 12.0,
+        "source_row": F.col("source_row") * 2 + F.col("_k"),
+    }).drop("_k")
+
+
+@query("match_dense_features", _dense_sql())
+def _(spark, sf):
+    found = M.match(dense_features(spark, sf, 1), dense_features(spark, sf, 2), T.true_joint_pairs(spark, sf))
+    return found.select("line_id", "old_joint", "old_source_row", "new_source_row", rd("match_score"), "relaxation_level")
+
+
 @query("unmatched_old_features", sql("a1 matched", """
 SELECT source_row FROM a1 WHERE source_row NOT IN (SELECT old_source_row FROM matched)"""))
 def _(spark, sf):

@@ -1,14 +1,15 @@
 """One-to-one matching of features between runs, within aligned joints.
 
 Features that can interact at all lie in one island: a stretch of a joint without an axial gap above the widest
-tolerance. Islands with one feature per run are decided with column expressions. Only islands with a real
-choice reach the assignment kernel, so no pairs are emitted to find that out, and no group is larger than an
-island.
+tolerance, and of its girth without a gap above the widest clock tolerance. Islands with one feature per run are decided with column
+expressions. Only islands with a real choice reach the assignment kernel, so no pairs are emitted to find that out, and no group is larger
+than an island. The kernel keeps only feasible pairs, as lists by row, so its memory grows with those and not with rows times columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from girthline.functions import clock
 from girthline.functions.units import depth_mm
 from girthline.operators.inventory import assessable
+from girthline.session import cut
 
 # (axial tolerance m, clock tolerance h, highest accepted cost) per relaxation pass.
 PASSES = ((0.10, 0.5, 0.5), (0.25, 1.0, 1.0), (1.00, 1.5, 1.5))
@@ -74,28 +76,43 @@ def sided(old: DataFrame, new: DataFrame, joint_pairs: DataFrame) -> DataFrame:
     return side(old, 1, "old_joint").unionByName(side(new, 2, "new_joint"))
 
 
-def with_islands(features: DataFrame, tolerance: float) -> DataFrame:
+def with_islands(features: DataFrame, tolerance: float, turn: float | None = None) -> DataFrame:
     """Adds ``island`` and the island's ``n_old`` and ``n_new``.
 
-    Features are first counted into cells one tolerance wide. A cell cannot hold a gap, so cells with their
-    lowest and highest position are enough to find every gap, and the windows see cells instead of features.
+    Features are first counted into cells one tolerance long and half an hour of girth wide. A cell cannot hold an axial gap, so cells with their
+    lowest and highest position are enough to find every gap, and the windows see cells instead of features. Stretches are then cut at gaps above
+    ``turn`` hours round the girth in the same way, unless a feature without a clock position could meet any other.
     """
-    celled = features.withColumn("_cell", F.floor(F.col("pos") / tolerance).cast("long"))
-    cells = celled.groupBy("line_id", "old_joint", "_cell").agg(
-        F.count_if(F.col("side") == 1).alias("_old"),
-        F.count_if(F.col("side") == 2).alias("_new"),
-        F.min("pos").alias("_low"),
-        F.max("pos").alias("_high"),
+    turn = max(p[1] for p in PASSES) if turn is None else turn
+    key = ["line_id", "old_joint"]
+    hour = F.col("clock_decimal_hours")
+    celled = features.withColumns({"_cell": F.floor(F.col("pos") / tolerance).cast("long"), "_wedge": F.coalesce(F.floor(hour * 2), F.lit(-1)).cast("int")})
+    cells = celled.groupBy(*key, "_cell", "_wedge").agg(
+        F.count_if(F.col("side") == 1).alias("_old"), F.count_if(F.col("side") == 2).alias("_new"),
+        F.min("pos").alias("_low"), F.max("pos").alias("_high"), F.min(hour).alias("_from"), F.max(hour).alias("_to"),
     )
-    along = Window.partitionBy("line_id", "old_joint").orderBy("_cell")
     # A hair of slack: an island may be joined needlessly, never split between two candidates.
-    starts = F.coalesce((F.col("_low") - F.lag("_high").over(along) > tolerance * 1.000001).cast("long"), F.lit(0))
-    cells = cells.withColumn("_starts", starts).withColumn("island", F.sum("_starts").over(along))
-    whole = Window.partitionBy("line_id", "old_joint", "island")
+    slack = 1.000001
+    along = Window.partitionBy(*key).orderBy("_cell")
+    upto = Window.partitionBy(*key).orderBy("_cell").rangeBetween(Window.unboundedPreceding, -1)
+    starts = F.coalesce((F.min("_low").over(Window.partitionBy(*key, "_cell")) - F.max("_high").over(upto) > tolerance * slack).cast("long"), F.lit(0))
+    first = F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("_wedge")) == 1
+    cells = cells.withColumn("_starts", F.when(first, starts).otherwise(0)).withColumn("_stretch", F.sum("_starts").over(along))
+    wedges = cells.groupBy(*key, "_stretch", "_wedge").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    # At most 25 wedges of a stretch.
+    round_ = Window.partitionBy(*key, "_stretch")
+    gap = F.coalesce((F.col("_from") - F.lag("_to").over(round_.orderBy("_wedge")) > turn * slack).cast("long"), F.lit(0))
+    open_ = F.min("_wedge").over(round_) >= 0
+    wedges = wedges.withColumn("_gap", gap).withColumn("_part", F.sum("_gap").over(round_.orderBy("_wedge")))
+    wraps = F.min("_from").over(round_) + 12.0 - F.max("_to").over(round_) <= turn * slack
+    part = F.when(~open_, 0).when(wraps & (F.col("_part") == F.max("_part").over(round_)), 0).otherwise(F.col("_part"))
+    wedges = wedges.select(*key, "_stretch", "_wedge", (F.col("_stretch") * 32 + part).alias("island"))
+    cells = cells.join(wedges, [*key, "_stretch", "_wedge"])
+    whole = Window.partitionBy(*key, "island")
     cells = cells.withColumns({"n_old": F.sum("_old").over(whole), "n_new": F.sum("_new").over(whole)})
     return celled.join(
-        cells.select("line_id", "old_joint", "_cell", "island", "n_old", "n_new"), ["line_id", "old_joint", "_cell"]
-    ).drop("_cell")
+        cells.select(*key, "_cell", "_wedge", "island", "n_old", "n_new"), [*key, "_cell", "_wedge"]
+    ).drop("_cell", "_wedge")
 
 
 def candidates(features: DataFrame, tolerance: float) -> DataFrame:
@@ -137,37 +154,73 @@ def match_single(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES)
     )
 
 
-def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of every row of a matrix with at least as many columns (shortest augmenting paths)."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=np.int64)
-    for i in range(1, n + 1):
-        owner[0] = i
-        best = np.full(m + 1, np.inf)
-        via = np.zeros(m + 1, dtype=np.int64)
-        done = np.zeros(m + 1, dtype=bool)
-        j = 0
+def assign(n: int, m: int, rows: np.ndarray, columns: np.ndarray, cost: np.ndarray) -> list[int]:
+    """Indices of the pairs of a least-cost assignment among those with the most pairs, from the feasible pairs only.
+
+    Costs count in whole billionths, so sums are exact; of equal sums the one with the least sum of squares (of ten-thousandths) wins, that is the more
+    even one. What is still equal goes to the lower rows.
+    Rows enter in order, each by a shortest augmenting path over reduced costs that ends in a free column, or leaves some row on the path without
+    one, at a cost above that of any assignment. A search stops at the nearest end, so it stays among a row's neighbours.
+    """
+    order = np.lexsort((columns, rows))
+    first = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    to, pair = columns[order].tolist(), order.tolist()
+    price = [(round(c * 1e9) << 64) + round(c * 1e4) ** 2 for c in cost[order].tolist()]
+    alone = (max(price, default=0) + 1) * (min(n, m) + 1)
+    u = [min(price[first[r]:first[r + 1]], default=0) for r in range(n)]
+    v = [0] * m
+    owner, edge_of = [-1] * m, [-1] * n
+    for r in range(n):
+        heap: list[tuple[int, int]] = []
+        reached: dict[int, tuple[int, int]] = {}  # column -> distance, edge by which it was reached
+        settled: list[tuple[int, int]] = []
+        visited = [(r, 0)]
+        closed = set()
+        row, at = r, 0
+        last_row, last = r, alone - u[r]
+        while True:
+            for e in range(first[row], first[row + 1]):
+                c = to[e]
+                if c in closed:
+                    continue
+                d = at + price[e] - u[row] - v[c]
+                if c not in reached or d < reached[c][0]:
+                    reached[c] = d, e
+                    heappush(heap, (d, c))
+            while heap and (heap[0][1] in closed or heap[0][0] > reached[heap[0][1]][0]):
+                heappop(heap)
+            if not heap or heap[0][0] >= last:
+                end, far = None, last
+                break
+            at, column = heappop(heap)
+            if owner[column] < 0:
+                end, far = column, at
+                break
+            closed.add(column)
+            settled.append((column, at))
+            row = owner[column]
+            visited.append((row, at))
+            if at + alone - u[row] < last:
+                last_row, last = row, at + alone - u[row]
+        for x, d in visited:
+            u[x] += far - d
+        for c, d in settled:
+            v[c] -= far - d
+        if end is None:
+            if last_row == r:
+                continue
+            # This row stays without a column; its own goes to the rows before it on the path.
+            end, edge_of[last_row] = to[edge_of[last_row]], -1
         while True:
-            done[j] = True
-            row = owner[j]
-            slack = np.where(done[1:], np.inf, cost[row - 1] - u[row] - v[1:])
-            better = slack < best[1:]
-            best[1:][better] = slack[better]
-            via[1:][better] = j
-            reachable = np.where(done[1:], np.inf, best[1:])
-            nxt = int(np.argmin(reachable)) + 1
-            step = reachable[nxt - 1]
-            u[owner[done]] += step
-            v[done] -= step
-            best[~done] -= step
-            j = nxt
-            if owner[j] == 0:
+            e = reached[end][1]
+            # The row of an edge is where its list lies.
+            giver = int(np.searchsorted(first, e, "right")) - 1
+            following = edge_of[giver]
+            owner[end], edge_of[giver] = giver, e
+            if giver == r:
                 break
-        while j:
-            owner[j] = owner[via[j]]
-            j = via[j]
-    return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+            end = to[following]
+    return [pair[e] for e in edge_of if e >= 0]
 
 
 def _components(n_old: int, rows: np.ndarray, cols: np.ndarray, n_new: int) -> Iterator[np.ndarray]:
@@ -212,27 +265,17 @@ def _candidates(o: dict, n: dict, limits: Sequence[float]) -> tuple[np.ndarray,
     return i, j, np.where(o["parent"][i] != n["parent"][j], cost + CLUSTER_PENALTY, cost)
 
 
-def solve_island(pdf, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[int, int, float, int]]:
-    """(old index, new index, cost, pass) over the rows of one island.
+_ARRAYS = {"pos": "pos", "clock": "clock_decimal_hours", "surface": "surface", "depth": "depth_pct_wt", "parent": "is_cluster_parent"}
+_KINDS = {"surface": object, "parent": bool}
+
+
+def solve(old: dict, new: dict, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[int, int, float, int]]:
+    """(old index, new index, cost, pass) over the arrays of one island, each side ordered by source row.
 
     In each pass as many pairs as possible are assigned at least total cost; a pair above the pass's ceiling
-    is then put back. Ties between equal solutions go to the lower rows.
+    is then put back.
     """
-    ordered = pdf.sort_values(["side", "source_row"], kind="stable")
-
-    def columns(side: int) -> dict:
-        part = ordered[ordered["side"] == side]
-        return {
-            "at": part.index.to_numpy(),
-            "pos": part["pos"].to_numpy(float),
-            "clock": part["clock_decimal_hours"].to_numpy(float),
-            "surface": part["surface"].to_numpy(object),
-            "depth": part["depth_pct_wt"].to_numpy(float),
-            "parent": part["is_cluster_parent"].to_numpy(bool),
-        }
-
-    old, new = columns(1), columns(2)
-    left, right = np.arange(len(old["at"])), np.arange(len(new["at"]))
+    left, right = np.arange(len(old["pos"])), np.arange(len(new["pos"]))
     found: list[tuple[int, int, float, int]] = []
     for level, limits in enumerate(passes, start=1):
         if not len(left) or not len(right):
@@ -240,45 +283,74 @@ def solve_island(pdf, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[
         i, j, cost = _candidates({k: v[left] for k, v in old.items()}, {k: v[right] for k, v in new.items()}, limits)
         if not len(i):
             continue
-        used_l, used_r = set(), set()
+        used_l, used_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
         for part in _components(len(left), i, j, len(right)):
             rows, ri = np.unique(i[part], return_inverse=True)
             cols, ci = np.unique(j[part], return_inverse=True)
-            forbidden = (cost[part].max() + 1.0) * (min(len(rows), len(cols)) + 1)
-            dense = np.full((len(rows), len(cols)), forbidden)
-            dense[ri, ci] = cost[part]
             flip = len(rows) > len(cols)
-            for r, c in _assign(dense.T if flip else dense):
-                r, c = (c, r) if flip else (r, c)
-                if dense[r, c] < forbidden and dense[r, c] <= limits[2]:
-                    found.append((int(old["at"][left[rows[r]]]), int(new["at"][right[cols[c]]]), float(dense[r, c]), level))
-                    used_l.add(rows[r])
-                    used_r.add(cols[c])
-        left = np.array([x for k, x in enumerate(left) if k not in used_l], dtype=np.int64)
-        right = np.array([x for k, x in enumerate(right) if k not in used_r], dtype=np.int64)
+            sides = (len(cols), len(rows), ci, ri) if flip else (len(rows), len(cols), ri, ci)
+            for k in assign(*sides, cost[part]):
+                e = part[k]
+                if cost[e] <= limits[2]:
+                    found.append((int(left[i[e]]), int(right[j[e]]), float(cost[e]), level))
+                    used_l[i[e]] = used_r[j[e]] = True
+        left, right = left[~used_l], right[~used_r]
     return found
 
 
+def solve_islands(pdf, passes: Sequence[Sequence[float]] = PASSES) -> list[tuple[int, int, float, int]]:
+    """(old row number, new row number, cost, pass) over the rows of whole islands, a pandas frame ordered by island, side and source row."""
+    side = pdf["side"].to_numpy()
+    arrays = {name: pdf[c].to_numpy(_KINDS.get(name, float)) for name, c in _ARRAYS.items()}
+    new_island = np.ones(len(pdf), bool)
+    new_island[1:] = False
+    for c in ISLAND:
+        if c in pdf:
+            values = pdf[c].to_numpy()
+            new_island[1:] |= values[1:] != values[:-1]
+    edges = np.append(np.flatnonzero(new_island), len(pdf))
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        middle = a + int((side[a:b] == 1).sum())
+        found = solve({k: v[a:middle] for k, v in arrays.items()}, {k: v[middle:b] for k, v in arrays.items()}, passes)
+        out += [(a + o, middle + n, cost, level) for o, n, cost, level in found]
+    return out
+
+
 def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> DataFrame:
-    """Islands with a choice: exact assignment, one island per group."""
+    """Islands with a choice: exact assignment. A task goes through its islands one after the other and holds one Arrow batch and one island."""
     limits = tuple(tuple(float(x) for x in p) for p in passes)
+    columns = [*ISLAND, "side", *_SIDE]
 
-    def kernel(pdf):
+    def kernel(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        pdf = pdf.reset_index(drop=True)
-        rows = solve_island(pdf, limits)
-        o, n = [r[0] for r in rows], [r[1] for r in rows]
-        out = pd.DataFrame({
-            "line_id": pdf["line_id"].iloc[o].to_numpy(),
-            "old_joint": pdf["old_joint"].iloc[o].to_numpy(),
-            "old_source_row": pdf["source_row"].iloc[o].to_numpy(),
-            "new_source_row": pdf["source_row"].iloc[n].to_numpy(),
-            "match_score": [r[2] for r in rows],
-            "confidence": [max(0.0, min(1.0, 1.0 - r[2] / max(limits[r[3] - 1][2], 1e-9))) for r in rows],
-            "relaxation_level": [r[3] for r in rows],
-        })
-        return out
+        def solved(pdf):
+            rows = solve_islands(pdf, limits)
+            o, n = [r[0] for r in rows], [r[1] for r in rows]
+            return pd.DataFrame({
+                "line_id": pdf["line_id"].iloc[o].to_numpy(),
+                "old_joint": pdf["old_joint"].iloc[o].to_numpy(),
+                "old_source_row": pdf["source_row"].iloc[o].to_numpy(),
+                "new_source_row": pdf["source_row"].iloc[n].to_numpy(),
+                "match_score": [r[2] for r in rows],
+                "confidence": [max(0.0, min(1.0, 1.0 - r[2] / max(limits[r[3] - 1][2], 1e-9))) for r in rows],
+                "relaxation_level": [r[3] for r in rows],
+            })
+
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            last = np.ones(len(frame), bool)
+            for c in ISLAND:
+                last &= (frame[c] == frame[c].iloc[-1]).to_numpy()
+            # The last island may go on in the next batch.
+            yield solved(frame[~last].reset_index(drop=True))
+            rest = frame[last].reset_index(drop=True)
+        if rest is not None:
+            yield solved(rest)
 
     choice = islands.where((F.col("n_old") > 0) & (F.col("n_new") > 0) & ((F.col("n_old") > 1) | (F.col("n_new") > 1)))
     key_types = {f.name: f.dataType.simpleString() for f in islands.schema.fields}
@@ -286,7 +358,8 @@ def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASS
         f"line_id {key_types['line_id']}, old_joint {key_types['old_joint']}, old_source_row long, new_source_row long,"
         " match_score double, confidence double, relaxation_level int"
     )
-    solved = choice.drop("old").groupBy(*ISLAND).applyInPandas(kernel, schema)
+    dealt = choice.select(*columns).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "side", "source_row")
+    solved = dealt.mapInPandas(kernel, schema)
     carried = choice.where(F.col("side") == 1).select("line_id", F.col("source_row").alias("old_source_row"), "old")
     return solved.join(carried, ["line_id", "old_source_row"])
 
@@ -296,7 +369,7 @@ def match(old: DataFrame, new: DataFrame, joint_pairs: DataFrame, passes: Sequen
 
     ``joint_pairs`` has (line_id, old_joint, new_joint), one-to-one within a line.
     """
-    islands = with_islands(sided(old, new, joint_pairs), max(p[0] for p in passes))
+    islands = cut(with_islands(sided(old, new, joint_pairs), max(p[0] for p in passes), max(p[1] for p in passes)))
     columns = [
         "line_id", "old_joint", "old_source_row", "new_source_row", "match_score", "confidence", "relaxation_level", "old",
     ]
