@@ -410,6 +410,13 @@ def _(spark, sf):
     return D.report_metadata(pages(spark, sf))
 
 
+@query("report_notes", """
+SELECT s_suppkey AS doc_id, 'outer_diameter_mm' AS field, 'conflicting_values' AS note, CAST(200 + s_suppkey AS VARCHAR) || '.0' AS kept, '406.0' AS others
+FROM supplier WHERE s_suppkey <> 206""")
+def _(spark, sf):
+    return D.report_notes(pages(spark, sf))
+
+
 @query("report_dates", sql("", """
 SELECT event_id, d AS date FROM (SELECT event_id, DATE '2015-01-01' + CAST(event_id % 3000 AS INTEGER) AS d FROM events)"""))
 def _(spark, sf):
