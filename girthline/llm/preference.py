@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girthline.llm.store import Store
+
 
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>\n"))
@@ -48,14 +50,35 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def swapped_last_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides out of plain conversations: a conversation is chosen over itself with the last assistant turn
-    of the conversation numbered one higher in place of its own. Those without such a neighbour make no pair."""
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    last = rows.where("role = 'assistant' AND turn IS NOT NULL").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", "m.turn", "m.text")
-    pairs = last.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("last")).join(
-        last.select((F.col("conv_id") - 1).alias("pair_id"), F.col("text").alias("other")), "pair_id")
+def _following(ids: DataFrame, store: Store) -> DataFrame:
+    """``conv_id, following``: the next larger id, and the smallest one after the largest. Ids may have gaps; no task sees all of them."""
+    placed = store.keep(ids.orderBy("conv_id").withColumn("at", F.monotonically_increasing_id()))
+    # One row for each partition of the sorted ids.
+    part = F.shiftrightunsigned("at", 33)
+    ends = placed.groupBy(part.alias("part")).agg(F.max("at").alias("at"), F.min("conv_id").alias("first"))
+    by_part = Window.orderBy("part")
+    after = ends.select("at", F.coalesce(F.lead("first").over(by_part), F.min("first").over(by_part)).alias("first"))
+    inside = placed.select((F.col("at") - 1).alias("at"), F.col("conv_id").alias("following"))
+    found = placed.join(inside, "at", "left").join(after, "at", "left")
+    return found.select("conv_id", F.coalesce("following", "first").alias("following")).where("conv_id <> following")
+
+
+def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected sides out of plain conversations. A conversation is chosen; the rejected side is made from it with the last assistant turn
+    of the next conversation that has one (the first follows the last). By the id's remainder by three that text stands in place of its own last
+    assistant turn (0, and without a whole number as id), or of its first one (1), or the rejected side ends before its last assistant turn (2).
+    Conversations without an assistant turn make no pair, nor does a single one."""
+    store = Store(conversations.sparkSession)
+    rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
+    reply = rows.where("role = 'assistant' AND turn IS NOT NULL").groupBy("conv_id")
+    ends = store.keep(reply.agg(F.max(F.struct("turn", "text")).alias("m"), F.min("turn").alias("first")).select("conv_id", "m.turn", "m.text", "first"))
+    pairs = ends.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("last"), F.col("first").alias("early")).join(
+        _following(ends.select("conv_id"), store).withColumnRenamed("conv_id", "pair_id"), "pair_id")
+    pairs = pairs.join(ends.select(F.col("conv_id").alias("following"), F.col("text").alias("other")), "following").drop("following")
     sides = rows.withColumnRenamed("conv_id", "pair_id").join(pairs, "pair_id")
-    swap = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
+    kind = F.coalesce(F.pmod(F.col("pair_id").try_cast("bigint"), F.lit(3)), F.lit(0))
+    at = F.when(kind == 1, F.col("early")).otherwise(F.col("last"))
+    swap = F.when((kind != 2) & (F.col("turn") == at) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
     names = ("pair_id", "turn", "role")
-    return sides.select(*names, "text"), sides.select(*names, swap.alias("text"))
+    left = sides.where((kind != 2) | F.col("turn").isNull() | (F.col("turn") < F.col("last")))
+    return sides.select(*names, "text"), left.select(*names, swap.alias("text"))

@@ -57,7 +57,7 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return preference.preferences(*preference.swapped_last_replies(_table(spark, folder, "conversations")))
+    return preference.preferences(*preference.swapped_replies(_table(spark, folder, "conversations")))
 
 
 def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,19 +129,23 @@ ORACLE = {
                     OR 5 * n_symbols > n_words OR 20 * n_dup_lines > n_words OR 2 * n_letters < word_chars OR n_distinct < 10) AS kept
         FROM m""",
     "op10_preference_pairs": """
-        WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-        p AS (SELECT a.conv_id AS pair_id, a.turn AS last, b.text AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
-        c AS (SELECT pair_id, turn, role, text, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END AS bad
+        WITH last AS (SELECT conv_id, max(turn) AS turn, min(turn) AS early, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+        o AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS following FROM last),
+        p AS (SELECT a.conv_id AS pair_id, a.turn AS last, a.early, a.conv_id % 3 AS kind, b.text AS other
+              FROM last a JOIN o USING (conv_id) JOIN last b ON b.conv_id = o.following WHERE o.following <> a.conv_id),
+        c AS (SELECT pair_id, turn, role, text, kind = 2 AND turn >= last AS gone,
+                     CASE WHEN role = 'assistant' AND turn = CASE kind WHEN 0 THEN last WHEN 1 THEN early END THEN other ELSE text END AS bad
               FROM conversations JOIN p ON pair_id = conv_id),
-        f AS (SELECT pair_id, min(turn) AS first FROM c WHERE text <> bad GROUP BY pair_id),
+        f AS (SELECT pair_id, min(turn) AS first FROM c WHERE gone OR text <> bad GROUP BY pair_id),
         a AS (SELECT pair_id, CASE WHEN turn >= first THEN 'chosen' ELSE 'prompt' END AS part, turn, role, text FROM c LEFT JOIN f USING (pair_id)
-              UNION ALL SELECT pair_id, 'rejected', turn, role, bad FROM c JOIN f USING (pair_id) WHERE turn >= first)
+              UNION ALL SELECT pair_id, 'rejected', turn, role, bad FROM c JOIN f USING (pair_id) WHERE turn >= first AND NOT gone)
         SELECT pair_id, part, turn, 1 AS place, role, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS segment,
                part <> 'prompt' AND role = 'assistant' AS train FROM a""",
-    "op8_url_filter": f"""
-        WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h,
-                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
-        p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u)
+    "op8_url_filter": """
+        WITH t AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        u AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM t),
+        p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(h) + 1), '^/[^?#]*') AS path FROM u)
         SELECT page_id, host, path,
                CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

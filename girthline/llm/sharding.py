@@ -7,8 +7,10 @@ over twice the mean are subdivided with splitters sampled inside them, again and
 left above it: a text with very many copies is cut by ids like any other run of keys. The ranges are dealt to the shards largest
 first, each to the shard with the fewest bytes so far. ``slot`` numbers a shard's records by range and key from 0 without gaps.
 
-The driver holds the sample and one number for each range, both bounded by ``n_shards * ranges_per_shard``. Rows that are equal
-in all columns share a key, so they stay in one range.
+Rows that are equal in all columns share those hashes. Where such rows together exceed the mean of a range, they are counted, and the row is written out
+so many times with a running number at the end of its key; so they are cut like other keys, and no task numbers or writes more than ``COPIES`` of them.
+
+The driver holds the sample, one number for each range and the repeated rows' keys, all bounded by ``n_shards * ranges_per_shard``.
 
 A null text has 0 bytes (size 16) and stands with the others of its kind. Null ids are an id of their own. Existing columns named like
 the added ones are replaced. An empty table gives no rows.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from girthline.session import cut
 
-OVERHEAD, RANGES_PER_SHARD, DRAWS_PER_RANGE = 16, 32, 12
+OVERHEAD, RANGES_PER_SHARD, DRAWS_PER_RANGE, COPIES = 16, 32, 12, 10_000
 ADDED = ("size", "text_crc32", "shard", "slot")
 
 
@@ -91,6 +93,23 @@ def splitters(records: DataFrame, n_ranges: int) -> tuple[list[str], dict[int, t
         found = grown
 
 
+def _numbered_copies(keyed: DataFrame, columns: list[str], n_ranges: int) -> DataFrame:
+    """``keyed`` with longer keys that tell equal rows apart where they are many."""
+    sums = keyed.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    whole = keyed.agg(F.sum("size")).first()[0] or 0
+    # Fewer than ``n_ranges`` keys can have more than the mean of a range.
+    hot = [r["key"] for r in sums.where((F.col("n") > 1) & (F.col("bytes") * n_ranges > whole)).select("key").collect()]
+    number = lambda n: F.lpad(F.hex(n), 16, "0")
+    if not hot:
+        return keyed.withColumn("key", F.concat("key", number(F.lit(0))))
+    many = F.broadcast(keyed.sparkSession.createDataFrame([(k,) for k in hot], "key string"))
+    single = keyed.join(many, "key", "left_anti").withColumn("key", F.concat("key", number(F.lit(0))))
+    counted = keyed.join(many, "key").groupBy("key", *columns, "size", "text_crc32").agg(F.count("*").alias("_n"))
+    runs = counted.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES)))).repartition("key", "_from")
+    copies = F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_n")) - 1))
+    return single.unionByName(runs.withColumn("_copy", copies).withColumn("key", F.concat("key", number(F.col("_copy")))).select(*single.columns))
+
+
 def sharded(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
     """The documents with ``size``, ``text_crc32``, ``shard`` and ``slot``."""
     names = [c for c in docs.columns if c not in ADDED]
@@ -99,6 +118,7 @@ def sharded(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RANGES_
     key = F.concat(_hex(F.xxhash64(text)), _hex(F.xxhash64(row_id)), _hex(F.xxhash64(*inner.columns)))
     keyed = inner.withColumn("key", key).withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD)
     keyed = keyed.withColumn("text_crc32", F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
+    keyed = _numbered_copies(keyed, inner.columns, n_shards * ranges_per_shard)
     found, sums = splitters(cut(keyed.select("key", "size")), n_shards * ranges_per_shard)
 
     shard_of, heap = {}, [(0, s) for s in range(n_shards)]

@@ -173,7 +173,7 @@ def _narrowed(wanted: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the labelled documents whose hashed ids are smallest.
+    """Fits on the labelled documents whose hashed ids are smallest; an id with several texts counts once, with the text whose hash is smallest.
 
     Spark counts the documents with each feature; the driver gets those counts, ``BINS`` at most, and of the sample's rows only
     the features that matter.
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("k_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("k_id"), "k_id").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k_id"))
-    found = cut(joined.select("doc_id", (F.col("y") > 0).alias("toxic"), features("text").alias("f")))
+    once = joined.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = cut(once.select("doc_id", (F.col("y") > 0).alias("toxic"), features("text").alias("f")))
     n, y = found.agg(F.count("*"), F.count_if("toxic")).first()
     if y in (0, n):
         return NOTHING
