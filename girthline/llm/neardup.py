@@ -7,15 +7,15 @@ shingles of a pair are taken for equal with a probability of 2^-64 for each two)
 
 * Documents with equal sets, told by 128 bits, are one node. Each node's shingle hashes are thrown once into ``BINS`` bins by their
   value; the smallest of each bin is the signature, and an empty bin takes the value of a bin that a hash sequence of its own number
-  reaches first (optimal densification). ``ROWS`` bins make a band key: a pair at 0.85 shares none of the 40 bands with a
-  probability of about 6e-9.
+  reaches first (optimal densification). ``ROWS`` bins make a band key: a pair at 0.85 shares none of the 60 bands with a
+  probability of about 5e-9, one at 0.8 of 2e-5.
 * A bucket (nodes with one band key) gives a star: an edge from each member, a ray, to the smallest one, its centre; so its pairs are as many as
   its members. Edges whose set sizes or signatures rule the similarity out go; the others are checked on the full sets.
-* A star may miss a link between two of its rays. All rays of one centre c make a group; a group in one component is settled. In any other, each
-  member x keeps its difference D(x) from c. Two members linked with each other but not both with c must share elements of their differences,
+* A star may miss a link between two of its rays. A bucket whose rays are in one component is settled. The rays of the others make one group for each
+  centre c; there each member x keeps its difference D(x) from c. Two members linked with each other but not both with c must share elements of their differences,
   as |x ^ y| = |D(x) ^ D(y)| <= a (|x| + |y|) with a = (100 - percent) / (100 + percent): at least
-  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, at least |D(x)| - |x| (100 - percent) / percent, and at least one. So they share one within the first |D| - least + 1 elements of each, the rarest of the group
-  first. The members with such an element in common make the next groups, again with a star around their smallest, and again their
+  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, at least |D(x)| - |x| (100 - percent) / percent, and at least one. So they share one within the first |D| - least + 1 elements of each in any order; those that a sample of
+  the group shows to be rare come first. The members with such an element in common make the next groups, again with a star around their smallest, and again their
   differences from it, until all groups are settled. Near copies of one text differ from each other in places of their own, which are the rarest
   elements and hardly ever shared; so a group of n of them gives a few stars, and never its n^2 pairs. Nothing is capped or sampled.
 * Differences are exact, so links found in groups are too; no link within a bucket is lost.
@@ -42,7 +42,7 @@ from girthline.llm import bytewords as B
 from girthline.llm.spread import spread_join
 from girthline.llm.store import Store
 
-BINS, ROWS, BROADCAST_ROWS = 240, 6, 500_000
+BINS, ROWS, BROADCAST_ROWS, OFTEN = 480, 8, 500_000, 64
 BANDS = BINS // ROWS
 #: A smaller set has no partner at 0.8 or more but its equal: 4 of 5 is the first such ratio.
 LEAST = 4
@@ -204,28 +204,54 @@ def _open(rows: DataFrame, label: DataFrame, store: Store) -> DataFrame:
     return kept
 
 
+def _prefix(percent: int):
+    """A column function: of a difference the first elements in the group's order that linked sets must share one of.
+
+    The order puts elements in no list of the group's frequent ones first, by value, then those by frequency. ``least`` is how many elements are shared.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def prefix(d: pa.Array, least: pa.Array, frequent: pa.Array) -> pa.Array:
+        out = []
+        for x, k, often in zip(d, least.to_pylist(), frequent):
+            values = x.values.to_numpy()
+            n = len(values) - k + 1
+            if n <= 0:
+                out.append(np.zeros(0, np.int64))
+                continue
+            often = often.values.to_numpy() if often.is_valid else np.zeros(0, np.int64)
+            # ``often`` is ordered from rare to frequent.
+            by_value = np.argsort(often)
+            at = np.searchsorted(often[by_value], values)
+            at[at == len(often)] = 0
+            known = often[by_value][at] == values if len(often) else np.zeros(len(values), bool)
+            rank = np.where(known, by_value[at] + 1, 0) if len(often) else np.zeros(len(values), np.int64)
+            out.append(values[np.argsort(rank, kind="stable")[:n]])
+        return B.lists(out, pa.int64())
+
+    return prefix
+
+
 def _next_members(apart: DataFrame, percent: int, store: Store) -> DataFrame:
     """The next groups: ``g, centre, u, n, s`` with the centres among the members, from differences ``d`` of members of open groups."""
     hundred = 100 + percent
     weighed = apart.withColumn("w", (F.size("d") * hundred - (100 - percent) * F.col("n")).cast("long"))
     least = weighed.groupBy("g").agg(F.min("w").alias("w_any"), F.min(F.when(~F.col("inside"), F.col("w"))).alias("w_out"), F.count("*").alias("n_rows"))
-    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "n", "d"), store.keep(least), ["g"], "u")
+    least = store.keep(least)
+    # Which elements are frequent is found on about OFTEN members of a group, told by a hash; it orders the elements and decides nothing else.
+    drawn = spread_join(apart.select("g", "u", "d"), least.select("g", "n_rows"), ["g"], "u", keep=True).where(F.pmod(F.xxhash64("u"), F.ceil(F.col("n_rows") / OFTEN)) == 0)
+    seen = drawn.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).where("k > 1")
+    top = seen.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias("often"))
+    facts = store.keep(least.join(top, "g", "left"))
+    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "n", "d"), facts, ["g"], "u")
     # Two members inside are linked already, so one inside looks for others only.
     other = F.when(F.col("inside"), F.col("w_out")).otherwise(F.col("w_any"))
     # Linked sets differ in at most n (100 - percent) / percent elements, so all but that many of a difference are shared.
     shared = F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(2 * hundred)), F.size("d") - F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)))
-    held = held.select("g", "u", "root", F.size("d").alias("size"), (F.size("d") - shared + 1).alias("first"), "d").where("first > 0")
-    elements = held.select("g", "u", "root", "size", "first", F.explode("d").alias("e"))
-    # Every difference counts for an element's rarity, whether it looks for others or not.
-    counts = apart.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-    met = spread_join(elements, store.keep(counts.withColumn("rarity", F.col("n_rows"))), ["g", "e"], "u")
-    of = Window.partitionBy("g", "u")
-    # Elements of one member alone come first; they meet nobody and only take their places.
-    place = F.row_number().over(of.orderBy("rarity", "e")) + F.col("size") - F.count("*").over(of)
-    chosen = store.keep(met.withColumn("place", place).where("place <= first").select("g", "e", "u", "root"))
-    groups = chosen.groupBy("g", "e").agg(F.min("u").alias("centre"), F.count("*").alias("n_rows"), F.min("root").alias("a"), F.max("root").alias("b"))
+    elements = store.keep(held.select("g", "u", "root", F.explode(_prefix(percent)("d", shared.cast("int"), "often")).alias("e")))
+    groups = elements.groupBy("g", "e").agg(F.min("u").alias("centre"), F.count("*").alias("n_rows"), F.min("root").alias("a"), F.max("root").alias("b"))
     groups = store.keep(groups.where("a < b").select("g", "e", "centre", "n_rows", F.monotonically_increasing_id().alias("h")))
-    joined = spread_join(chosen.select("g", "e", "u"), groups, ["g", "e"], "u").select("h", "centre", "g", "u")
+    joined = spread_join(elements.select("g", "e", "u"), groups, ["g", "e"], "u").select("h", "centre", "g", "u")
     return joined.join(apart.select("g", "u", "n", F.col("d").alias("s")), ["g", "u"]).select(F.col("h").alias("g"), "centre", "u", "n", "s")
 
 
@@ -233,8 +259,10 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> D
     """(node, root) of every node with a link but the roots."""
     buckets = nodes.where("sketch IS NOT NULL").select("node", F.explode("bands").alias("key"))
     centres = store.keep(buckets.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("n_rows")).where("n_rows > 1"))
-    rays = store.keep(spread_join(buckets, centres, ["key"], "node").where("node != c").select(F.col("node").alias("u"), F.col("c").alias("v")).distinct())
+    met = spread_join(buckets, centres.withColumn("k", F.col("n_rows")), ["key"], "node").where("node != c")
+    met = store.keep(met.select("key", F.col("node").alias("u"), F.col("c").alias("v"), "k"))
     store.drop(centres)
+    rays = store.keep(met.select("u", "v").distinct())
 
     facts = {x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv"}
     likely = store.keep(_plausible(_with_centre(rays.join(facts["u"], "u"), facts["v"], "v", store), percent).select("u", "v", "nu", "nv"))
@@ -246,14 +274,19 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> D
     store.drop(sets, likely)
     label = components(links, store)
 
-    members = _open(rays.select(F.col("v").alias("g"), F.col("v").alias("centre"), "u"), label, store)
+    # Rays of one bucket that are not in one component; a bucket of two has no two rays.
+    several = met.where("k > 2")
+    roots = _rooted(several, label, "u", "root").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n_rows"))
+    unsettled = store.keep(roots.where("a < b").select("key", "n_rows"))
+    left = spread_join(several, unsettled, ["key"], "u").select(F.col("v").alias("g"), F.col("v").alias("centre"), "u").distinct()
+    members = _open(store.keep(left), label, store)
     if members.isEmpty():
         return label
     sets = _sets(texts, nodes, members.select(F.explode(F.array("u", "centre")).alias("node")).distinct(), store)
     filled = members.join(sets.select(F.col("node").alias("u"), "n", "s"), "u")
     centre = sets.select(F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("s").alias("c"))
     apart = store.keep(_with_centre(filled, centre, "centre", store).select("g", "u", "root", "inside", "n", difference("s", "c").alias("d")))
-    store.drop(rays, sets)
+    store.drop(rays, met, sets)
     while True:
         more = store.keep(_next_members(apart, percent, store))
         if more.isEmpty():

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 PARTS = 200
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: str) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: str, keep: bool = False) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row for each key and, as ``n_rows``, how many of ``rows`` have that key.
 
     A key with k of PARTS equal parts of the rows is dealt to k places by a hash of the column ``by``, and its row in ``keyed`` is
     repeated k times; so no place gets more than one part of a single key, and at most 2 * PARTS rows are added. ``keyed`` is read
-    three times and should be a stored table. No key column may be null.
+    three times and should be a stored table. No key column may be null. ``keep`` keeps ``n_rows`` in the result.
     """
     total = keyed.agg(F.sum("n_rows")).first()[0] or 1
     hot = F.broadcast(keyed.where(F.col("n_rows") * PARTS > total).select(*keys, F.ceil(F.col("n_rows") * PARTS / total).cast("int").alias("_places")))
     place = F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_places")).cast("int"))
     dealt = rows.join(hot, keys, "left").withColumn("_place", place).drop("_places")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))
-    return dealt.join(keyed.drop("n_rows").join(hot, keys, "left").withColumn("_place", copies).drop("_places"), [*keys, "_place"]).drop("_place")
+    return dealt.join((keyed if keep else keyed.drop("n_rows")).join(hot, keys, "left").withColumn("_place", copies).drop("_places"), [*keys, "_place"]).drop("_place")
