@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.ctes import cte, r, sql
-from checks.engine import grown, lines, matches, predicted, rd
+from checks.engine import grown, lines, matches, predicted, rd, rx
 from girthline.functions import dates
 from girthline.operators import alignment as J, assess as A, flags as Q, inventory as I, matching as M, project as P
 from girthline.operators.dents import dent_strains
@@ -96,6 +96,27 @@ def _(spark, sf):
     )
 
 
+# Every cell of the band.
+@query("joint_band_scores", sql("jn jo", """,
+o AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY joint_number) AS i FROM jo),
+n AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY joint_number) AS j FROM jn),
+b AS (SELECT line_id, greatest(20, floor(greatest(n_o, n_n) * 0.05), abs(n_o - n_n)) AS band
+  FROM (SELECT line_id, count(*) AS n_o FROM o GROUP BY 1) JOIN (SELECT line_id, count(*) AS n_n FROM n GROUP BY 1) USING (line_id)),
+s AS (SELECT line_id, o.joint_number AS old_joint, n.joint_number AS new_joint, abs(o.start_m - n.start_m) <= 500.0 AS near, abs(CAST(o.wt_mm AS FLOAT) - CAST(n.wt_mm AS FLOAT)) <= 0.5 AS walls,
+  1.0 - CAST(abs(CAST(o.length_m AS FLOAT) - CAST(n.length_m AS FLOAT)) AS DOUBLE) / CAST(greatest(CAST(o.length_m AS FLOAT), CAST(n.length_m AS FLOAT)) AS DOUBLE) AS sim
+  FROM o JOIN n USING (line_id) JOIN b USING (line_id) WHERE abs(i - j) <= band),
+c AS (SELECT *, CASE WHEN sim < 0.85 THEN -1.0 ELSE sim + CASE WHEN walls THEN CAST(CAST(0.2 AS FLOAT) AS DOUBLE) ELSE 0.0 END + CASE WHEN near THEN CAST(CAST(0.3 AS FLOAT) AS DOUBLE) ELSE 0.0 END END AS score FROM s)
+SELECT line_id, old_joint, count(*) AS n_scored, round(sum(score), 6) + 0.0 AS total_score, round(max(score), 6) + 0.0 AS best_score, arg_min(new_joint, {'s': -score, 'j': new_joint}) AS best_new_joint
+FROM c GROUP BY line_id, old_joint""").replace("\n,\no AS", ",\no AS"))
+def _(spark, sf):
+    cells = J.band_pairs(*both(spark, sf))
+    rows = cells.select("line_id", F.col("o.joint_number").alias("old_joint"), F.col("n.joint_number").alias("new_joint"), J.pair_score(F.col("o"), F.col("n")).cast("double").alias("score"))
+    return rows.groupBy("line_id", "old_joint").agg(
+        F.count("*").alias("n_scored"), rx(F.sum("score"), "total_score"), rx(F.max("score"), "best_score"),
+        F.min_by("new_joint", F.struct(-F.col("score"), "new_joint")).alias("best_new_joint"),
+    )
+
+
 def true_pairs(spark, sf):
     """Pairs as the derivation implies them, shifted in places so that some run backwards."""
     old, new = both(spark, sf)

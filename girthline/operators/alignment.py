@@ -99,6 +99,22 @@ def line_modes(old: DataFrame, new: DataFrame) -> DataFrame:
     })
 
 
+def band_pairs(old: DataFrame, new: DataFrame, chunk: int = CHUNK_JOINTS) -> DataFrame:
+    """Every pair of an old and a new joint inside the alignment's band: ``line_id`` and the structs ``o`` and ``n`` with ``pos``.
+
+    Positions lie in buckets as wide as the band reaches, so an old joint looks into two of them and meets each new one once. The result has a
+    row for each cell of the band; it serves to look at scores, the alignment itself never makes it.
+    """
+    placed = numbered(_both(old, new), ["line_id", "side"], ["joint_number"], chunk_of(F.col("joint_number"), chunk), "pos")
+    rows = placed.join(line_modes(old, new).select("line_id", "band"), "line_id")
+    width = 2 * F.col("band") + 1
+    fields = F.struct("pos", "joint_number", "length_m", "wt_mm", "abs_distance_start_m")
+    first, last = F.floor((F.col("pos") - F.col("band")) / width), F.floor((F.col("pos") + F.col("band")) / width)
+    o = rows.where("side = 1").select("line_id", "band", fields.alias("o"), F.explode(F.array_distinct(F.array(first, last))).alias("_bucket"))
+    n = rows.where("side = 2").select("line_id", fields.alias("n"), F.floor(F.col("pos") / width).alias("_bucket"))
+    return o.join(n, ["line_id", "_bucket"]).where(F.abs(F.col("o.pos") - F.col("n.pos")) <= F.col("band")).select("line_id", "o", "n")
+
+
 def _both(old: DataFrame, new: DataFrame) -> DataFrame:
     columns = ["line_id", "joint_number", "abs_distance_start_m", "length_m", "wt_mm"]
     return old.select(F.lit(1).alias("side"), *columns).unionByName(new.select(F.lit(2).alias("side"), *columns))
