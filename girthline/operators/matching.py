@@ -29,6 +29,8 @@ SHRINK_RATIO = 0.5
 CLUSTER_PENALTY = 0.2
 
 ISLAND = ("line_id", "old_joint", "island")
+#: A hair: an island may be joined needlessly, never split between two candidates.
+SLACK = 1.000001
 OLD_FIELDS = ("abs_distance_m", "depth_pct_wt", "depth_mm", "clock_decimal_hours", "surface", "wt_mm", "anomaly_id")
 OLD_TYPE = (
     "struct<abs_distance_m: double, depth_pct_wt: double, depth_mm: double, clock_decimal_hours: double,"
@@ -37,6 +39,11 @@ OLD_TYPE = (
 _SIDE = ("source_row", "pos", "clock_decimal_hours", "surface", "depth_pct_wt", "is_cluster_parent")
 
 
+def _choice() -> Column:
+    """Islands that leave a choice."""
+    return (F.col("n_old") > 0) & (F.col("n_new") > 0) & ((F.col("n_old") > 1) | (F.col("n_new") > 1))
+
+
 def pair_cost(old: Column, new: Column) -> tuple[Column, Column, Column]:
     """(axial distance, clock distance or null when unknown, cost) of two feature structs."""
     axial = F.abs(old["pos"] - new["pos"])
@@ -76,43 +83,53 @@ def sided(old: DataFrame, new: DataFrame, joint_pairs: DataFrame) -> DataFrame:
     return side(old, 1, "old_joint").unionByName(side(new, 2, "new_joint"))
 
 
-def with_islands(features: DataFrame, tolerance: float, turn: float | None = None) -> DataFrame:
-    """Adds ``island`` and the island's ``n_old`` and ``n_new``.
+def _stretches(features: DataFrame, tolerance: float) -> DataFrame:
+    """Adds ``island``, a stretch without an axial gap above the tolerance, and its ``n_old`` and ``n_new``.
 
-    Features are first counted into cells one tolerance long and half an hour of girth wide. A cell cannot hold an axial gap, so cells with their
-    lowest and highest position are enough to find every gap, and the windows see cells instead of features. Stretches are then cut at gaps above
-    ``turn`` hours round the girth in the same way, unless a feature without a clock position could meet any other.
+    Features are first counted into cells one tolerance wide. A cell cannot hold a gap, so cells with their
+    lowest and highest position are enough to find every gap, and the windows see cells instead of features.
     """
-    turn = max(p[1] for p in PASSES) if turn is None else turn
     key = ["line_id", "old_joint"]
-    hour = F.col("clock_decimal_hours")
-    celled = features.withColumns({"_cell": F.floor(F.col("pos") / tolerance).cast("long"), "_wedge": F.coalesce(F.floor(hour * 2), F.lit(-1)).cast("int")})
-    cells = celled.groupBy(*key, "_cell", "_wedge").agg(
+    celled = features.withColumn("_cell", F.floor(F.col("pos") / tolerance).cast("long"))
+    cells = celled.groupBy(*key, "_cell").agg(
         F.count_if(F.col("side") == 1).alias("_old"), F.count_if(F.col("side") == 2).alias("_new"),
-        F.min("pos").alias("_low"), F.max("pos").alias("_high"), F.min(hour).alias("_from"), F.max(hour).alias("_to"),
+        F.min("pos").alias("_low"), F.max("pos").alias("_high"),
     )
-    # A hair of slack: an island may be joined needlessly, never split between two candidates.
-    slack = 1.000001
     along = Window.partitionBy(*key).orderBy("_cell")
-    upto = Window.partitionBy(*key).orderBy("_cell").rangeBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce((F.min("_low").over(Window.partitionBy(*key, "_cell")) - F.max("_high").over(upto) > tolerance * slack).cast("long"), F.lit(0))
-    first = F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("_wedge")) == 1
-    cells = cells.withColumn("_starts", F.when(first, starts).otherwise(0)).withColumn("_stretch", F.sum("_starts").over(along))
-    wedges = cells.groupBy(*key, "_stretch", "_wedge").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    # At most 25 wedges of a stretch.
-    round_ = Window.partitionBy(*key, "_stretch")
-    gap = F.coalesce((F.col("_from") - F.lag("_to").over(round_.orderBy("_wedge")) > turn * slack).cast("long"), F.lit(0))
-    open_ = F.min("_wedge").over(round_) >= 0
-    wedges = wedges.withColumn("_gap", gap).withColumn("_part", F.sum("_gap").over(round_.orderBy("_wedge")))
-    wraps = F.min("_from").over(round_) + 12.0 - F.max("_to").over(round_) <= turn * slack
-    part = F.when(~open_, 0).when(wraps & (F.col("_part") == F.max("_part").over(round_)), 0).otherwise(F.col("_part"))
-    wedges = wedges.select(*key, "_stretch", "_wedge", (F.col("_stretch") * 32 + part).alias("island"))
-    cells = cells.join(wedges, [*key, "_stretch", "_wedge"])
+    starts = F.coalesce((F.col("_low") - F.lag("_high").over(along) > tolerance * SLACK).cast("long"), F.lit(0))
+    cells = cells.withColumn("_starts", starts).withColumn("island", F.sum("_starts").over(along))
     whole = Window.partitionBy(*key, "island")
     cells = cells.withColumns({"n_old": F.sum("_old").over(whole), "n_new": F.sum("_new").over(whole)})
-    return celled.join(
-        cells.select(*key, "_cell", "_wedge", "island", "n_old", "n_new"), [*key, "_cell", "_wedge"]
-    ).drop("_cell", "_wedge")
+    return celled.join(cells.select(*key, "_cell", "island", "n_old", "n_new"), [*key, "_cell"]).drop("_cell")
+
+
+def _cut_round(stretches: DataFrame, turn: float) -> DataFrame:
+    """Islands cut at gaps above ``turn`` hours round the girth, unless a feature without a clock position could meet any other.
+
+    Features are counted into half hours, at most 25 of an island, and gaps are found between those.
+    """
+    hour = F.col("clock_decimal_hours")
+    rows = stretches.withColumn("_wedge", F.coalesce(F.floor(hour * 2), F.lit(-1)).cast("int")).drop("n_old", "n_new")
+    wedges = rows.groupBy(*ISLAND, "_wedge").agg(
+        F.count_if(F.col("side") == 1).alias("_old"), F.count_if(F.col("side") == 2).alias("_new"), F.min(hour).alias("_from"), F.max(hour).alias("_to"),
+    )
+    around, upto = Window.partitionBy(*ISLAND), Window.partitionBy(*ISLAND).orderBy("_wedge")
+    gap = F.coalesce((F.col("_from") - F.lag("_to").over(upto) > turn * SLACK).cast("long"), F.lit(0))
+    wedges = wedges.withColumn("_gap", gap).withColumn("_part", F.sum("_gap").over(upto))
+    meets = F.min("_from").over(around) + 12.0 - F.max("_to").over(around) <= turn * SLACK
+    whole = (F.min("_wedge").over(around) < 0) | meets & (F.col("_part") == F.max("_part").over(around))
+    wedges = wedges.withColumn("_part", F.when(whole, 0).otherwise(F.col("_part")))
+    part = Window.partitionBy(*ISLAND, "_part")
+    wedges = wedges.withColumns({"n_old": F.sum("_old").over(part), "n_new": F.sum("_new").over(part)})
+    found = rows.join(wedges.select(*ISLAND, "_wedge", "_part", "n_old", "n_new"), [*ISLAND, "_wedge"])
+    return found.withColumn("island", F.col("island") + F.col("_part")).drop("_wedge", "_part")
+
+
+def with_islands(features: DataFrame, tolerance: float, turn: float | None = None) -> DataFrame:
+    """Adds ``island`` and the island's ``n_old`` and ``n_new``. Only stretches that leave a choice are cut round the girth as well."""
+    turn = max(p[1] for p in PASSES) if turn is None else turn
+    stretches = cut(_stretches(features, tolerance).withColumn("island", F.col("island") * 32))
+    return stretches.where(~_choice()).unionByName(_cut_round(stretches.where(_choice()), turn))
 
 
 def candidates(features: DataFrame, tolerance: float) -> DataFrame:
@@ -352,7 +369,7 @@ def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASS
         if rest is not None:
             yield solved(rest)
 
-    choice = islands.where((F.col("n_old") > 0) & (F.col("n_new") > 0) & ((F.col("n_old") > 1) | (F.col("n_new") > 1)))
+    choice = islands.where(_choice())
     key_types = {f.name: f.dataType.simpleString() for f in islands.schema.fields}
     schema = (
         f"line_id {key_types['line_id']}, old_joint {key_types['old_joint']}, old_source_row long, new_source_row long,"
@@ -369,7 +386,7 @@ def match(old: DataFrame, new: DataFrame, joint_pairs: DataFrame, passes: Sequen
 
     ``joint_pairs`` has (line_id, old_joint, new_joint), one-to-one within a line.
     """
-    islands = cut(with_islands(sided(old, new, joint_pairs), max(p[0] for p in passes), max(p[1] for p in passes)))
+    islands = with_islands(sided(old, new, joint_pairs), max(p[0] for p in passes), max(p[1] for p in passes))
     columns = [
         "line_id", "old_joint", "old_source_row", "new_source_row", "match_score", "confidence", "relaxation_level", "old",
     ]
