@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.ctes import CTES, cte, r, sql
 from girthline.functions import clock, dates, strength, units
 from girthline.operators import assess as A, growth as G, inventory as I, matching as M, project as P, zones as Z
-from girthline.session import cut
+from girthline.session import kept
 from girthline.sources import tables as T
 
 QUERIES: dict = {}
@@ -405,7 +405,7 @@ def _(spark, sf):
 
 def grown(spark, sf, **settings):
     new = I.assessable(T.features(spark, sf, 2))
-    return G.growth(new, matches(spark, sf), lines(spark, sf), keep=cut, **settings)
+    return G.growth(new, matches(spark, sf), lines(spark, sf), keep=kept, **settings)
 
 
 @query("growth_feature_rates", sql("rated", f"""

@@ -11,7 +11,7 @@ from girthline.operators import alignment as J, assess as A, flags as Q, invento
 from girthline.operators.dents import dent_strains
 from girthline.operators.growth import growth_flags
 from girthline.plans import chain as C, report as R
-from girthline.session import cut
+from girthline.session import kept
 from girthline.sources import tables as T
 
 QUERIES: dict = {}
@@ -226,8 +226,8 @@ def _(spark, sf):
 
 @query("line_findings", sql("flags", "SELECT line_id, code FROM flags WHERE source_row IS NULL"))
 def _(spark, sf):
-    rows = cut(grown(spark, sf))
-    return Q.line_findings(rows, cut(P.project(rows, current(spark, sf))))
+    rows = kept(grown(spark, sf))
+    return Q.line_findings(rows, kept(P.project(rows, current(spark, sf))))
 
 
 @query("issue_listing", sql("severed", """
@@ -259,7 +259,7 @@ SELECT line_id, source_row, {_SN}, anomaly_id, joint_number, {r('abs_distance_m'
   {side('surface')} AS surface_new, CASE WHEN is_matched THEN {side('so')} ELSE '' END AS surface_old, {r('own')} AS cgr_raw_mm_yr, {r('cgr')} AS cgr_mm_yr
 FROM grown"""))
 def _(spark, sf):
-    return R.comparison(cut(grown(spark, sf))).select(
+    return R.comparison(kept(grown(spark, sf))).select(
         "line_id", "source_row", "sn", "anomaly_id", "joint_number", rd("abs_distance_new_m"), rd("abs_distance_old_m"),
         rd("depth_new_pct"), rd("depth_old_pct"), "orientation_new", "orientation_old", "surface_new", "surface_old",
         rd("cgr_raw_mm_yr"), rd("cgr_mm_yr"),
@@ -270,7 +270,7 @@ def _(spark, sf):
 SELECT line_id, source_row, {_SN}, anomaly_id, {r('depth_pct_wt')} AS depth_new_pct, {r('od')} AS depth_old_pct, {side('surface')} AS surface_new,
   {side('so')} AS surface_old, {r('cgr')} AS cgr_mm_yr FROM grown WHERE is_matched"""))
 def _(spark, sf):
-    return R.matched_comparison(cut(grown(spark, sf))).select(
+    return R.matched_comparison(kept(grown(spark, sf))).select(
         "line_id", "source_row", "sn", "anomaly_id", rd("depth_new_pct"), rd("depth_old_pct"), "surface_new", "surface_old", rd("cgr_mm_yr")
     )
 
@@ -280,7 +280,7 @@ SELECT g.line_id, g.source_row, row_number() OVER (PARTITION BY g.line_id ORDER
   {r('upstream_weld_dist_m')} AS upstream_weld_dist_m, raw_description AS event, {side('surface')} AS surface, {hms('clock_decimal_hours')} AS orientation,
   {r('length_mm')} AS length_mm, {_LABEL} AS repair_label FROM grown g JOIN predicted p USING (source_row)"""))
 def _(spark, sf):
-    rows = cut(grown(spark, sf))
+    rows = kept(grown(spark, sf))
     return R.anomalies(rows, P.project(rows, current(spark, sf))).select(
         "line_id", "source_row", "sn", rd("upstream_weld_dist_m"), "event", "surface", "orientation", rd("length_mm"), "repair_label"
     )
@@ -301,7 +301,7 @@ def _now_end(rows):
 
 @query("assessment_now_and_end", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf") + " JOIN ctl c USING (source_row)"))
 def _(spark, sf):
-    rows, now = cut(grown(spark, sf)), cut(current(spark, sf))
+    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
     return _now_end(R.assessment_now_and_end(rows, now, P.project(rows, now)))
 
 
@@ -310,14 +310,14 @@ def _(spark, sf):
 def _(spark, sf):
     # Narrow pipe, on which wide defects are weaker along the circumference than along the axis.
     dims = lines(spark, sf).withColumn("diameter_mm", F.lit(114.3))
-    rows = cut(grown(spark, sf))
-    now = cut(P.current_state(A.assess(I.assessable(T.features(spark, sf)), dims), dims))
+    rows = kept(grown(spark, sf))
+    now = kept(P.current_state(A.assess(I.assessable(T.features(spark, sf)), dims), dims))
     return _now_end(R.circumferential_controlling(rows, now, P.project(rows, now)))
 
 
 @query("circumferential_all", sql("grown predicted ffp", _NOW_END.replace("SOP", "c.sop_kgcm2").replace("ERF", "c.erf") + " JOIN ffp c USING (source_row) WHERE c.method = 'Kastner'"))
 def _(spark, sf):
-    rows, now = cut(grown(spark, sf)), cut(current(spark, sf))
+    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
     return _now_end(R.circumferential_all(rows, lines(spark, sf), P.project(rows, now)))
 
 
@@ -397,7 +397,7 @@ JOIN (SELECT line_id, count(*) FILTER (repair_trigger <> 'NONE_WITHIN_HORIZON')
   count(*) FILTER (repair_year_offset BETWEEN 1 AND 5) AS n_scheduled, count(*) FILTER (repair_trigger = 'NONE_WITHIN_HORIZON') AS n_monitor
   FROM predicted GROUP BY 1) USING (line_id)"""))
 def _(spark, sf):
-    rows, now = cut(grown(spark, sf)), cut(current(spark, sf))
+    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
     return R.summary_metrics(rows, now, P.project(rows, now)).select(
         "line_id", "n_features", "n_internal", "n_external", rd("max_depth_pct"), "max_depth_feature_id", rd("p95_internal"),
         rd("p95_external"), "n_erf_ge_1", rd("max_erf"), "max_erf_joint", "n_within_horizon", "n_immediate", "n_scheduled",
@@ -429,7 +429,7 @@ def _(spark, sf):
 
 @query("growth_histogram", sql("grown", _histogram("cgr", "min(cgr)", "max(cgr)", "grown")))
 def _(spark, sf):
-    return R.equal_width_histogram(cut(grown(spark, sf)), "cgr_mm_yr").select("line_id", "bin", rd("low"), rd("high"), "n")
+    return R.equal_width_histogram(kept(grown(spark, sf)), "cgr_mm_yr").select("line_id", "bin", rd("low"), rd("high"), "n")
 
 
 @query("orientation_rose", sql("a2 lines", """
@@ -453,14 +453,14 @@ JOIN predicted p ON p.line_id = y.line_id AND p.repair_year_offset <= y.year GRO
 UNION ALL SELECT y.line_id, CAST(y.year AS INTEGER), 0, 0
 FROM (SELECT line_id, unnest(range(min(repair_year_offset))) AS year FROM predicted GROUP BY 1) y"""))
 def _(spark, sf):
-    return R.repair_timeline(cut(predicted(spark, sf)))
+    return R.repair_timeline(kept(predicted(spark, sf)))
 
 
 @query("repairs_per_year", sql("predicted", """
 SELECT y.line_id, CAST(y.year AS INTEGER) AS year, count(p.source_row) AS n FROM (SELECT line_id, unnest(range(11)) AS year FROM predicted GROUP BY 1) y
 LEFT JOIN predicted p ON p.line_id = y.line_id AND p.repair_year_offset = y.year GROUP BY 1, 2"""))
 def _(spark, sf):
-    return R.repairs_per_year(cut(predicted(spark, sf)))
+    return R.repairs_per_year(kept(predicted(spark, sf)))
 
 
 # --- dates -----------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from girthline.functions import clock
 from girthline.functions.units import depth_mm
 from girthline.operators.inventory import assessable
-from girthline.session import cut
+from girthline.session import kept
 
 # (axial tolerance m, clock tolerance h, highest accepted cost) per relaxation pass.
 PASSES = ((0.10, 0.5, 0.5), (0.25, 1.0, 1.0), (1.00, 1.5, 1.5))
@@ -128,7 +128,7 @@ def _cut_round(stretches: DataFrame, turn: float) -> DataFrame:
 def with_islands(features: DataFrame, tolerance: float, turn: float | None = None) -> DataFrame:
     """Adds ``island`` and the island's ``n_old`` and ``n_new``. Only stretches that leave a choice are cut round the girth as well."""
     turn = max(p[1] for p in PASSES) if turn is None else turn
-    stretches = cut(_stretches(features, tolerance).withColumn("island", F.col("island") * 32))
+    stretches = kept(_stretches(features, tolerance).withColumn("island", F.col("island") * 32))
     return stretches.where(~_choice()).unionByName(_cut_round(stretches.where(_choice()), turn))
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from girthline.session import cut
+from girthline.session import kept
 
 TILE = 2048
 NOTHING = -np.inf
@@ -85,16 +85,16 @@ def align_long(joints: DataFrame, sizes: DataFrame, columns: list[str], scores:
     positions), band. ``scores(a, b)`` gives the matrix of scores of two dicts of arrays.
     """
     key = ["line_id", "seg"]
-    sizes = cut(sizes)
+    sizes = kept(sizes)
     longest = sizes.agg(F.max(F.ceil(F.col("n_1") / tile) + F.ceil(F.col("n_2") / tile))).first()[0]
     if longest is None:
         return sizes.select(*key, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("column")).limit(0)
-    blocks = cut(_blocks(joints, sizes, columns, tile))
+    blocks = kept(_blocks(joints, sizes, columns, tile))
     shift = F.col("first_1") - F.col("first_2")
     grid = sizes.select(*key, "n_1", "n_2", "band", shift.alias("shift"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_1") / tile).cast("int") - 1)).alias("r"))
     low = F.greatest(F.lit(0), F.floor((F.col("r") * tile + F.col("shift") - F.col("band") - 1) / tile)).cast("int")
     high = F.least(F.ceil(F.col("n_2") / tile) - 1, F.floor(((F.col("r") + 1) * tile + F.col("shift") + F.col("band")) / tile)).cast("int")
-    grid = cut(grid.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("c", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high"))
+    grid = kept(grid.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("c", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high"))
     sides = [blocks.where(F.col("side") == s).select(*key, F.col("block").alias(at), *(F.col(x).alias(f"{x}_{s}") for x in columns)) for s, at in ((1, "r"), (2, "c"))]
 
     def joined(tiles: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def align_long(joints: DataFrame, sizes: DataFrame, columns: list[str], scores:
         above = before.select(*key, (F.col("r") + 1).alias("r"), "c", F.col("bottom").alias("above"))
         beside = before.select(*key, "r", (F.col("c") + 1).alias("c"), F.col("right").alias("before"))
         tiles = joined(here).join(above, [*key, "r", "c"], "left").join(beside, [*key, "r", "c"], "left")
-        before = cut(tiles.repartition(*key, "r", "c").mapInPandas(sweep, wave_schema))
+        before = kept(tiles.repartition(*key, "r", "c").mapInPandas(sweep, wave_schema))
         done.append(before)
     swept = done[0]
     for other in done[1:]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from girthline.functions import dates
 from girthline.operators import alignment, assess, flags, growth, matching, project
 from girthline.operators.inventory import assessable
-from girthline.session import cut
+from girthline.session import kept
 
 
 @dataclass(frozen=True)
@@ -56,21 +56,21 @@ def assess_lines(
     Stages read several times are cut: joint pairs, matched rates, and predictions.
     """
     lines = with_interval(lines)
-    pairs = cut(alignment.align(old_joints, new_joints))
+    pairs = kept(alignment.align(old_joints, new_joints))
     aligned = alignment.alignment_summary(old_joints, new_joints, pairs)
-    matches = cut(matching.match(old, new, pairs, settings.passes))
+    matches = kept(matching.match(old, new, pairs, settings.passes))
     summary = matching.match_summary(old, new, matches, settings.passes)
     pool = assessable(new)
-    grown = cut(growth.growth(
+    grown = kept(growth.growth(
         pool, matches, lines, settings.growth_mode, settings.split_by_surface, settings.population_quantile,
-        settings.floor_negative_at_zero, settings.unmatched_depth_pct, keep=cut,
+        settings.floor_negative_at_zero, settings.unmatched_depth_pct, keep=kept,
     ))
     # The assessment is row-local, so it runs on the growth rows and the projection needs no join. Findings come from it and not
     # from the predictions, which a feature without a rate doesn't reach.
     assessed = assess.assess(grown, lines, settings.primary_method)
-    current = cut(project.current_state(assessed, lines))
+    current = kept(project.current_state(assessed, lines))
     rated = current.where(F.col("cgr_mm_yr").isNotNull())
-    predictions = cut(project.project_rows(rated, settings.horizon_years, settings.depth_trigger_pct, settings.erf_trigger))
+    predictions = kept(project.project_rows(rated, settings.horizon_years, settings.depth_trigger_pct, settings.erf_trigger))
     stages = [
         flags.staged(alignment.alignment_codes(aligned), 2),
         flags.staged(matching.match_codes(summary), 3),

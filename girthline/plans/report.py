@@ -13,6 +13,7 @@ from girthline.functions.units import render_surface
 from girthline.operators.inventory import is_circumferential
 from girthline.operators.scan import chunk_of, exact_quantiles, numbered
 from girthline.operators.zones import with_zone
+from girthline.session import kept
 
 ROW = ["line_id", "source_row"]
 METRES_PER_CHUNK = 1_000.0
@@ -63,6 +64,11 @@ def _labels(predictions: DataFrame) -> DataFrame:
 def anomalies(growth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Metal-loss anomalies with their repair label; the joint length is not known here and stays empty."""
     rows = growth.join(_labels(predictions).drop("_end"), ROW, "left")
+    # Numbering reads its rows twice, so the projection behind them is kept.
+    rows = kept(rows.select(
+        *ROW, "anomaly_id", "abs_distance_m", "latitude", "longitude", "joint_number", "upstream_weld_dist_m", "raw_description", "surface",
+        "wt_mm", "clock_decimal_hours", "depth_pct_wt", "length_mm", "width_mm", "repair_label",
+    ))
     return with_serial(rows).select(
         *ROW, "sn", "anomaly_id", "abs_distance_m", "latitude", "longitude", "joint_number",
         F.lit(None).cast("double").alias("joint_length_m"), "upstream_weld_dist_m",
@@ -76,6 +82,9 @@ def assessment_now_and_end(growth: DataFrame, current: DataFrame, predictions: D
     """Depth, safe pressure and repair factor now and in the last projected year."""
     now = current.select(*ROW, "method", F.col("sop_kgcm2").alias("_sop"), F.col("erf").alias("_erf"))
     rows = growth.join(now, ROW, "left").join(_labels(predictions), ROW, "left")
+    rows = kept(rows.select(
+        *ROW, "anomaly_id", "joint_number", "abs_distance_m", "surface", "method", "depth_pct_wt", "_sop", "_erf", "_end", "cgr_mm_yr", "repair_label",
+    ))
     zero = F.lit(0.0)
     depth, sop, ratio = F.coalesce("depth_pct_wt", zero), F.coalesce("_sop", zero), F.coalesce("_erf", zero)
     return with_serial(rows).select(
