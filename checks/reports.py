@@ -113,7 +113,7 @@ def _(spark, sf):
     rows = cells.select("line_id", F.col("o.joint_number").alias("old_joint"), F.col("n.joint_number").alias("new_joint"), J.pair_score(F.col("o"), F.col("n")).cast("double").alias("score"))
     return rows.groupBy("line_id", "old_joint").agg(
         F.count("*").alias("n_scored"), rx(F.sum("score"), "total_score"), rx(F.max("score"), "best_score"),
-        F.min_by("new_joint", F.struct(-F.col("score"), "new_joint")).alias("best_new_joint"),
+        F.min_by("new_joint", J.best_first(F.col("score"), F.col("new_joint"))).alias("best_new_joint"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from girthline.operators.scan import chunk_of, numbered, running
 from girthline.operators.tiles import TILE, align_long
-from girthline.session import cut
+from girthline.session import kept
 
 MIN_SIMILARITY = 0.85
 GAP = -0.5
@@ -77,6 +77,16 @@ def pair_score(a: Column, b: Column) -> Column:
     ).otherwise(F.lit(MISMATCH).cast("float"))
 
 
+def best_first(score: Column, joint: Column) -> Column:
+    """One whole number that sorts pairs by score, best first, then by joint, rows without a number first.
+
+    Scores are single precision and -1 or at least 0.85, so they are whole multiples of 2 ** -24. A number keeps an aggregate of all cells in a hash
+    table, where a struct would sort every cell first.
+    """
+    steps = F.when(F.isnan(score), F.lit(2 ** 26)).otherwise((-score * 2.0 ** 24).cast("long"))
+    return steps * F.lit(2 ** 33) + F.coalesce(joint.cast("long"), F.lit(-(2 ** 31) - 1))
+
+
 def line_modes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per line: joint counts, total lengths, length coverage, alignment mode and band."""
     def side(df: DataFrame, s: str) -> DataFrame:
@@ -152,7 +162,7 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] =
     are a pair; a segment is the joints after an anchor up to the next one.
     """
     keys, most = ["line_id", "side"], max(anchor_joints)
-    placed = cut(numbered(joints, keys, ["joint_number"], chunk_of(F.col("joint_number"), chunk), "pos"))
+    placed = kept(numbered(joints, keys, ["joint_number"], chunk_of(F.col("joint_number"), chunk), "pos"))
     # The first joints of a chunk are repeated at the end of the chunk before, so stretches may cross.
     home = chunk_of(F.col("pos"), chunk)
     overlap = (F.col("pos") % chunk < most - 1) & (home > 0)
@@ -184,7 +194,7 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] =
     )
     at = chunk_of(F.col("p1"), chunk)
     pairs = running(
-        cut(chained), ["line_id"], ["p1"], at,
+        kept(chained), ["line_id"], ["p1"], at,
         {"_before": ("max", F.col("p2")), "_after": ("min_after", F.col("p2"))}, include_current=False,
     )
     in_order = (F.coalesce("_before", F.lit(0)) < F.col("p2")) & (F.coalesce("_after", F.lit(2**62)) > F.col("p2"))
@@ -192,7 +202,7 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] =
     marks = pairs.select("line_id", F.col("p1").alias("_seg"), F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("p1").alias("pos")), F.struct(F.lit(2).alias("side"), F.col("p2").alias("pos"))
     )).alias("_m")).select("line_id", "_seg", "_m.*")
-    marked = cut(placed.join(marks, ["line_id", "side", "pos"], "left"))
+    marked = kept(placed.join(marks, ["line_id", "side", "pos"], "left"))
     rows = running(
         marked.withColumn("is_anchor", F.col("_seg").isNotNull()), keys, ["pos"], chunk_of(F.col("pos"), chunk),
         {"seg": ("last", F.col("_seg"))},
@@ -363,7 +373,7 @@ def align_by_length(
 ) -> DataFrame:
     """Pairs of lines aligned by joint length."""
     by_length = modes.where(F.col("method") == "needleman_wunsch").select("line_id", "band")
-    rows = cut(anchored(joints.join(by_length.select("line_id"), "line_id", "left_semi"), modes, anchor_joints, chunk))
+    rows = kept(anchored(joints.join(by_length.select("line_id"), "line_id", "left_semi"), modes, anchor_joints, chunk))
 
     def of(side: int) -> Column:
         fields = F.struct("joint_number", "length_m", "abs_distance_start_m")
@@ -376,7 +386,7 @@ def align_by_length(
         F.count_if(one).alias("n_1"), F.count_if(two).alias("n_2"),
         F.min(F.when(one, F.col("pos"))).alias("first_1"), F.min(F.when(two, F.col("pos"))).alias("first_2"),
     ).where((F.col("n_1") > 0) & (F.col("n_2") > 0))
-    sizes = cut(sizes.join(by_length, "line_id"))
+    sizes = kept(sizes.join(by_length, "line_id"))
     short = F.col("n_1") + F.col("n_2") <= long_segment
     inner = rest.drop("is_anchor").join(sizes.where(short).select("line_id", "seg", "band"), ["line_id", "seg"])
     # Neighbouring segments share a call; a batch is a bounded stretch of positions.
