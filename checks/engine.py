@@ -403,9 +403,16 @@ def _(spark, sf):
 
 # --- growth ----------------------------------------------------------------------------------------------------
 
-def grown(spark, sf, **settings):
-    new = I.assessable(T.features(spark, sf, 2))
-    return G.growth(new, matches(spark, sf), lines(spark, sf), keep=kept, **settings)
+def runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Features of the older and the newer run, from one reading of the table."""
+    rows = kept(T.base(spark, sf))
+    return T.features(spark, sf, 1, rows), T.features(spark, sf, 2, rows)
+
+
+def grown(spark, sf, features: tuple[DataFrame, DataFrame] | None = None, **settings):
+    old, new = features or runs(spark, sf)
+    matched = M.match(old, new, T.true_joint_pairs(spark, sf))
+    return G.growth(I.assessable(new), matched, lines(spark, sf), keep=kept, **settings)
 
 
 @query("growth_feature_rates", sql("rated", f"""
@@ -462,9 +469,9 @@ def _(spark, sf):
 # --- projection ------------------------------------------------------------------------------------------------
 
 def predicted(spark, sf) -> DataFrame:
-    dims = lines(spark, sf)
-    assessed = A.assess(I.assessable(T.features(spark, sf)), dims)
-    return P.project(grown(spark, sf), P.current_state(assessed, dims))
+    dims, both = lines(spark, sf), runs(spark, sf)
+    assessed = A.assess(I.assessable(both[1]), dims)
+    return P.project(grown(spark, sf, both), P.current_state(assessed, dims))
 
 
 @query("repair_predictions", sql("predicted", f"""

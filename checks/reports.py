@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.ctes import cte, r, sql
-from checks.engine import grown, lines, matches, predicted, rd, rx
+from checks.engine import grown, lines, matches, predicted, rd, runs, rx
 from girthline.functions import dates
 from girthline.operators import alignment as J, assess as A, flags as Q, inventory as I, matching as M, project as P
 from girthline.operators.dents import dent_strains
@@ -27,9 +27,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def current(spark, sf):
+def current(spark, sf, new=None):
     dims = lines(spark, sf)
-    return P.current_state(A.assess(I.assessable(T.features(spark, sf)), dims), dims)
+    return P.current_state(A.assess(I.assessable(T.features(spark, sf) if new is None else new), dims), dims)
+
+
+def narrow(now):
+    """Without the columns that no projection or summary reads, for a caller that keeps the rows."""
+    return now.drop("flags", "notes", "branch_used", "pf_kgcm2", "flow_stress_mpa", "area_metal_loss_ratio", "using_approximate_profile",
+                    "method_ord", "is_controlling", "zone_fallback", "length_mm")
 
 
 # --- alignment -------------------------------------------------------------------------------------------------
@@ -188,9 +194,7 @@ SELECT *, CASE WHEN code IN ('ERF_EXCEEDS_1', 'DEPTH_EXCEEDS_80') THEN 'error' W
 
 
 def assessed_lines(spark, sf):
-    return C.assess_lines(
-        T.features(spark, sf, 1), T.features(spark, sf, 2), T.joints(spark, sf, 1), T.joints(spark, sf, 2), T.lines(spark, sf)
-    )
+    return C.assess_lines(*runs(spark, sf), T.joints(spark, sf, 1), T.joints(spark, sf, 2), T.lines(spark, sf))
 
 
 def findings(spark, sf):
@@ -226,8 +230,9 @@ def _(spark, sf):
 
 @query("line_findings", sql("flags", "SELECT line_id, code FROM flags WHERE source_row IS NULL"))
 def _(spark, sf):
-    rows = kept(grown(spark, sf))
-    return Q.line_findings(rows, kept(P.project(rows, current(spark, sf))))
+    both = runs(spark, sf)
+    rows = grown(spark, sf, both)
+    return Q.line_findings(rows, P.project(rows, current(spark, sf, both[1])))
 
 
 @query("issue_listing", sql("severed", """
@@ -259,7 +264,7 @@ SELECT line_id, source_row, {_SN}, anomaly_id, joint_number, {r('abs_distance_m'
   {side('surface')} AS surface_new, CASE WHEN is_matched THEN {side('so')} ELSE '' END AS surface_old, {r('own')} AS cgr_raw_mm_yr, {r('cgr')} AS cgr_mm_yr
 FROM grown"""))
 def _(spark, sf):
-    return R.comparison(kept(grown(spark, sf))).select(
+    return R.comparison(grown(spark, sf)).select(
         "line_id", "source_row", "sn", "anomaly_id", "joint_number", rd("abs_distance_new_m"), rd("abs_distance_old_m"),
         rd("depth_new_pct"), rd("depth_old_pct"), "orientation_new", "orientation_old", "surface_new", "surface_old",
         rd("cgr_raw_mm_yr"), rd("cgr_mm_yr"),
@@ -270,7 +275,7 @@ def _(spark, sf):
 SELECT line_id, source_row, {_SN}, anomaly_id, {r('depth_pct_wt')} AS depth_new_pct, {r('od')} AS depth_old_pct, {side('surface')} AS surface_new,
   {side('so')} AS surface_old, {r('cgr')} AS cgr_mm_yr FROM grown WHERE is_matched"""))
 def _(spark, sf):
-    return R.matched_comparison(kept(grown(spark, sf))).select(
+    return R.matched_comparison(grown(spark, sf)).select(
         "line_id", "source_row", "sn", "anomaly_id", rd("depth_new_pct"), rd("depth_old_pct"), "surface_new", "surface_old", rd("cgr_mm_yr")
     )
 
@@ -280,8 +285,9 @@ SELECT g.line_id, g.source_row, row_number() OVER (PARTITION BY g.line_id ORDER
   {r('upstream_weld_dist_m')} AS upstream_weld_dist_m, raw_description AS event, {side('surface')} AS surface, {hms('clock_decimal_hours')} AS orientation,
   {r('length_mm')} AS length_mm, {_LABEL} AS repair_label FROM grown g JOIN predicted p USING (source_row)"""))
 def _(spark, sf):
-    rows = kept(grown(spark, sf))
-    return R.anomalies(rows, P.project(rows, current(spark, sf))).select(
+    both = runs(spark, sf)
+    rows = grown(spark, sf, both)
+    return R.anomalies(rows, P.project(rows, current(spark, sf, both[1]))).select(
         "line_id", "source_row", "sn", rd("upstream_weld_dist_m"), "event", "surface", "orientation", rd("length_mm"), "repair_label"
     )
 
@@ -301,7 +307,8 @@ def _now_end(rows):
 
 @query("assessment_now_and_end", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf") + " JOIN ctl c USING (source_row)"))
 def _(spark, sf):
-    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
+    both = runs(spark, sf)
+    rows, now = grown(spark, sf, both), kept(current(spark, sf, both[1]))
     return _now_end(R.assessment_now_and_end(rows, now, P.project(rows, now)))
 
 
@@ -310,14 +317,16 @@ def _(spark, sf):
 def _(spark, sf):
     # Narrow pipe, on which wide defects are weaker along the circumference than along the axis.
     dims = lines(spark, sf).withColumn("diameter_mm", F.lit(114.3))
-    rows = kept(grown(spark, sf))
-    now = kept(P.current_state(A.assess(I.assessable(T.features(spark, sf)), dims), dims))
+    both = runs(spark, sf)
+    rows = grown(spark, sf, both)
+    now = kept(narrow(P.current_state(A.assess(I.assessable(both[1]), dims), dims)))
     return _now_end(R.circumferential_controlling(rows, now, P.project(rows, now)))
 
 
 @query("circumferential_all", sql("grown predicted ffp", _NOW_END.replace("SOP", "c.sop_kgcm2").replace("ERF", "c.erf") + " JOIN ffp c USING (source_row) WHERE c.method = 'Kastner'"))
 def _(spark, sf):
-    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
+    both = runs(spark, sf)
+    rows, now = grown(spark, sf, both), kept(current(spark, sf, both[1]))
     return _now_end(R.circumferential_all(rows, lines(spark, sf), P.project(rows, now)))
 
 
@@ -397,7 +406,8 @@ JOIN (SELECT line_id, count(*) FILTER (repair_trigger <> 'NONE_WITHIN_HORIZON')
   count(*) FILTER (repair_year_offset BETWEEN 1 AND 5) AS n_scheduled, count(*) FILTER (repair_trigger = 'NONE_WITHIN_HORIZON') AS n_monitor
   FROM predicted GROUP BY 1) USING (line_id)"""))
 def _(spark, sf):
-    rows, now = kept(grown(spark, sf)), kept(current(spark, sf))
+    both = runs(spark, sf)
+    rows, now = grown(spark, sf, both), kept(narrow(current(spark, sf, both[1])))
     return R.summary_metrics(rows, now, P.project(rows, now)).select(
         "line_id", "n_features", "n_internal", "n_external", rd("max_depth_pct"), "max_depth_feature_id", rd("p95_internal"),
         rd("p95_external"), "n_erf_ge_1", rd("max_erf"), "max_erf_joint", "n_within_horizon", "n_immediate", "n_scheduled",
@@ -429,7 +439,7 @@ def _(spark, sf):
 
 @query("growth_histogram", sql("grown", _histogram("cgr", "min(cgr)", "max(cgr)", "grown")))
 def _(spark, sf):
-    return R.equal_width_histogram(kept(grown(spark, sf)), "cgr_mm_yr").select("line_id", "bin", rd("low"), rd("high"), "n")
+    return R.equal_width_histogram(grown(spark, sf), "cgr_mm_yr").select("line_id", "bin", rd("low"), rd("high"), "n")
 
 
 @query("orientation_rose", sql("a2 lines", """
@@ -453,14 +463,14 @@ JOIN predicted p ON p.line_id = y.line_id AND p.repair_year_offset <= y.year GRO
 UNION ALL SELECT y.line_id, CAST(y.year AS INTEGER), 0, 0
 FROM (SELECT line_id, unnest(range(min(repair_year_offset))) AS year FROM predicted GROUP BY 1) y"""))
 def _(spark, sf):
-    return R.repair_timeline(kept(predicted(spark, sf)))
+    return R.repair_timeline(kept(predicted(spark, sf).select("line_id", "repair_trigger", "repair_year_offset")))
 
 
 @query("repairs_per_year", sql("predicted", """
 SELECT y.line_id, CAST(y.year AS INTEGER) AS year, count(p.source_row) AS n FROM (SELECT line_id, unnest(range(11)) AS year FROM predicted GROUP BY 1) y
 LEFT JOIN predicted p ON p.line_id = y.line_id AND p.repair_year_offset = y.year GROUP BY 1, 2"""))
 def _(spark, sf):
-    return R.repairs_per_year(kept(predicted(spark, sf)))
+    return R.repairs_per_year(kept(predicted(spark, sf).select("line_id", "repair_trigger", "repair_year_offset")))
 
 
 # --- dates -----------------------------------------------------------------------------------------------------

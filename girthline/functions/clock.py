@@ -29,7 +29,8 @@ def number_to_hours(v: Column) -> Column:
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+    # An empty text, where the pattern doesn't fit, is not cast: that would raise and catch an error for each row.
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("int")
 
 
 def with_clock(df: DataFrame, source: str, hours: str, bad: str) -> DataFrame:

@@ -112,9 +112,11 @@ def growth(
     split_by_surface: bool = True, quantile: float = 0.95, floor_negative_at_zero: bool = True,
     unmatched_depth_pct: float = 10.0, keep=None,
 ) -> DataFrame:
-    """Rates of all assessable new features. ``keep`` may materialise the rates, which are read three times."""
+    """Rates of all assessable new features. ``keep`` may materialise the rates, which are read three times, and the few population rates."""
     rates = feature_rates(new_features, matches, lines, floor_negative_at_zero, unmatched_depth_pct)
     if keep is not None:
         rates = keep(rates)
     p95 = None if mode == "feature_specific" else population_p95(rates, split_by_surface, quantile)
+    if keep is not None and p95 is not None:
+        p95 = keep(p95)
     return apply_population(rates, p95, mode, split_by_surface)

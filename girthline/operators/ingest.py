@@ -25,10 +25,10 @@ JUMP_M = 500.0
 LAT_BOUNDS = (6.0, 38.0)
 LON_BOUNDS = (68.0, 98.0)
 FLOATS = {
-    "abs_m": "abs_distance_m", "uw_m": "upstream_weld_dist_m", "wall_mm": "wt_mm", "len_mm": "length_mm",
     "wid_mm": "width_mm", "lat": "latitude", "lon": "longitude", "alt_m": "altitude_m", "v_erf": "erf",
     "v_psafe": "psafe", "jlen_m": "joint_length_m",
 }
+ALONE = {"abs_m": "abs_distance_m", "uw_m": "upstream_weld_dist_m", "wall_mm": "wt_mm", "len_mm": "length_mm"}
 TEXTS = {"ftype": "feature_type", "fid_text": "feature_identification", "name": "anomaly_id", "label": "description"}
 
 
@@ -38,11 +38,13 @@ def is_blank() -> Column:
 
 def read_cells(raw: DataFrame) -> DataFrame:
     """Adds the parsed numbers, codes and row class; no row is dropped."""
-    # Columns read alike go through one expression each: written out, the code of a row outgrows what the JVM compiles.
-    rows = raw.withColumns({
+    # Columns read alike go through one expression each, and the clock is read before them: written out in one piece, the code of a row
+    # outgrows what the JVM compiles. Stages that need few numbers need those of ALONE.
+    rows = clock.with_clock(raw, "clock_position", "clock_h", "clock_bad").withColumns({
         "_n": F.transform(F.array(*FLOATS.values()), text.to_float),
         "_s": F.transform(F.array(*TEXTS.values()), text.to_str),
         "_k": F.transform(F.array("feature_type", "feature_identification", "dimension_class"), text.norm),
+        **{name: text.to_float(F.col(c)) for name, c in ALONE.items()},
         "jno": text.to_int(F.col("joint_number")),
         "has_depth": ~text.is_na(F.col("depth_pct_wt")),
         "side": units.parse_surface(F.col("surface")),
@@ -58,7 +60,6 @@ def read_cells(raw: DataFrame) -> DataFrame:
         "_t": F.when(F.col("ftype").isNotNull(), F.get("_k", F.lit(0))), "_f": F.when(F.col("fid_text").isNotNull(), F.get("_k", F.lit(1))),
     }).drop("_n", "_s", "_k")
     rows = units.with_depth(rows, "depth_pct_wt", F.col("fid").isin(*vocab.DENT_CODES), "depth_pct", "depth_bad")
-    rows = clock.with_clock(rows, "clock_position", "clock_h", "clock_bad")
     return rows.withColumn("drop_reason", _drop_reason()).drop("_t", "_f")
 
 
@@ -138,7 +139,8 @@ def attribute_joints(cells: DataFrame) -> DataFrame:
     chainage order, the joint found by chainage.
     """
     # Parsed once here; the runs' order, both kinds of attribution and all later stages read the result.
-    context = kept(with_context(cells))
+    # The texts they were parsed from are not looked at again.
+    context = kept(with_context(cells.drop(*vocab.ALL_FIELDS)))
     rows = context.join(chainage_order(context).select(*RUN, "uses_lookup"), RUN, "left")
     ordered = rows.where(~F.coalesce("uses_lookup", F.lit(False))).withColumns({
         "joint": F.coalesce("jno", "ctx_joint"), "uw_override": F.lit(None).cast("double"),

@@ -148,26 +148,25 @@ def candidates(features: DataFrame, tolerance: float) -> DataFrame:
 
 def match_single(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> DataFrame:
     """Islands with one feature per run: the first pass whose tolerances and ceiling the pair meets."""
-    def one(side: int, *columns: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.struct(*columns)))
+    alone = islands.where((F.col("n_old") == 1) & (F.col("n_new") == 1))
 
-    pairs = islands.where((F.col("n_old") == 1) & (F.col("n_new") == 1)).groupBy(*ISLAND).agg(
-        one(1, *_SIDE, "old").alias("o"), one(2, *_SIDE).alias("n")
-    )
+    def one(side: int, name: str, *columns: str) -> DataFrame:
+        return alone.where(F.col("side") == side).select(*ISLAND, F.struct(*columns).alias(name))
+
+    # One row on each side, so a join pairs them; an aggregate of structs would sort all rows twice.
+    pairs = one(1, "o", *_SIDE, "old").join(one(2, "n", *_SIDE), list(ISLAND))
     axial, turn, cost = pair_cost(F.col("o"), F.col("n"))
     pairs = pairs.withColumns({"_axial": axial, "_turn": turn, "match_score": cost})
-    level = F.lit(None).cast("int")
-    ceiling = F.lit(None).cast("double")
-    for i, limits in reversed(list(enumerate(passes, start=1))):
-        accepted = _feasible(F.col("_axial"), F.col("_turn"), limits) & (F.col("match_score") <= limits[2])
-        level = F.when(accepted, i).otherwise(level)
-        ceiling = F.when(accepted, float(limits[2])).otherwise(ceiling)
-    pairs = pairs.withColumns({"relaxation_level": level, "_ceiling": ceiling}).where(F.col("relaxation_level").isNotNull())
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("match_score") / F.greatest("_ceiling", F.lit(1e-9))))
+    # The passes are looked through as an array: written out, the code of a pair outgrows what the JVM compiles.
+    levels = F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(("level", "axial", "turn", "ceiling"), (i, *map(float, limits)))])
+                       for i, limits in enumerate(passes, start=1)])
+    accepts = lambda p: _feasible(F.col("_axial"), F.col("_turn"), (p["axial"], p["turn"])) & (F.col("match_score") <= p["ceiling"])
+    pairs = pairs.withColumn("_pass", F.get(F.filter(levels, accepts), F.lit(0))).where(F.col("_pass").isNotNull())
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("match_score") / F.greatest("_pass.ceiling", F.lit(1e-9))))
     return pairs.select(
         "line_id", "old_joint", F.col("o.source_row").alias("old_source_row"),
         F.col("n.source_row").alias("new_source_row"), "match_score", confidence.alias("confidence"),
-        "relaxation_level", F.col("o.old").alias("old"),
+        F.col("_pass.level").alias("relaxation_level"), F.col("o.old").alias("old"),
     )
 
 

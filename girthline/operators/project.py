@@ -1,8 +1,8 @@
 """Year-by-year projection of every feature to its repair year.
 
 All five methods share one shape in depth: ``A * (1 - k x) / (1 - k x / M)`` with ``x = d / t``. The constants
-are computed once per feature, then each year costs a few operations in generated code. The years are columns,
-not rows: no explode, no shuffle, and the first trigger is a plain conditional.
+are computed once per feature, then each year costs a few operations. The years are entries of arrays, not rows: no explode and no
+shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ _CONSTANTS = (
 )
 
 
+#: So many years are written out as columns at a time: more code than that in one method, and the JVM doesn't compile it.
+BLOCK = 4
+
+
 def _year(n: int) -> list[str]:
     """Depth, loss ratio, failure pressure, safe pressure and repair factor after ``n`` years."""
     return [
@@ -66,26 +70,25 @@ def project_rows(
     rows: DataFrame, horizon_years: int = 10, depth_trigger_pct: float = 80.0, erf_trigger: float = 1.0,
 ) -> DataFrame:
     """``project`` for rows that already carry rate and assessment."""
-    years = range(horizon_years + 1)
-    steps = [step for n in years[1:] for step in _year(n)]
-    percent = [f"100D * _d{n} / wt_mm AS _p{n}" for n in years]
-    # The first year that fires, and how: twice the year, plus one for the repair factor.
-    fires = " ".join(
-        f"WHEN _p{n} >= {depth_trigger_pct}D THEN {2 * n} WHEN _e{n} >= {erf_trigger}D THEN {2 * n + 1}" for n in years
+    kept = rows.columns
+    rows = rows.selectExpr("*", *_CONSTANTS).selectExpr(
+        "*", "array(_d0) AS _ds", "array(_s0) AS _ss", "array(_e0) AS _es", "transform(array(_d0), d -> 100D * d / wt_mm) AS _ps",
     )
-
-    def listed(prefix: str) -> str:
-        return "array(" + ", ".join(f"{prefix}{n}" for n in years) + ")"
-
+    for start in range(1, horizon_years + 1, BLOCK):
+        years = range(start, min(start + BLOCK, horizon_years + 1))
+        listed = {x: "array(" + ", ".join(f"_{x}{n}" for n in years) + ")" for x in "dse"}
+        rows = rows.selectExpr("*", *[step for n in years for step in _year(n)]).withColumns({
+            **{f"_{x}s": F.expr(f"concat(_{x}s, {found})") for x, found in listed.items()},
+            "_ps": F.expr(f"concat(_ps, transform({listed['d']}, d -> 100D * d / wt_mm))"),
+        })
+    # The first year that fires, and how: twice the year, plus one for the repair factor.
+    fires = f"CASE WHEN p >= {depth_trigger_pct}D THEN 2 * n WHEN _es[n] >= {erf_trigger}D THEN 2 * n + 1 END"
     # An assessed depth is capped just below the wall; the reported depth is not.
-    entries = ", ".join(
-        f"named_struct('year', {n}, 'depth_pct_wt', 100D * ({f'least(_d{n}, wt_mm * 0.999D)' if n else '_d0'} / wt_mm),"
-        f" 'sop_kgcm2', _s{n}, 'erf', _e{n})"
-        for n in years
+    entry = (
+        "named_struct('year', n, 'depth_pct_wt', 100D * (if(n = 0, d, least(d, wt_mm * 0.999D)) / wt_mm),"
+        " 'sop_kgcm2', _ss[n], 'erf', _es[n])"
     )
-    kept = rows.columns
-    rows = rows.selectExpr("*", *_CONSTANTS).selectExpr("*", *steps).selectExpr("*", *percent)
-    rows = rows.selectExpr("*", f"CASE {fires} END AS _first").selectExpr(
+    rows = rows.selectExpr("*", f"array_min(transform(_ps, (p, n) -> {fires})) AS _first").selectExpr(
         "*",
         "_first div 2 AS _year", "_first % 2 = 0 AS _by_depth",
         f"coalesce(_year, {horizon_years}) AS _final",
@@ -97,11 +100,11 @@ def project_rows(
         f"CASE WHEN _first IS NULL THEN '{NO_TRIGGER}' WHEN _by_depth THEN '{DEPTH_TRIGGER}' ELSE '{ERF_TRIGGER}' END AS repair_trigger",
         "CAST(_last AS INT) AS last_assessed_year",
         f"date_add(run2_date, CAST(floor(_year * {DAYS_PER_YEAR}D) AS INT)) AS predicted_repair_date",
-        f"{listed('_d')}[_final] AS final_depth_mm",
-        f"{listed('_p')}[_final] AS final_depth_pct_wt",
-        f"{listed('_e')}[_last] AS final_erf",
-        f"{listed('_s')}[_last] AS final_psafe_kgcm2",
-        f"slice(array({entries}), 1, CAST(_last AS INT) + 1) AS years",
+        "_ds[_final] AS final_depth_mm",
+        "_ps[_final] AS final_depth_pct_wt",
+        "_es[_last] AS final_erf",
+        "_ss[_last] AS final_psafe_kgcm2",
+        f"slice(transform(_ds, (d, n) -> {entry}), 1, CAST(_last AS INT) + 1) AS years",
         f"{horizon_years} AS horizon_years",
     )
 

@@ -46,9 +46,12 @@ def running(
 
     def tail(kind: str, c: Column) -> Column:
         if kind.startswith("last"):
-            return F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))
+            return F.max_by(c, F.when(c.isNotNull(), place))
         return _AGGREGATES[kind.removesuffix("_after")](c)
 
+    # One whole number needs no struct, which Spark could only aggregate by sorting; windows take a null first.
+    whole = len(order) == 1 and df.schema[order[0]].dataType.typeName() in ("integer", "long")
+    place = F.coalesce(F.col(order[0]).cast("long"), F.lit(-(2**63))) if whole else F.struct(*order)
     staged = df.withColumns({CHUNK: chunk, **{f"_in_{n}": c for n, (_, c) in values.items()}})
     tails = staged.groupBy(*keys, CHUNK).agg(*[tail(k, F.col(f"_in_{n}")).alias(f"_t_{n}") for n, (k, _) in values.items()])
     carried = tails.select(

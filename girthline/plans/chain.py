@@ -61,10 +61,10 @@ def assess_lines(
     matches = kept(matching.match(old, new, pairs, settings.passes))
     summary = matching.match_summary(old, new, matches, settings.passes)
     pool = assessable(new)
-    grown = kept(growth.growth(
+    grown = growth.growth(
         pool, matches, lines, settings.growth_mode, settings.split_by_surface, settings.population_quantile,
         settings.floor_negative_at_zero, settings.unmatched_depth_pct, keep=kept,
-    ))
+    )
     # The assessment is row-local, so it runs on the growth rows and the projection needs no join. Findings come from it and not
     # from the predictions, which a feature without a rate doesn't reach.
     assessed = assess.assess(grown, lines, settings.primary_method)
