@@ -223,8 +223,9 @@ def assign_clusters(features: DataFrame, chunk: int = ROWS_PER_CHUNK) -> DataFra
     marked = F.lit(False)
     for marker in vocab.CHILD_MARKERS:
         marked = marked | text.norm(F.col("raw_description")).contains(marker)
-    narrow = features.select(*KEY, "joint_number", "anomaly_id", "is_cluster_parent", marked.alias("_marked"))
-    rows = _by_row(narrow, {"_previous": ("last", F.col("joint_number"))}, include_current=False, chunk=chunk)
+    # Each running value reads its rows twice, so both steps are kept; else the reading behind them would be done again each time.
+    narrow = kept(features.select(*KEY, "joint_number", "anomaly_id", "is_cluster_parent", marked.alias("_marked")))
+    rows = kept(_by_row(narrow, {"_previous": ("last", F.col("joint_number"))}, include_current=False, chunk=chunk))
     enters = F.col("_previous").isNull() | (F.col("_previous") != F.col("joint_number"))
     event = F.when(F.col("is_cluster_parent"), F.struct(F.col("anomaly_id").alias("id"))).when(
         enters, F.struct(F.lit(None).cast("string").alias("id"))
@@ -237,6 +238,8 @@ def assign_clusters(features: DataFrame, chunk: int = ROWS_PER_CHUNK) -> DataFra
 
 def coordinate_verdicts(features: DataFrame, lat=LAT_BOUNDS, lon=LON_BOUNDS) -> DataFrame:
     """Per run: ok, swapped or out of bounds by the exact medians of its coordinates."""
+    # Both medians read the rows twice.
+    features = kept(features.select(*RUN, "latitude", "longitude"))
     lats = exact_quantiles(features, RUN, "latitude", [0.5]).select(*RUN, F.col("q0").alias("lat_median"))
     lons = exact_quantiles(features, RUN, "longitude", [0.5]).select(*RUN, F.col("q0").alias("lon_median"))
     a, b = F.col("lat_median"), F.col("lon_median")

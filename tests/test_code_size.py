@@ -97,3 +97,23 @@ def test_flags_and_clocks(spark, tmp_path):
     read = clock.with_clock(texts, "t", "h", "bad").select("h", "bad").collect()
     assert [(None if r.h is None else round(r.h, 4), r.bad) for r in read] == [
         (6.5, False), (11.9833, False), (None, False), (None, False), (None, True), (6.0, False)]
+
+
+def test_medians_and_clusters_read_their_rows_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "r", 10, 4, "p", True, "metal loss", 20.0, 75.0), (1, "r", 11, 4, "a", False, "metal loss (grouped)", 22.0, 77.0),
+         (1, "r", 12, 5, "b", False, "metal loss (grouped)", None, None)],
+        "line_id int, run_id string, source_row long, joint_number int, anomaly_id string, is_cluster_parent boolean, raw_description string,"
+        " latitude double, longitude double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    verdicts = N.coordinate_verdicts(rows.withColumn("line_id", counted.asNondeterministic()("line_id"))).collect()
+    assert [(r.line_id, r.lat_median, r.lon_median, r.code) for r in verdicts] == [(1, 21.0, 76.0, None)] and seen.value == 3
+    seen.value = 0
+    found = N.assign_clusters(rows.withColumn("anomaly_id", F.concat("anomaly_id", F.lit(""))).withColumn("joint_number", counted.asNondeterministic()("joint_number")))
+    assert {(r.source_row, r.cluster_parent_id) for r in found.collect()} == {(10, None), (11, "p"), (12, None)} and seen.value <= 6
