@@ -11,17 +11,15 @@ shingles of a pair are taken for equal with a probability of 2^-64 for each two)
   probability of about 5e-9, one at 0.8 of 2e-5.
 * A bucket (nodes with one band key) gives a star: an edge from each member, a ray, to the smallest one, its centre; so its pairs are as many as
   its members. Edges whose set sizes or signatures rule the similarity out go; the others are checked on the full sets.
-* A star may miss a link between two of its rays. A bucket whose rays are in one component is settled. The rays of the others make one group for each
-  centre c; there each member x keeps its difference D(x) from c. Two members linked with each other but not both with c must share elements of their differences,
-  as |x ^ y| = |D(x) ^ D(y)| <= a (|x| + |y|) with a = (100 - percent) / (100 + percent): at least
-  (|D(x)| - a |x| + |D(y)| - a |y|) / 2 of them, at least |D(x)| - |x| (100 - percent) / percent, and at least one. So they share one within the first |D| - least + 1 elements of each in any order; those that a sample of
-  the group shows to be rare come first. The members with such an element in common make the next groups, again with a star around their smallest, and again their
-  differences from it, until all groups are settled. Near copies of one text differ from each other in places of their own, which are the rarest
-  elements and hardly ever shared; so a group of n of them gives a few stars, and never its n^2 pairs. Nothing is capped or sampled.
-* Differences are exact, so links found in groups are too; no link within a bucket is lost.
+* A star may miss a link between two of its rays. A bucket whose rays are in one component is settled. What the rays of the others hold together is a
+  family, and all its members that are in unlike components are compared on their full sets: a family is dealt to parts of about ``PART_MEMBERS``
+  members and ``PART_ELEMENTS`` elements, each pair of parts goes to a task of its own, and products of 0-1 matrices count there what each two sets share.
+  A pair of parts gives links between components only, fewer than it has members, and no pair is ever a row. Nothing is capped or sampled: no link within a bucket is lost.
+* Members of a family's largest component are not compared with each other. So a member is moved as often as there are parts outside of it (one outside also as often as
+  there are parts inside): once or twice in families of up to ``PART_MEMBERS``, beyond that the counting grows with members outside times members of the family, in memory that does not grow.
 * A ray and its centre, which may have very many, meet by a join that deals such a centre to many tasks (``spread_join``).
-* Components grow by alternating large and small stars over the links, and over roots alone when later rounds add some. Nothing is collected to the
-  driver. Each round's tables are dropped when the next has been stored.
+* Components grow by alternating large and small stars over the links, and over roots alone for the links found in families. Nothing is collected to the
+  driver. Tables are dropped once nothing reads them.
 
 Ties and repeated rows: equal rows share node, component and verdict. A row without an id takes part, but never gives a
 component its name; where no row of a component has an id, ``component_id`` is null. Other columns are not looked at. A text of any
@@ -42,8 +40,10 @@ from girthline.llm import bytewords as B
 from girthline.llm.spread import spread_join
 from girthline.llm.store import Store
 
-BINS, ROWS, BROADCAST_ROWS, OFTEN = 480, 8, 500_000, 64
+BINS, ROWS, BROADCAST_ROWS = 480, 8, 500_000
 BANDS = BINS // ROWS
+#: Members and elements of their sets in one part of a family, about; and columns of a 0-1 matrix.
+PART_MEMBERS, PART_ELEMENTS, COLUMNS = 1024, 1 << 19, 4096
 #: A smaller set has no partner at 0.8 or more but its equal: 4 of 5 is the first such ratio.
 LEAST = 4
 
@@ -128,12 +128,6 @@ def n_common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(x.values, y.values, True)) for x, y in zip(a, b)], pa.int64())
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def difference(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The elements in one of two sorted lists only, sorted."""
-    return B.lists([np.setxor1d(x.values, y.values, True) for x, y in zip(a, b)], pa.int64())
-
-
 def components(links: DataFrame, store: Store) -> DataFrame:
     """(node, root) of every node with a link but the roots, root being the smallest node it reaches; ``links`` has (u, v)."""
     def turned(a: str, b: str, names: tuple[str, str], flag: bool = False) -> Column:
@@ -192,67 +186,97 @@ def _with_centre(pairs: DataFrame, facts: DataFrame, key: str, store: Store) ->
     return spread_join(pairs, store.keep(facts.join(pairs.groupBy(key).agg(F.count("*").alias("n_rows")), key)), [key], "u")
 
 
-def _open(rows: DataFrame, label: DataFrame, store: Store) -> DataFrame:
-    """Of groups ``g`` with a ``centre`` and other members ``u``, those whose other members are in several components: ``g, centre, u, root, inside``,
-    the last true in the centre's component. Pairs with the centre itself have all been checked."""
-    groups = store.keep(_rooted(rows.groupBy("g", "centre").agg(F.count("*").alias("n_rows")), label, "centre", "home"))
-    rooted = store.keep(spread_join(_rooted(rows, label, "u", "root"), groups, ["g", "centre"], "u").withColumn("inside", F.col("root") == F.col("home")))
-    several = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("g", F.lit(1).alias("_several"))
-    sized = store.keep(groups.select("g", "n_rows").join(several, "g"))
-    kept = store.keep(spread_join(rooted.drop("home"), sized, ["g"], "u").drop("_several"))
-    store.drop(groups, rooted, sized)
-    return kept
-
+def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``; with each other one of ``a`` if there is no ``b``."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (a, b) if x is not None]
+    if b is None:
+        met, times = np.unique(sides[0][0], return_counts=True)
+        met = met[times > 1]
+    else:
+        met = np.intersect1d(sides[0][0], sides[1][0])
+    cells = []
+    for values, row in sides:
+        column = np.searchsorted(met, values)
+        shared = np.flatnonzero(column < len(met))
+        shared = shared[met[column[shared]] == values[shared]]
+        shared = shared[np.argsort(column[shared], kind="stable")]
+        cells.append((row[shared], column[shared]))
+    out = np.zeros((len(a), len(a if b is None else b)), np.int64)
+    for lo in range(0, len(met), COLUMNS):
+        ones = []
+        for x, (row, column) in zip((a, b), cells):
+            first, last = np.searchsorted(column, (lo, lo + COLUMNS))
+            ones.append(np.zeros((len(x), min(COLUMNS, len(met) - lo)), np.float32))
+            ones[-1][row[first:last], column[first:last] - lo] = 1
+        out += (ones[0] @ ones[-1].T).astype(np.int64)
+    return out
 
-def _prefix(percent: int):
-    """A column function: of a difference the first elements in the group's order that linked sets must share one of.
 
-    The order puts elements in no list of the group's frequent ones first, by value, then those by frequency. ``least`` is how many elements are shared.
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the first member of each component of a symmetric matrix of neighbours to its others."""
+    left, edges = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        front = np.array([start] if left[start] else [], np.int64)
+        left[front] = False
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            edges += [(start, x) for x in front.tolist()]
+    return edges
+
+
+def _between_parts(percent: int):
+    """A function of the members of one pair of parts: (u, v) of roots that links between them hold together."""
+
+    def between(table: pa.Table) -> pa.Table:
+        part, root, n = (table[c].to_numpy() for c in ("part", "root", "n"))
+        sets = [x.values.to_numpy() for x in table["s"]]
+        i, j = (table[c][0].as_py() for c in "ij")
+        x, y = (np.flatnonzero(part == k) for k in (i, j))
+        edges, roots = [], np.unique(root)
+        if len(roots) > 1 and len(x) and len(y):
+            common = common_counts([sets[k] for k in x], None if i == j else [sets[k] for k in y])
+            linked = (common * (100 + percent) >= (n[x][:, None] + n[y]) * percent) & (root[x][:, None] != root[y])
+            at, to = np.nonzero(linked)
+            at, to = np.searchsorted(roots, root[x])[at], np.searchsorted(roots, root[y])[to]
+            near = np.zeros((len(roots), len(roots)), bool)
+            near[at, to] = near[to, at] = True
+            edges = forest(near)
+        ends = roots[np.array(edges, np.int64).reshape(-1, 2)]
+        return pa.table({"u": ends[:, 0], "v": ends[:, 1]})
+
+    return between
+
+
+def _next_members(members: DataFrame, store: Store) -> DataFrame:
+    """Members of families (``g, u, root, n, s``), dealt to pairs ``i, j`` of the family's parts, of which ``part`` is their own.
+
+    Parts of members in the family's largest component come last and are not paired with each other.
     """
+    per = members.groupBy("g", "root").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"))
+    sums = per.groupBy("g").agg(F.max(F.struct("n_rows", "n", "root")).alias("home"), F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"))
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def prefix(d: pa.Array, least: pa.Array, frequent: pa.Array) -> pa.Array:
-        out = []
-        for x, k, often in zip(d, least.to_pylist(), frequent):
-            values = x.values.to_numpy()
-            n = len(values) - k + 1
-            if n <= 0:
-                out.append(np.zeros(0, np.int64))
-                continue
-            often = often.values.to_numpy() if often.is_valid else np.zeros(0, np.int64)
-            # ``often`` is ordered from rare to frequent.
-            by_value = np.argsort(often)
-            at = np.searchsorted(often[by_value], values)
-            at[at == len(often)] = 0
-            known = often[by_value][at] == values if len(often) else np.zeros(len(values), bool)
-            rank = np.where(known, by_value[at] + 1, 0) if len(often) else np.zeros(len(values), np.int64)
-            out.append(values[np.argsort(rank, kind="stable")[:n]])
-        return B.lists(out, pa.int64())
-
-    return prefix
-
-
-def _next_members(apart: DataFrame, percent: int, store: Store) -> DataFrame:
-    """The next groups: ``g, centre, u, n, s`` with the centres among the members, from differences ``d`` of members of open groups."""
-    hundred = 100 + percent
-    weighed = apart.withColumn("w", (F.size("d") * hundred - (100 - percent) * F.col("n")).cast("long"))
-    least = weighed.groupBy("g").agg(F.min("w").alias("w_any"), F.min(F.when(~F.col("inside"), F.col("w"))).alias("w_out"), F.count("*").alias("n_rows"))
-    least = store.keep(least)
-    # Which elements are frequent is found on about OFTEN members of a group, told by a hash; it orders the elements and decides nothing else.
-    drawn = spread_join(apart.select("g", "u", "d"), least.select("g", "n_rows"), ["g"], "u", keep=True).where(F.pmod(F.xxhash64("u"), F.ceil(F.col("n_rows") / OFTEN)) == 0)
-    seen = drawn.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).where("k > 1")
-    top = seen.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias("often"))
-    facts = store.keep(least.join(top, "g", "left"))
-    held = spread_join(weighed.select("g", "u", "root", "inside", "w", "n", "d"), facts, ["g"], "u")
-    # Two members inside are linked already, so one inside looks for others only.
-    other = F.when(F.col("inside"), F.col("w_out")).otherwise(F.col("w_any"))
-    # Linked sets differ in at most n (100 - percent) / percent elements, so all but that many of a difference are shared.
-    shared = F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(2 * hundred)), F.size("d") - F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)))
-    elements = store.keep(held.select("g", "u", "root", F.explode(_prefix(percent)("d", shared.cast("int"), "often")).alias("e")))
-    groups = elements.groupBy("g", "e").agg(F.min("u").alias("centre"), F.count("*").alias("n_rows"), F.min("root").alias("a"), F.max("root").alias("b"))
-    groups = store.keep(groups.where("a < b").select("g", "e", "centre", "n_rows", F.monotonically_increasing_id().alias("h")))
-    joined = spread_join(elements.select("g", "e", "u"), groups, ["g", "e"], "u").select("h", "centre", "g", "u")
-    return joined.join(apart.select("g", "u", "n", F.col("d").alias("s")), ["g", "u"]).select(F.col("h").alias("g"), "centre", "u", "n", "s")
+    def parts(rows: Column, n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(rows / PART_MEMBERS), F.ceil(n / PART_ELEMENTS)).cast("int")
+
+    outside = parts(F.col("n_rows") - F.col("home.n_rows"), F.col("n") - F.col("home.n"))
+    facts = store.keep(sums.select("g", "n_rows", F.col("home.root").alias("home"), outside.alias("outside"), parts(F.col("home.n_rows"), F.col("home.n")).alias("inside")))
+    held = spread_join(members, facts, ["g"], "u").withColumn("is_inside", F.col("root") == F.col("home"))
+    place = F.when(F.col("is_inside"), F.col("outside") + F.pmod(F.hash("u"), "inside")).otherwise(F.pmod(F.hash("u"), "outside"))
+    others = F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("is_inside"), 0).otherwise(F.col("inside")))
+    dealt = held.select("g", "root", "n", "s", place.alias("part"), F.explode(others).alias("other"))
+    return dealt.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "n", "s")
+
+
+def _family_links(rays: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> DataFrame:
+    """(u, v) of roots that links between members of one family hold together; ``rays`` has (u, v) of the families."""
+    of = components(rays, store)
+    family = store.keep(of.toDF("u", "g").union(of.select(F.col("root").alias("u"), F.col("root").alias("g")).distinct()))
+    sets = _sets(texts, nodes, family.select(F.col("u").alias("node")), store).withColumnRenamed("node", "u")
+    members = store.keep(_rooted(family.join(sets, "u"), label, "u", "root"))
+    store.drop(family)
+    found = _next_members(members, store).groupBy("g", "i", "j").applyInArrow(_between_parts(percent), "u long, v long")
+    return store.keep(found.distinct())
 
 
 def _labels(nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> DataFrame:
@@ -278,26 +302,11 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int, store: Store) -> D
     several = met.where("k > 2")
     roots = _rooted(several, label, "u", "root").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n_rows"))
     unsettled = store.keep(roots.where("a < b").select("key", "n_rows"))
-    left = spread_join(several, unsettled, ["key"], "u").select(F.col("v").alias("g"), F.col("v").alias("centre"), "u").distinct()
-    members = _open(store.keep(left), label, store)
-    if members.isEmpty():
+    left = store.keep(spread_join(several, unsettled, ["key"], "u").select("u", "v").distinct())
+    store.drop(rays, met, unsettled)
+    if left.isEmpty():
         return label
-    sets = _sets(texts, nodes, members.select(F.explode(F.array("u", "centre")).alias("node")).distinct(), store)
-    filled = members.join(sets.select(F.col("node").alias("u"), "n", "s"), "u")
-    centre = sets.select(F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("s").alias("c"))
-    apart = store.keep(_with_centre(filled, centre, "centre", store).select("g", "u", "root", "inside", "n", difference("s", "c").alias("d")))
-    store.drop(rays, met, sets)
-    while True:
-        more = store.keep(_next_members(apart, percent, store))
-        if more.isEmpty():
-            return label
-        store.drop_all(but=(label, more))
-        centre = more.where("u = centre").select("g", F.col("n").alias("nc"), F.col("s").alias("c"))
-        apart = store.keep(_with_centre(more.where("u != centre"), centre, "g", store).select("g", "centre", "u", "n", "nc", difference("s", "c").alias("d")))
-        near = apart.where(F.size("d") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nc")))
-        label = _grown(label, store.keep(near.select("u", F.col("centre").alias("v")).distinct()), store)
-        still = _open(apart.select("g", "centre", "u"), label, store)
-        apart = store.keep(apart.select("g", "u", "n", "d").join(still.select("g", "u", "root", "inside"), ["g", "u"]))
+    return _grown(label, _family_links(left, label, nodes, texts, percent, store), store)
 
 
 def _grouped(docs: DataFrame, percent: int, row_id: str, text: str) -> DataFrame:

@@ -97,6 +97,43 @@ def test_families_spread_their_links_in_few_pairs(spark, monkeypatch):
     assert sum(seen) < 8 * n
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_parts_of_a_family_lose_no_link(spark, monkeypatch, percent):
+    """Links between members of one part, of two parts, and of a part in the largest component, counted over several slices of elements."""
+    for name, value in (("PART_MEMBERS", 9), ("COLUMNS", 64)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, base = random.Random(9), prose(70, 160)
+    rows = [(i, changed(base, rng.choice([1, 2, 3, 5, 7, 9]), 5000 + i), "", "", 0, 0) for i in range(60)]
+    rows += [(200 + i, changed(rows[i][1], rng.choice([1, 2, 3]), 6000 + i), "", "", 0, 0) for i in range(0, 60, 4)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, percent)
+
+
+def test_tables_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """op9_minhash_near_dedup and near_dedup of the pipeline: no table between holds elements or pairs of members of unsettled buckets."""
+    sizes, real = [], neardup.Store.keep
+
+    def counted(self, df):
+        out = real(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.Store, "keep", counted)
+    base, n = prose(61, 200), 150
+    rows = [(i, changed(base, random.Random(i).choice([2, 4, 6, 8]), 100 + i), "", "", 0, 0) for i in range(n)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 85)
+    assert max(sizes) <= neardup.BANDS * n
+
+
+def test_common_counts_equal_brute_force():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 300, rng.integers(1, 90))) for _ in range(k)] for k in (20, 7))
+    assert neardup.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    square = neardup.common_counts(a)
+    assert all(square[i, j] == len(np.intersect1d(a[i], a[j])) for i in range(20) for j in range(20) if i != j)
+
+
 def test_equal_rows_are_cut_like_others(spark, monkeypatch):
     monkeypatch.setattr(sharding, "COPIES", 250)
     same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("equal in all columns").alias("text"))
