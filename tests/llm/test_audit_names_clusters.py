@@ -170,6 +170,26 @@ def test_spread_join_deals_hot_keys(spark):
     assert sorted(map(tuple, joined.select("uid", "k", "v").collect())) == sorted((i, k, 2 * k) for i, k in ((r.uid, r.k) for r in table.collect()))
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_spread_join_is_one_join(spark, hot):
+    """pipeline near_dedup: no row goes through an outer join with the hot keys; a hot key is dealt to its places, also if the key's types differ."""
+    table = spark.range(6000).select(F.col("id").alias("uid"), (F.col("id") % (7 if hot else 3000)).cast("int").alias("a"), F.concat(F.lit("b"), F.col("id") % 3).alias("b"))
+    keyed = table.groupBy(F.col("a").cast("long").alias("a"), "b").agg(F.count("*").alias("n_rows")).withColumn("v", F.col("a") * 2).checkpoint()
+    joined = spread.spread_join(table, keyed, ["a", "b"], "uid", keep=True)
+    assert re.findall(r"Join (\w+)", joined._jdf.queryExecution().optimizedPlan().toString()) == ["Inner"]
+    sizes = {(r.a, r.b): r.n_rows for r in keyed.collect()}
+    want = sorted((r.uid, r.a, r.b, 2 * r.a, sizes[r.a, r.b]) for r in table.collect())
+    assert sorted(map(tuple, joined.select("uid", "a", "b", "v", "n_rows").collect())) == want
+
+
+def test_keys_of_one_digest_are_dealt_alike(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(spread.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(5)))
+    table = spark.range(900).select(F.col("id").alias("uid"), F.when(F.col("id") < 500, F.col("id") % 4).otherwise(F.col("id")).alias("k"))
+    keyed = table.groupBy("k").agg(F.count("*").alias("n_rows")).checkpoint()
+    assert sorted(r.uid for r in spread.spread_join(table, keyed, ["k"], "uid").collect()) == list(range(900))
+
+
 def lloyd(rows, dims, k, rounds, seed):
     """Plain Python integers."""
     kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
