@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from girthline.operators.scan import chunk_of, numbered, running
 from girthline.operators.tiles import TILE, align_long
-from girthline.session import kept
+from girthline.session import by_rows, kept
 
 MIN_SIMILARITY = 0.85
 GAP = -0.5
@@ -202,7 +202,7 @@ def anchored(joints: DataFrame, modes: DataFrame, anchor_joints: Sequence[int] =
     marks = pairs.select("line_id", F.col("p1").alias("_seg"), F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("p1").alias("pos")), F.struct(F.lit(2).alias("side"), F.col("p2").alias("pos"))
     )).alias("_m")).select("line_id", "_seg", "_m.*")
-    marked = kept(placed.join(marks, ["line_id", "side", "pos"], "left"))
+    marked = kept(placed.join(by_rows(marks), ["line_id", "side", "pos"], "left"))
     rows = running(
         marked.withColumn("is_anchor", F.col("_seg").isNotNull()), keys, ["pos"], chunk_of(F.col("pos"), chunk),
         {"seg": ("last", F.col("_seg"))},
@@ -347,14 +347,14 @@ def _long_pairs(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
         return _scores(a, b, slice(None), slice(None))
 
     cells = align_long(rows, sizes, ["length_m", "wt_mm", "abs_distance_start_m"], scores, GAP, tile)
-    at = cells.join(sizes.select("line_id", "seg", "first_1", "first_2"), ["line_id", "seg"])
+    at = by_rows(cells).join(sizes.select("line_id", "seg", "first_1", "first_2"), ["line_id", "seg"])
     at = at.select("line_id", (F.col("row") + F.col("first_1")).alias("p1"), (F.col("column") + F.col("first_2")).alias("p2"))
 
     def side(number: int, name: str) -> DataFrame:
         joint = F.struct("joint_number", "length_m", "abs_distance_start_m").alias(name)
         return rows.where(F.col("side") == number).select("line_id", F.col("pos").alias(f"p{number}"), joint)
 
-    pairs = at.join(side(1, "o"), ["line_id", "p1"]).join(side(2, "n"), ["line_id", "p2"])
+    pairs = at.join(by_rows(side(1, "o")), ["line_id", "p1"]).join(by_rows(side(2, "n")), ["line_id", "p2"])
     return _paired(pairs).where(F.col("confidence") >= MIN_SIMILARITY)
 
 
@@ -388,7 +388,7 @@ def align_by_length(
     ).where((F.col("n_1") > 0) & (F.col("n_2") > 0))
     sizes = kept(sizes.join(by_length, "line_id"))
     short = F.col("n_1") + F.col("n_2") <= long_segment
-    inner = rest.drop("is_anchor").join(sizes.where(short).select("line_id", "seg", "band"), ["line_id", "seg"])
+    inner = rest.drop("is_anchor").join(by_rows(sizes.where(short).select("line_id", "seg", "band")), ["line_id", "seg"])
     # Neighbouring segments share a call; a batch is a bounded stretch of positions.
     batched = inner.withColumn("_batch", chunk_of(F.col("seg"), BATCH_JOINTS))
     solved = batched.groupBy("line_id", "_batch").applyInPandas(_batch_kernel, pair_schema(joints))
@@ -522,7 +522,7 @@ def align(old: DataFrame, new: DataFrame, anchor_joints: Sequence[int] = ANCHOR_
 def unmatched_joints(joints: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """Joints of a run ('old' or 'new') without a partner."""
     taken = pairs.select("line_id", F.col(f"{side}_joint").alias("joint_number"))
-    return joints.join(taken, ["line_id", "joint_number"], "left_anti")
+    return joints.join(by_rows(taken), ["line_id", "joint_number"], "left_anti")
 
 
 def reversals(pairs: DataFrame, chunk: int = CHUNK_JOINTS) -> DataFrame:

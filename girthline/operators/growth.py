@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from girthline.functions.units import depth_mm
 from girthline.operators.scan import exact_quantiles
+from girthline.session import by_rows
 
 MODES = ("hybrid", "population_only", "feature_specific")
 
@@ -30,7 +31,7 @@ def feature_rates(
         "line_id", F.col("new_source_row").alias("source_row"), "old_source_row", "match_score", "confidence",
         "relaxation_level", "old",
     )
-    rows = new_features.join(pairs, ["line_id", "source_row"], "left").join(dims, "line_id", "left")
+    rows = new_features.join(by_rows(pairs), ["line_id", "source_row"], "left").join(dims, "line_id", "left")
     matched = F.col("old_source_row").isNotNull()
     wall = F.col("wt_mm")
     old_mm = F.when(matched, F.coalesce(F.col("old.depth_mm"), F.lit(0.0))).otherwise(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from girthline import vocab
 from girthline.functions import clock, text, units
 from girthline.operators.scan import chunk_of, exact_quantiles, running
-from girthline.session import kept
+from girthline.session import by_rows, kept
 
 RUN = ["line_id", "run_id"]
 KEY = [*RUN, "source_row"]
@@ -233,7 +233,7 @@ def assign_clusters(features: DataFrame, chunk: int = ROWS_PER_CHUNK) -> DataFra
     rows = _by_row(rows, {"_open": ("last", event)}, chunk=chunk)
     child = F.col("_marked") & ~F.col("is_cluster_parent") & F.col("_open.id").isNotNull()
     children = rows.where(child).select(*KEY, F.col("_open.id").alias("cluster_parent_id"))
-    return features.join(children, KEY, "left")
+    return features.join(by_rows(children), KEY, "left")
 
 
 def coordinate_verdicts(features: DataFrame, lat=LAT_BOUNDS, lon=LON_BOUNDS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from girthline.functions import clock
 from girthline.functions.units import depth_mm
 from girthline.operators.inventory import assessable
-from girthline.session import kept
+from girthline.session import by_rows, kept
 
 # (axial tolerance m, clock tolerance h, highest accepted cost) per relaxation pass.
 PASSES = ((0.10, 0.5, 0.5), (0.25, 1.0, 1.0), (1.00, 1.5, 1.5))
@@ -74,7 +74,7 @@ def sided(old: DataFrame, new: DataFrame, joint_pairs: DataFrame) -> DataFrame:
             "clock_decimal_hours", "surface", "wt_mm", "anomaly_id",
         )
         # Only the old side is carried along; the new side is joined by its row later.
-        return rows.join(pairs, ["line_id", "joint_number"]).select(
+        return rows.join(by_rows(pairs), ["line_id", "joint_number"]).select(
             "line_id", F.col("_old").alias("old_joint"), F.lit(number).alias("side"), "source_row",
             F.col("upstream_weld_dist_m").alias("pos"), "clock_decimal_hours", "surface", "depth_pct_wt",
             "is_cluster_parent", (payload if number == 1 else F.lit(None)).cast(OLD_TYPE).alias("old"),
@@ -100,7 +100,7 @@ def _stretches(features: DataFrame, tolerance: float) -> DataFrame:
     cells = cells.withColumn("_starts", starts).withColumn("island", F.sum("_starts").over(along))
     whole = Window.partitionBy(*key, "island")
     cells = cells.withColumns({"n_old": F.sum("_old").over(whole), "n_new": F.sum("_new").over(whole)})
-    return celled.join(cells.select(*key, "_cell", "island", "n_old", "n_new"), [*key, "_cell"]).drop("_cell")
+    return celled.join(by_rows(cells.select(*key, "_cell", "island", "n_old", "n_new")), [*key, "_cell"]).drop("_cell")
 
 
 def _cut_round(stretches: DataFrame, turn: float) -> DataFrame:
@@ -121,7 +121,7 @@ def _cut_round(stretches: DataFrame, turn: float) -> DataFrame:
     wedges = wedges.withColumn("_part", F.when(whole, 0).otherwise(F.col("_part")))
     part = Window.partitionBy(*ISLAND, "_part")
     wedges = wedges.withColumns({"n_old": F.sum("_old").over(part), "n_new": F.sum("_new").over(part)})
-    found = rows.join(wedges.select(*ISLAND, "_wedge", "_part", "n_old", "n_new"), [*ISLAND, "_wedge"])
+    found = rows.join(by_rows(wedges.select(*ISLAND, "_wedge", "_part", "n_old", "n_new")), [*ISLAND, "_wedge"])
     return found.withColumn("island", F.col("island") + F.col("_part")).drop("_wedge", "_part")
 
 
@@ -142,7 +142,7 @@ def candidates(features: DataFrame, tolerance: float) -> DataFrame:
 
     cell = F.floor(F.col("pos") / (2 * tolerance)).cast("long")
     near = F.explode(F.array(cell - 1, cell, cell + 1))
-    pairs = side(1, "o", cell).join(side(2, "n", near), ["line_id", "old_joint", "_cell"])
+    pairs = side(1, "o", cell).join(by_rows(side(2, "n", near)), ["line_id", "old_joint", "_cell"])
     return pairs.where(F.abs(F.col("o.pos") - F.col("n.pos")) <= tolerance).drop("_cell")
 
 
@@ -154,7 +154,7 @@ def match_single(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES)
         return alone.where(F.col("side") == side).select(*ISLAND, F.struct(*columns).alias(name))
 
     # One row on each side, so a join pairs them; an aggregate of structs would sort all rows twice.
-    pairs = one(1, "o", *_SIDE, "old").join(one(2, "n", *_SIDE), list(ISLAND))
+    pairs = one(1, "o", *_SIDE, "old").join(by_rows(one(2, "n", *_SIDE)), list(ISLAND))
     axial, turn, cost = pair_cost(F.col("o"), F.col("n"))
     pairs = pairs.withColumns({"_axial": axial, "_turn": turn, "match_score": cost})
     # The passes are looked through as an array: written out, the code of a pair outgrows what the JVM compiles.
@@ -377,7 +377,7 @@ def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASS
     dealt = choice.select(*columns).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "side", "source_row")
     solved = dealt.mapInPandas(kernel, schema)
     carried = choice.where(F.col("side") == 1).select("line_id", F.col("source_row").alias("old_source_row"), "old")
-    return solved.join(carried, ["line_id", "old_source_row"])
+    return solved.join(by_rows(carried), ["line_id", "old_source_row"])
 
 
 def match(old: DataFrame, new: DataFrame, joint_pairs: DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> DataFrame:
@@ -395,7 +395,7 @@ def match(old: DataFrame, new: DataFrame, joint_pairs: DataFrame, passes: Sequen
 def unmatched(features: DataFrame, matches: DataFrame, side: str) -> DataFrame:
     """Assessable features of a run ('old' or 'new') without a partner."""
     rows = matches.select("line_id", F.col(f"{side}_source_row").alias("source_row"))
-    return assessable(features).join(rows, ["line_id", "source_row"], "left_anti")
+    return assessable(features).join(by_rows(rows), ["line_id", "source_row"], "left_anti")
 
 
 def match_summary(old: DataFrame, new: DataFrame, matches: DataFrame, passes: Sequence[Sequence[float]] = PASSES) -> DataFrame:
@@ -440,7 +440,7 @@ def depth_changes(matches: DataFrame, new: DataFrame) -> DataFrame:
     rows = new.select(
         "line_id", F.col("source_row").alias("new_source_row"), "depth_pct_wt", "wt_mm"
     )
-    return matches.join(rows, ["line_id", "new_source_row"]).select(
+    return matches.join(by_rows(rows), ["line_id", "new_source_row"]).select(
         "line_id", "old_source_row", "new_source_row",
         (F.col("depth_pct_wt") - F.col("old.depth_pct_wt")).alias("depth_delta_pct_wt"),
         (depth_mm(F.col("depth_pct_wt"), F.col("wt_mm")) - F.col("old.depth_mm")).alias("depth_delta_mm"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from girthline.functions.dates import DAYS_PER_YEAR
 from girthline.functions.strength import FLOW_FACTOR, FLOW_OFFSET_MPA, UTS_OFFSET_MPA
 from girthline.functions.units import MPA_TO_KGCM2
+from girthline.session import by_rows
 
 DEPTH_TRIGGER = "DEPTH_80"
 ERF_TRIGGER = "ERF_1.0"
@@ -62,7 +63,7 @@ def project(
     one entry per assessed year.
     """
     rate = growth.select("line_id", "source_row", "cgr_mm_yr")
-    rows = rate.join(current.drop("cgr_mm_yr"), ["line_id", "source_row"]).where(F.col("cgr_mm_yr").isNotNull())
+    rows = rate.join(by_rows(current.drop("cgr_mm_yr")), ["line_id", "source_row"]).where(F.col("cgr_mm_yr").isNotNull())
     return project_rows(rows, horizon_years, depth_trigger_pct, erf_trigger)
 
 

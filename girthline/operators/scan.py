@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from girthline.session import by_rows
+
 CHUNK = "_chunk"
 
 
@@ -61,7 +63,8 @@ def running(
     within = staged.withColumns({
         f"_w_{n}": reach(k, F.col(f"_in_{n}"), window(k, [*keys, CHUNK], order, -1 if k == "last_before" else last_row)) for n, (k, _) in values.items()
     })
-    joined = within.join(carried, [*keys, CHUNK], "left")
+    # Rows are dealt and sorted by chunk for the windows, so only the chunks are moved.
+    joined = within.join(by_rows(carried), [*keys, CHUNK], "left")
 
     def combined(kind: str, name: str) -> Column:
         w, c = F.col(f"_w_{name}"), F.col(f"_c_{name}")

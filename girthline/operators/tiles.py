@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from girthline.session import kept
+from girthline.session import by_rows, kept
 
 TILE = 2048
 NOTHING = -np.inf
@@ -98,7 +98,7 @@ def align_long(joints: DataFrame, sizes: DataFrame, columns: list[str], scores:
     sides = [blocks.where(F.col("side") == s).select(*key, F.col("block").alias(at), *(F.col(x).alias(f"{x}_{s}") for x in columns)) for s, at in ((1, "r"), (2, "c"))]
 
     def joined(tiles: DataFrame) -> DataFrame:
-        return tiles.join(sides[0], [*key, "r"]).join(sides[1], [*key, "c"])
+        return tiles.join(by_rows(sides[0]), [*key, "r"]).join(by_rows(sides[1]), [*key, "c"])
 
     def pair_scores(t) -> Callable:
         a, b = ({x: np.asarray([np.nan if v is None else v for v in t[f"{x}_{s}"]], float) for x in columns} for s in (1, 2))
@@ -146,7 +146,7 @@ def align_long(joints: DataFrame, sizes: DataFrame, columns: list[str], scores:
         here = grid.where(F.col("r") + F.col("c") == wave)
         above = before.select(*key, (F.col("r") + 1).alias("r"), "c", F.col("bottom").alias("above"))
         beside = before.select(*key, "r", (F.col("c") + 1).alias("c"), F.col("right").alias("before"))
-        tiles = joined(here).join(above, [*key, "r", "c"], "left").join(beside, [*key, "r", "c"], "left")
+        tiles = joined(here).join(by_rows(above), [*key, "r", "c"], "left").join(by_rows(beside), [*key, "r", "c"], "left")
         before = kept(tiles.repartition(*key, "r", "c").mapInPandas(sweep, wave_schema))
         done.append(before)
     swept = done[0]
@@ -190,5 +190,5 @@ def align_long(joints: DataFrame, sizes: DataFrame, columns: list[str], scores:
                 cells = np.array(trace_tile(choices, t["i"] - r0, t["j"] - c0), np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"line_id": [t["line_id"]] * len(cells), "seg": [t["seg"]] * len(cells), "row": r0 + cells[:, 0], "column": c0 + cells[:, 1]})
 
-    again = joined(crossed.join(swept.select(*key, "r", "c", "top", "left"), [*key, "r", "c"]).join(grid.select(*key, "r", "c", "shift", "band"), [*key, "r", "c"]))
+    again = joined(crossed.join(by_rows(swept.select(*key, "r", "c", "top", "left")), [*key, "r", "c"]).join(grid.select(*key, "r", "c", "shift", "band"), [*key, "r", "c"]))
     return again.repartition(*key, "r", "c").mapInPandas(read_off, f"line_id {fields['line_id']}, seg {fields['seg']}, row long, column long")

@@ -13,7 +13,7 @@ from girthline.functions.units import render_surface
 from girthline.operators.inventory import is_circumferential
 from girthline.operators.scan import chunk_of, exact_quantiles, numbered
 from girthline.operators.zones import with_zone
-from girthline.session import kept
+from girthline.session import by_rows, kept
 
 ROW = ["line_id", "source_row"]
 METRES_PER_CHUNK = 1_000.0
@@ -63,7 +63,7 @@ def _labels(predictions: DataFrame) -> DataFrame:
 
 def anomalies(growth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Metal-loss anomalies with their repair label; the joint length is not known here and stays empty."""
-    rows = growth.join(_labels(predictions).drop("_end"), ROW, "left")
+    rows = growth.join(by_rows(_labels(predictions).drop("_end")), ROW, "left")
     # Numbering reads its rows twice, so the projection behind them is kept.
     rows = kept(rows.select(
         *ROW, "anomaly_id", "abs_distance_m", "latitude", "longitude", "joint_number", "upstream_weld_dist_m", "raw_description", "surface",
@@ -81,7 +81,7 @@ def anomalies(growth: DataFrame, predictions: DataFrame) -> DataFrame:
 def assessment_now_and_end(growth: DataFrame, current: DataFrame, predictions: DataFrame) -> DataFrame:
     """Depth, safe pressure and repair factor now and in the last projected year."""
     now = current.select(*ROW, "method", F.col("sop_kgcm2").alias("_sop"), F.col("erf").alias("_erf"))
-    rows = growth.join(now, ROW, "left").join(_labels(predictions), ROW, "left")
+    rows = growth.join(by_rows(now), ROW, "left").join(by_rows(_labels(predictions)), ROW, "left")
     rows = kept(rows.select(
         *ROW, "anomaly_id", "joint_number", "abs_distance_m", "surface", "method", "depth_pct_wt", "_sop", "_erf", "_end", "cgr_mm_yr", "repair_label",
     ))
@@ -99,7 +99,7 @@ def assessment_now_and_end(growth: DataFrame, current: DataFrame, predictions: D
 def circumferential_controlling(growth: DataFrame, current: DataFrame, predictions: DataFrame) -> DataFrame:
     """The table above for features the circumferential method controls."""
     kept = current.where(F.col("method") == "Kastner").select(*ROW)
-    return assessment_now_and_end(growth.join(kept, ROW, "left_semi"), current, predictions)
+    return assessment_now_and_end(growth.join(by_rows(kept), ROW, "left_semi"), current, predictions)
 
 
 def circumferential_all(growth: DataFrame, lines: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def circumferential_all(growth: DataFrame, lines: DataFrame, predictions: DataFr
     rows = with_zone(growth.where(usable), lines).join(dims, "line_id").where(F.col("zone").isNotNull())
     rows = rows.withColumns({"design_factor": F.col("zone.design_factor"), "maop_kgcm2": F.col("zone.maop_kgcm2")})
     now = with_strength(rows, {"_k": "Kastner"}, None, F.lit(False)).select(*ROW, "_k.*")
-    return assessment_now_and_end(growth.join(now.select(*ROW), ROW, "left_semi"), now, predictions)
+    return assessment_now_and_end(growth.join(by_rows(now.select(*ROW)), ROW, "left_semi"), now, predictions)
 
 
 def dent_table(strains: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def top_features(growth: DataFrame, current: DataFrame, by: str, n: int = 20) ->
         "rank", F.row_number().over(order)
     ).where(F.col("rank") <= n)
     attributes = growth.select(*ROW, "joint_number", "abs_distance_m", "surface")
-    return best.join(attributes, ROW, "left")
+    return best.join(by_rows(attributes), ROW, "left")
 
 
 def summary_metrics(growth: DataFrame, current: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def summary_metrics(growth: DataFrame, current: DataFrame, predictions: DataFram
     where = growth.select("line_id", F.col("source_row").alias("max_erf_row"), F.col("joint_number").alias("max_erf_joint"),
                           F.col("abs_distance_m").alias("max_erf_chainage_m"))
     rows = grown.join(p95, "line_id", "left").join(strength, "line_id", "left").join(repairs, "line_id", "left")
-    rows = rows.join(where, ["line_id", "max_erf_row"], "left")
+    rows = rows.join(by_rows(where), ["line_id", "max_erf_row"], "left")
     counts = ["n_erf_ge_1", "n_depth_ge_80", "n_within_horizon", "n_immediate", "n_scheduled", "n_monitor"]
     return rows.na.fill(0, counts).withColumns({
         "internal_pct": 100.0 * F.col("n_internal") / F.greatest("n_features", F.lit(1)),
