@@ -32,7 +32,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def lines(spark, sf, mode="wt") -> DataFrame:
-    return T.lines(spark, sf, mode).withColumn("years_between", dates.years_between(F.col("run1_date"), F.col("run2_date")))
+    """Properties of the lines, kept: Spark then knows how few they are, and moves no features to join them."""
+    return kept(T.lines(spark, sf, mode).withColumn("years_between", dates.years_between(F.col("run1_date"), F.col("run2_date"))))
 
 
 # --- inventory -------------------------------------------------------------------------------------------------
@@ -409,10 +410,10 @@ def runs(spark, sf) -> tuple[DataFrame, DataFrame]:
     return T.features(spark, sf, 1, rows), T.features(spark, sf, 2, rows)
 
 
-def grown(spark, sf, features: tuple[DataFrame, DataFrame] | None = None, **settings):
+def grown(spark, sf, features: tuple[DataFrame, DataFrame] | None = None, dims: DataFrame | None = None, **settings):
     old, new = features or runs(spark, sf)
     matched = M.match(old, new, T.true_joint_pairs(spark, sf))
-    return G.growth(I.assessable(new), matched, lines(spark, sf), keep=kept, **settings)
+    return G.growth(I.assessable(new), matched, lines(spark, sf) if dims is None else dims, keep=kept, **settings)
 
 
 @query("growth_feature_rates", sql("rated", f"""
@@ -469,9 +470,11 @@ def _(spark, sf):
 # --- projection ------------------------------------------------------------------------------------------------
 
 def predicted(spark, sf) -> DataFrame:
-    dims, both = lines(spark, sf), runs(spark, sf)
-    assessed = A.assess(I.assessable(both[1]), dims)
-    return P.project(grown(spark, sf, both), P.current_state(assessed, dims))
+    dims = lines(spark, sf)
+    rows = grown(spark, sf, dims=dims)
+    # The assessment is row-local, so it runs on the growth rows and the projection needs no join.
+    assessed = A.assess(I.assessable(rows), dims)
+    return P.project(rows, P.current_state(assessed, dims))
 
 
 @query("repair_predictions", sql("predicted", f"""

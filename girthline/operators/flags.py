@@ -26,7 +26,9 @@ def staged(flags: DataFrame, stage: int) -> DataFrame:
 
 def line_findings(growth: DataFrame, predictions: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Repairs due within the horizon, and a high median growth rate, per line."""
-    due = predictions.where(F.col("repair_trigger") != "NONE_WITHIN_HORIZON").select("line_id").distinct()
+    # Counted and not filtered: a filter moves below the projection and repeats its formulas, each within the next, as one condition.
+    fires = F.coalesce(F.bool_or(F.col("repair_trigger") != "NONE_WITHIN_HORIZON"), F.lit(False))
+    due = predictions.groupBy("line_id").agg(fires.alias("_due")).where("_due").select("line_id")
     median = exact_quantiles(growth, ["line_id"], "cgr_mm_yr", [0.5]).where(F.col("q0") > threshold)
     return due.withColumn("code", F.lit("REPAIR_PREDICTED_WITHIN_HORIZON")).unionByName(
         median.select("line_id", F.lit("HIGH_CGR_POPULATION").alias("code"))

@@ -60,11 +60,14 @@ def project(
     ``growth`` carries the feature and ``cgr_mm_yr``; ``current`` is the controlling assessment with
     ``design_factor``, ``diameter_mm``, ``smys_mpa``, ``uts_mpa`` and ``run2_date``. Depth is tested before the
     repair factor, and a depth trigger reports the pressures of the year before. Adds ``years``, an array with
-    one entry per assessed year.
+    one entry per assessed year. A ``current`` made from the growth rows carries their rate and needs no join.
     """
-    rate = growth.select("line_id", "source_row", "cgr_mm_yr")
-    rows = rate.join(by_rows(current.drop("cgr_mm_yr")), ["line_id", "source_row"]).where(F.col("cgr_mm_yr").isNotNull())
-    return project_rows(rows, horizon_years, depth_trigger_pct, erf_trigger)
+    key = ["line_id", "source_row"]
+    if "cgr_mm_yr" in current.columns:
+        rows = current.where(" AND ".join(f"{c} IS NOT NULL" for c in key))
+    else:
+        rows = growth.select(*key, "cgr_mm_yr").join(by_rows(current), key)
+    return project_rows(rows.where(F.col("cgr_mm_yr").isNotNull()), horizon_years, depth_trigger_pct, erf_trigger)
 
 
 def project_rows(

@@ -53,9 +53,9 @@ def assess_lines(
 ) -> Assessment:
     """Align, match, grow, assess, project and collect findings for every line of the fleet.
 
-    Stages read several times are cut: joint pairs, matched rates, and predictions.
+    Stages read several times are kept: line properties, joint pairs, matched rates, and predictions.
     """
-    lines = with_interval(lines)
+    lines = kept(with_interval(lines))
     pairs = kept(alignment.align(old_joints, new_joints))
     aligned = alignment.alignment_summary(old_joints, new_joints, pairs)
     matches = kept(matching.match(old, new, pairs, settings.passes))
