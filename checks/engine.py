@@ -412,7 +412,7 @@ def runs(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def grown(spark, sf, features: tuple[DataFrame, DataFrame] | None = None, dims: DataFrame | None = None, **settings):
     old, new = features or runs(spark, sf)
-    matched = M.match(old, new, T.true_joint_pairs(spark, sf))
+    matched = kept(M.match(old, new, T.true_joint_pairs(spark, sf)))
     return G.growth(I.assessable(new), matched, lines(spark, sf) if dims is None else dims, keep=kept, **settings)
 
 

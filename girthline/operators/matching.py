@@ -36,9 +36,19 @@ OLD_TYPE = (
     "struct<abs_distance_m: double, depth_pct_wt: double, depth_mm: double, clock_decimal_hours: double,"
     " surface: string, wt_mm: double, anomaly_id: string>"
 )
+#: What of an old feature islands don't carry anyway.
+REST_TYPE = "struct<abs_distance_m: double, wt_mm: double, anomaly_id: string>"
 _SIDE = ("source_row", "pos", "clock_decimal_hours", "surface", "depth_pct_wt", "is_cluster_parent")
 
 
+def _old_values(row: Column, rest: Column) -> Column:
+    """The old feature's values, from its row of an island."""
+    depth = depth_mm(row["depth_pct_wt"], rest["wt_mm"]).alias("depth_mm")
+    return F.struct(
+        rest["abs_distance_m"], row["depth_pct_wt"], depth, row["clock_decimal_hours"], row["surface"], rest["wt_mm"], rest["anomaly_id"],
+    ).cast(OLD_TYPE)
+
+
 def _choice() -> Column:
     """Islands that leave a choice."""
     return (F.col("n_old") > 0) & (F.col("n_new") > 0) & ((F.col("n_old") > 1) | (F.col("n_new") > 1))
@@ -69,15 +79,12 @@ def sided(old: DataFrame, new: DataFrame, joint_pairs: DataFrame) -> DataFrame:
     def side(df: DataFrame, number: int, joint: str) -> DataFrame:
         pairs = joint_pairs.select("line_id", F.col(joint).alias("joint_number"), F.col("old_joint").alias("_old"))
         rows = assessable(df).where(F.col("joint_number").isNotNull() & F.col("upstream_weld_dist_m").isNotNull())
-        payload = F.struct(
-            "abs_distance_m", "depth_pct_wt", depth_mm(F.col("depth_pct_wt"), F.col("wt_mm")).alias("depth_mm"),
-            "clock_decimal_hours", "surface", "wt_mm", "anomaly_id",
-        )
+        payload = F.struct("abs_distance_m", "wt_mm", "anomaly_id")
         # Only the old side is carried along; the new side is joined by its row later.
         return rows.join(by_rows(pairs), ["line_id", "joint_number"]).select(
             "line_id", F.col("_old").alias("old_joint"), F.lit(number).alias("side"), "source_row",
             F.col("upstream_weld_dist_m").alias("pos"), "clock_decimal_hours", "surface", "depth_pct_wt",
-            "is_cluster_parent", (payload if number == 1 else F.lit(None)).cast(OLD_TYPE).alias("old"),
+            "is_cluster_parent", (payload if number == 1 else F.lit(None)).cast(REST_TYPE).alias("old"),
         )
 
     return side(old, 1, "old_joint").unionByName(side(new, 2, "new_joint"))
@@ -90,7 +97,8 @@ def _stretches(features: DataFrame, tolerance: float) -> DataFrame:
     lowest and highest position are enough to find every gap, and the windows see cells instead of features.
     """
     key = ["line_id", "old_joint"]
-    celled = features.withColumn("_cell", F.floor(F.col("pos") / tolerance).cast("long"))
+    # Dealt once for the count and the join.
+    celled = features.withColumn("_cell", F.floor(F.col("pos") / tolerance).cast("long")).repartition(*key, "_cell")
     cells = celled.groupBy(*key, "_cell").agg(
         F.count_if(F.col("side") == 1).alias("_old"), F.count_if(F.col("side") == 2).alias("_new"),
         F.min("pos").alias("_low"), F.max("pos").alias("_high"),
@@ -166,7 +174,7 @@ def match_single(islands: DataFrame, passes: Sequence[Sequence[float]] = PASSES)
     return pairs.select(
         "line_id", "old_joint", F.col("o.source_row").alias("old_source_row"),
         F.col("n.source_row").alias("new_source_row"), "match_score", confidence.alias("confidence"),
-        F.col("_pass.level").alias("relaxation_level"), F.col("o.old").alias("old"),
+        F.col("_pass.level").alias("relaxation_level"), _old_values(F.col("o"), F.col("o.old")).alias("old"),
     )
 
 
@@ -376,7 +384,8 @@ def match_ambiguous(islands: DataFrame, passes: Sequence[Sequence[float]] = PASS
     )
     dealt = choice.select(*columns).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "side", "source_row")
     solved = dealt.mapInPandas(kernel, schema)
-    carried = choice.where(F.col("side") == 1).select("line_id", F.col("source_row").alias("old_source_row"), "old")
+    values = _old_values(F.struct(*_SIDE), F.col("old")).alias("old")
+    carried = choice.where(F.col("side") == 1).select("line_id", F.col("source_row").alias("old_source_row"), values)
     return solved.join(by_rows(carried), ["line_id", "old_source_row"])
 
 
@@ -385,7 +394,8 @@ def match(old: DataFrame, new: DataFrame, joint_pairs: DataFrame, passes: Sequen
 
     ``joint_pairs`` has (line_id, old_joint, new_joint), one-to-one within a line.
     """
-    islands = with_islands(sided(old, new, joint_pairs), max(p[0] for p in passes), max(p[1] for p in passes))
+    # Kept, so that the shuffles of joints and those of cells don't lie on disk together.
+    islands = with_islands(kept(sided(old, new, joint_pairs)), max(p[0] for p in passes), max(p[1] for p in passes))
     columns = [
         "line_id", "old_joint", "old_source_row", "new_source_row", "match_score", "confidence", "relaxation_level", "old",
     ]

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 from test_golden import feature, features, lines, wt_zone
 
-from girthline.operators import assess as A, flags as Q, project as P
+from girthline.operators import assess as A, flags as Q, matching as M, project as P
 from girthline.session import CLEANUP, kept
 
 
@@ -61,3 +61,26 @@ def test_a_state_made_from_rated_rows_is_projected_without_a_join(spark):
     assert len(rows) == 3 and rows == sorted(map(str, joined.select(columns).collect()))
     keyless = kept(current).withColumn("source_row", F.when(F.col("source_row") != 2, F.col("source_row")))
     assert P.project(rated, keyless).count() == 2
+
+
+def test_islands_carry_nothing_of_an_old_feature_twice(spark):
+    rows = features(spark, [feature(1, surface="external", depth_pct_wt=41.0), feature(2, upstream_weld_dist_m=9.0)])
+    pairs = spark.createDataFrame([(1, r.joint_number, r.joint_number) for r in rows.select("joint_number").distinct().collect()], "line_id int, old_joint int, new_joint int")
+    sides = M.sided(rows, rows, pairs)
+    carried = set(sides.schema["old"].dataType.names)
+    assert not carried & set(sides.columns) and "depth_mm" not in carried
+    got = {r.old_source_row: r.old.asDict() for r in M.match(rows, rows, pairs).collect()}
+    for r in rows.collect():
+        assert got[r.source_row] == {
+            "abs_distance_m": r.abs_distance_m, "depth_pct_wt": r.depth_pct_wt, "depth_mm": r.depth_pct_wt / 100.0 * r.wt_mm,
+            "clock_decimal_hours": r.clock_decimal_hours, "surface": r.surface, "wt_mm": r.wt_mm, "anomaly_id": r.anomaly_id}
+
+
+def test_features_are_dealt_to_cells_once(spark):
+    table = kept(spark.range(200).select(
+        F.lit(1).alias("line_id"), (F.col("id") % 5).cast("int").alias("old_joint"), (F.col("id") % 2 + 1).cast("int").alias("side"), F.col("id").alias("source_row"),
+        (F.col("id") * 0.37).alias("pos"), F.lit(3.0).alias("clock_decimal_hours"),
+    ))
+    plan = M._stretches(table, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(line_id" in x and "old_joint" in x for x in plan.splitlines() if "_cell" in x and "REPARTITION" not in x) <= 1
+    assert M._stretches(table, 1.0).count() == 200
