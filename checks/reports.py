@@ -307,10 +307,10 @@ def _now_end(rows):
 
 @query("assessment_now_and_end", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf") + " JOIN ctl c USING (source_row)"))
 def _(spark, sf):
-    dims = lines(spark, sf)
-    rows = grown(spark, sf, dims=dims)
-    now = kept(narrow(current(spark, sf, rows, dims)))
-    return _now_end(R.assessment_now_and_end(rows, now, P.project(rows, now)))
+    dims, both = lines(spark, sf), runs(spark, sf)
+    rows = grown(spark, sf, both, dims)
+    # The state now has a row for each feature, the rated one a row for each growth row.
+    return _now_end(R.assessment_now_and_end(rows, current(spark, sf, both[1], dims), P.project(rows, current(spark, sf, rows, dims))))
 
 
 @query("circumferential_controlling", sql("grown predicted ctl", _NOW_END.replace("SOP", "c.csop").replace("ERF", "c.cerf")
@@ -318,17 +318,17 @@ def _(spark, sf):
 def _(spark, sf):
     # Narrow pipe, on which wide defects are weaker along the circumference than along the axis.
     dims = lines(spark, sf).withColumn("diameter_mm", F.lit(114.3))
-    rows = grown(spark, sf)
-    now = kept(narrow(P.current_state(A.assess(I.assessable(rows), dims), dims)))
-    return _now_end(R.circumferential_controlling(rows, now, P.project(rows, now)))
+    both = runs(spark, sf)
+    rows = grown(spark, sf, both)
+    now = kept(narrow(current(spark, sf, both[1], dims)))
+    return _now_end(R.circumferential_controlling(rows, now, P.project(rows, current(spark, sf, rows, dims))))
 
 
 @query("circumferential_all", sql("grown predicted ffp", _NOW_END.replace("SOP", "c.sop_kgcm2").replace("ERF", "c.erf") + " JOIN ffp c USING (source_row) WHERE c.method = 'Kastner'"))
 def _(spark, sf):
     dims = lines(spark, sf)
     rows = grown(spark, sf, dims=dims)
-    now = kept(narrow(current(spark, sf, rows, dims)))
-    return _now_end(R.circumferential_all(rows, dims, P.project(rows, now)))
+    return _now_end(R.circumferential_all(rows, dims, P.project(rows, current(spark, sf, rows, dims))))
 
 
 @query("dent_table", sql("f2", f"""
@@ -407,10 +407,9 @@ JOIN (SELECT line_id, count(*) FILTER (repair_trigger <> 'NONE_WITHIN_HORIZON')
   count(*) FILTER (repair_year_offset BETWEEN 1 AND 5) AS n_scheduled, count(*) FILTER (repair_trigger = 'NONE_WITHIN_HORIZON') AS n_monitor
   FROM predicted GROUP BY 1) USING (line_id)"""))
 def _(spark, sf):
-    dims = lines(spark, sf)
-    rows = grown(spark, sf, dims=dims)
-    now = kept(narrow(current(spark, sf, rows, dims)))
-    return R.summary_metrics(rows, now, P.project(rows, now)).select(
+    dims, both = lines(spark, sf), runs(spark, sf)
+    rows = grown(spark, sf, both, dims)
+    return R.summary_metrics(rows, current(spark, sf, both[1], dims), P.project(rows, current(spark, sf, rows, dims))).select(
         "line_id", "n_features", "n_internal", "n_external", rd("max_depth_pct"), "max_depth_feature_id", rd("p95_internal"),
         rd("p95_external"), "n_erf_ge_1", rd("max_erf"), "max_erf_joint", "n_within_horizon", "n_immediate", "n_scheduled",
         "n_monitor", rd("internal_pct"), rd("deep_pct"),
